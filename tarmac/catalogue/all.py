@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tarmac.catalogue import kpi
+from tarmac.catalogue import kpi, people, records
 from tarmac.catalogue.entry import Query
 
 QUERIES: dict[str, Query] = {}
-for part in (kpi,):
+for part in (kpi, people, records):
     for name, query in part.catalogue.items.items():
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")

@@ -510,8 +510,8 @@ def _(spark, d):
 
 
 _CELL_ROWS = (
-    "FROM (SELECT *, CAST(floor(latitude * 20) AS BIGINT) AS gx, CAST(floor(longitude * 20) AS BIGINT) AS gy FROM geo_events) "
-    "WHERE gx = 1030 AND gy = -94"
+    "FROM (SELECT *, CAST(floor(latitude * 2) AS BIGINT) AS gx, CAST(floor(longitude * 2) AS BIGINT) AS gy FROM geo_events) "
+    "WHERE gx = 103 AND gy = -7"
 )
 
 
@@ -524,7 +524,7 @@ _CELL_ROWS = (
     ),
 )
 def _(spark, d):
-    return hotspots.cell_severities(hotspots.geo_events(collision(spark, d)), 20, F.lit(True), "1030_-94")
+    return hotspots.cell_severities(hotspots.geo_events(collision(spark, d)), 2, F.lit(True), "103_-7")
 
 
 @add(
@@ -539,7 +539,7 @@ def _(spark, d):
 )
 def _(spark, d):
     events = hotspots.geo_events(collision(spark, d))
-    return hotspots.cell_page(events, 20, F.lit(True), "1030_-94", "date", limit=5, offset=2)
+    return hotspots.cell_page(events, 2, F.lit(True), "103_-7", "date", limit=5, offset=2)
 
 
 @add(

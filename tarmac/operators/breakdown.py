@@ -82,7 +82,7 @@ def light_group(light: Column) -> Column:
 
 def casualty_pivot(casualty: DataFrame, types: Sequence[str]) -> DataFrame:
     """Per collision one column per casualty type, 0 where absent, and the row total."""
-    wide = casualty.groupBy("collision_index").pivot("casualty_type", list(types)).agg(F.count("*")).fillna(0)
+    wide = casualty.groupBy("collision_index").pivot("casualty_type", list(types)).agg(F.count(F.lit(1))).fillna(0)
     total = F.lit(0).cast("bigint")
     for kind in types:
         total = total + F.col(f"`{kind}`")

@@ -50,8 +50,11 @@ def reconcile_with_monthly(collision: DataFrame, monthly: DataFrame) -> DataFram
     """Per year: collisions counted from the facts and from the monthly table."""
     raw = collision.groupBy("year").agg(F.count("*").alias("raw_total"))
     kpi = monthly.groupBy("year").agg(F.sum(F.col("fatal") + F.col("serious") + F.col("slight")).alias("kpi_total"))
-    return raw.join(kpi, raw["year"].eqNullSafe(kpi["year"]), "full").select(
-        F.coalesce(raw["year"], kpi["year"]).alias("year"), "raw_total", "kpi_total"
+    matched = F.col("raw.year").eqNullSafe(F.col("kpi.year"))
+    return (
+        raw.alias("raw")
+        .join(kpi.alias("kpi"), matched, "full")
+        .select(F.coalesce("raw.year", "kpi.year").alias("year"), "raw_total", "kpi_total")
     )
 
 
