@@ -200,9 +200,40 @@ def _(spark, d):
     return fit.select(F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-@add("linear_severity")
+def _cramer_sql():
+    """Three-regressor least squares from covariances, by Cramer's rule."""
+    x = ("engine_capacity_cc", "age_of_driver", "speed_limit")
+    cov = {(a, b): f"covar_pop({a}, {b})" for a in x for b in x}
+    entries = ", ".join(f"{cov[a, b]} AS c{i}{j}" for i, a in enumerate(x) for j, b in enumerate(x))
+    sides = ", ".join(f"covar_pop({a}, y) AS b{i}, avg({a}) AS m{i}" for i, a in enumerate(x))
+
+    def det(m):
+        return (
+            f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) "
+            f"+ {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+        )
+
+    base = [[f"c{i}{j}" for j in range(3)] for i in range(3)]
+    betas = []
+    for k in range(3):
+        swapped = [[f"b{i}" if j == k else base[i][j] for j in range(3)] for i in range(3)]
+        betas.append(f"{det(swapped)} / {det(base)} AS beta{k}")
+    rows = " UNION ALL ".join(f"SELECT '{a}' AS term, round(beta{k}, 8) AS estimate FROM fit" for k, a in enumerate(x))
+    body = (
+        ", data AS (SELECT CAST(CASE collision_severity WHEN 'Fatal' THEN 3 WHEN 'Serious' THEN 2 ELSE 1 END AS DOUBLE) AS y, "
+        "CAST(engine_capacity_cc AS DOUBLE) AS engine_capacity_cc, CAST(age_of_driver AS DOUBLE) AS age_of_driver, "
+        "CAST(speed_limit AS DOUBLE) AS speed_limit FROM vehicle JOIN collision USING (collision_index) WHERE engine_capacity_cc BETWEEN 300 AND 5000), "
+        f"m AS (SELECT {entries}, {sides}, avg(y) AS my FROM data), fit AS (SELECT *, {', '.join(betas)} FROM m) "
+        f"{rows} UNION ALL SELECT '(Intercept)', round(my - beta0 * m0 - beta1 * m1 - beta2 * m2, 6) FROM fit"
+    )
+    return with_roles(body, "vehicle", "collision")
+
+
+@add("linear_severity", _cramer_sql())
 def _(spark, d):
-    return models.linear_severity(_model_rows(spark, d), ["engine_capacity_cc", "age_of_driver", "speed_limit"])
+    fit = models.linear_severity(_model_rows(spark, d), ["engine_capacity_cc", "age_of_driver", "speed_limit"])
+    digits = F.when(F.col("term") == "(Intercept)", F.round("estimate", 6)).otherwise(F.round("estimate", 8))
+    return fit.withColumn("estimate", digits)
 
 
 @add("multinomial_severity")
