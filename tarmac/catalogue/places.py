@@ -175,7 +175,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return spatial.nearest_counts(_on_grid(spark, d), roads(spark, d), "x", "y", 10_000.0, _EXTENT)
+    return spatial.nearest_counts(_on_grid(spark, d), roads(spark, d), "x", "y", 20_000.0, _EXTENT)
 
 
 # --- network ------------------------------------------------------------------

@@ -102,6 +102,8 @@ _VEHICLE_TYPES = (
     "Goods 7.5 tonnes mgw and over", "Agricultural vehicle", "Tram", "Hovercraft",
 )
 
+_VEHICLE_SOURCE = ("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+
 # a vehicle record per (order, line number)
 VEHICLE = (
     "l_orderkey AS collision_index",
@@ -184,13 +186,10 @@ _DATETIME_SQL = (
 
 
 def vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (collision, vehicle reference): repeats are reduced to the least
-    part key, as partial minima before the shuffle."""
-    lines = table(spark, sf_dir, "lineitem")
-    picked = lines.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")).alias("r")
-    )
-    return picked.select("l_orderkey", "l_linenumber", "r.*").selectExpr(*VEHICLE)
+    """One row per (collision, vehicle reference): repeats keep the least value of each
+    attribute, as partial minima before the shuffle."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    return lines.agg(*[F.min(c).alias(c) for c in _VEHICLE_SOURCE]).selectExpr(*VEHICLE)
 
 
 def casualty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,8 +241,9 @@ _VIEWS = {
     "collision": f"SELECT *, {_DATETIME_SQL} AS datetime FROM ({_sql(COLLISION, 'orders')})",
     "vehicle": _sql(
         VEHICLE,
-        "(SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber "
-        "ORDER BY l_partkey, l_suppkey, l_quantity, l_shipdate) = 1)",
+        "(SELECT l_orderkey, l_linenumber, "
+        + ", ".join(f"min({c}) AS {c}" for c in _VEHICLE_SOURCE)
+        + " FROM lineitem GROUP BY l_orderkey, l_linenumber)",
     ),
     "casualty": f"SELECT *, {_AGE_GROUP_SQL} FROM ({_sql(CASUALTY, 'lineitem')})",
     "timed": _sql(TIMED, "events"),

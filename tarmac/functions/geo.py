@@ -55,18 +55,43 @@ SHIFT_R = (0.1502, 0.2470, 0.8421)
 SHIFT_S = -20.4894
 
 
-def _meridian_arc(lat: Column) -> Column:
-    """Distance along the meridian from the grid's true origin."""
+def _third_flattening() -> float:
     a, b = AIRY
-    n = (a - b) / (a + b)
+    return (a - b) / (a + b)
+
+
+def _rectifying_radius() -> float:
+    """Radius of the sphere whose meridian is as long as the ellipsoid's."""
+    n = _third_flattening()
+    return AIRY[0] / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+
+
+def _even_sines(sin2, cos2) -> tuple:
+    """sin of 2x, 4x, 6x and 8x from sin and cos of 2x."""
+    return sin2, 2 * sin2 * cos2, sin2 * (3 - 4 * sin2 * sin2), 4 * sin2 * cos2 * (1 - 2 * sin2 * sin2)
+
+
+def _meridian_arc(lat, sin2, cos2):
+    """Unscaled distance along the meridian from the equator; plain numbers or columns."""
+    n = _third_flattening()
+    weights = (-3 / 2 * n + 9 / 16 * n**3, 15 / 16 * n**2 - 15 / 32 * n**4, -35 / 48 * n**3, 315 / 512 * n**4)
+    return (lat + sum(s * w for w, s in zip(weights, _even_sines(sin2, cos2)))) * _rectifying_radius()
+
+
+def _origin_arc() -> float:
     lat0 = math.radians(GRID_LAT0)
-    d, s = lat - lat0, lat + lat0
-    return (
-        (1 + n + 1.25 * n**2 + 1.25 * n**3) * d
-        - (3 * n + 3 * n**2 + 2.625 * n**3) * F.sin(d) * F.cos(s)
-        + (1.875 * n**2 + 1.875 * n**3) * F.sin(2 * d) * F.cos(2 * s)
-        - (35 / 24 * n**3) * F.sin(3 * d) * F.cos(3 * s)
-    ) * (b * GRID_SCALE)
+    return _meridian_arc(lat0, math.sin(2 * lat0), math.cos(2 * lat0))
+
+
+def _footpoint(mu: Column, sin2: Column, cos2: Column) -> Column:
+    """Latitude whose meridian distance belongs to the rectifying latitude ``mu``.
+
+    A series instead of the usual iteration, and few function calls: the code
+    generated for all steps together must stay small enough to be compiled.
+    """
+    n = _third_flattening()
+    weights = (3 / 2 * n - 27 / 32 * n**3, 21 / 16 * n**2 - 55 / 32 * n**4, 151 / 96 * n**3, 1097 / 512 * n**4)
+    return mu + sum(s * w for w, s in zip(weights, _even_sines(sin2, cos2)))
 
 
 def _stage(df: DataFrame, **columns: Column) -> DataFrame:
@@ -79,16 +104,14 @@ def _c(name: str) -> Column:
 
 
 def _curvature(df: DataFrame) -> DataFrame:
-    """Radii of curvature at ``__lat`` on the Airy ellipsoid."""
+    """Trigonometry and radii of curvature at ``__lat`` on the Airy ellipsoid."""
     a, b = AIRY
     e2 = 1 - (b / a) ** 2
-    df = _stage(df, sin2=F.pow(F.sin(_c("lat")), 2), tan2=F.pow(F.tan(_c("lat")), 2))
-    df = _stage(
-        df,
-        nu=F.pow(1 - e2 * _c("sin2"), -0.5) * (a * GRID_SCALE),
-        rho=F.pow(1 - e2 * _c("sin2"), -1.5) * (a * GRID_SCALE * (1 - e2)),
-    )
-    return _stage(df, eta2=_c("nu") / _c("rho") - 1)
+    df = _stage(df, sin=F.sin(_c("lat")), cos=F.cos(_c("lat")))
+    df = _stage(df, tan=_c("sin") / _c("cos"), w=1 - e2 * _c("sin") * _c("sin"))
+    df = _stage(df, t2=_c("tan") * _c("tan"), nu=a * GRID_SCALE / F.sqrt(_c("w")))
+    # ratio of the radii across and along the meridian
+    return _stage(df, ratio=_c("w") / (1 - e2))
 
 
 def _rotation(direction: int) -> tuple[list[list[float]], list[float]]:
@@ -117,51 +140,52 @@ def _change_datum(df: DataFrame, source: tuple, target: tuple, direction: int) -
     """Move ``__lat``, ``__lon`` (radians, height 0) between ellipsoids."""
     a, b = source
     e2 = 1 - (b / a) ** 2
-    df = _stage(df, n0=a / F.sqrt(1 - e2 * F.pow(F.sin(_c("lat")), 2)))
+    df = _stage(df, sin=F.sin(_c("lat")), cos=F.cos(_c("lat")))
+    df = _stage(df, r=a / F.sqrt(1 - e2 * _c("sin") * _c("sin")))
     df = _stage(
         df,
-        x=_c("n0") * F.cos(_c("lat")) * F.cos(_c("lon")),
-        y=_c("n0") * F.cos(_c("lat")) * F.sin(_c("lon")),
-        z=_c("n0") * (1 - e2) * F.sin(_c("lat")),
+        x=_c("r") * _c("cos") * F.cos(_c("lon")),
+        y=_c("r") * _c("cos") * F.sin(_c("lon")),
+        z=_c("r") * (1 - e2) * _c("sin"),
     )
     m, t = _rotation(direction)
     df = _stage(
         df, **{n: m[i][0] * _c("x") + m[i][1] * _c("y") + m[i][2] * _c("z") + t[i] for i, n in enumerate(("x2", "y2", "z2"))}
     )
     a, b = target
-    e2 = 1 - (b / a) ** 2
-    df = _stage(df, p=F.sqrt(F.pow(_c("x2"), 2) + F.pow(_c("y2"), 2)), lon=F.atan2(_c("y2"), _c("x2")))
-    df = _stage(df, lat=F.atan2(_c("z2"), _c("p") * (1 - e2)))
-    for _ in range(4):
-        df = _stage(
-            df,
-            lat=F.atan2(_c("z2") + e2 * a / F.sqrt(1 - e2 * F.pow(F.sin(_c("lat")), 2)) * F.sin(_c("lat")), _c("p")),
-        )
-    return df
+    e2, second = 1 - (b / a) ** 2, (a / b) ** 2 - 1
+    df = _stage(df, p=F.sqrt(_c("x2") * _c("x2") + _c("y2") * _c("y2")), lon=F.atan2(_c("y2"), _c("x2")))
+    # Bowring's closed form; its error on the ground is far below a millimetre
+    df = _stage(df, tan=_c("z2") * (a / b) / _c("p"))
+    df = _stage(df, cos=1 / F.sqrt(1 + _c("tan") * _c("tan")))
+    df = _stage(df, sin=_c("tan") * _c("cos"))
+    return _stage(
+        df,
+        lat=F.atan2(
+            _c("z2") + second * b * _c("sin") * _c("sin") * _c("sin"),
+            _c("p") - e2 * a * _c("cos") * _c("cos") * _c("cos"),
+        ),
+    )
 
 
 def with_lonlat(df: DataFrame, easting: str, northing: str, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Add WGS84 coordinates computed from national grid ones."""
     kept = [c for c in df.columns if c not in (lat, lon)]
-    a = AIRY[0] * GRID_SCALE
     north = F.col(northing).cast("double") - GRID_N0
-    df = _stage(df, lat=math.radians(GRID_LAT0) + north / a)
-    for _ in range(6):
-        df = _stage(df, lat=_c("lat") + (north - _meridian_arc(_c("lat"))) / a)
-    df = _stage(_curvature(df), d=F.col(easting).cast("double") - GRID_E0)
-    t2, nu, rho, eta2, d = _c("tan2"), _c("nu"), _c("rho"), _c("eta2"), _c("d")
-    df = _stage(df, tan=F.tan(_c("lat")), sec=1 / F.cos(_c("lat")))
+    df = _stage(df, mu=(north / GRID_SCALE + _origin_arc()) / _rectifying_radius())
+    df = _stage(df, s=F.sin(2 * _c("mu")), c=F.cos(2 * _c("mu")))
+    df = _curvature(_stage(df, lat=_footpoint(_c("mu"), _c("s"), _c("c"))))
+    df = _stage(df, d=(F.col(easting).cast("double") - GRID_E0) / _c("nu"))
+    df = _stage(df, q=_c("d") * _c("d"))
+    t2, ratio, d, q = _c("t2"), _c("ratio"), _c("d"), _c("q")
+    eta2 = ratio - 1
     df = _stage(
         df,
         lat=_c("lat")
-        - _c("tan") / (2 * rho * nu) * F.pow(d, 2)
-        + _c("tan") / (24 * rho * F.pow(nu, 3)) * (5 + 3 * t2 + eta2 - 9 * t2 * eta2) * F.pow(d, 4)
-        - _c("tan") / (720 * rho * F.pow(nu, 5)) * (61 + 90 * t2 + 45 * t2 * t2) * F.pow(d, 6),
+        - _c("tan") * ratio / 2 * q * (1 - q / 12 * ((5 + 3 * t2 + eta2 - 9 * t2 * eta2) - q / 30 * (61 + (90 + 45 * t2) * t2))),
         lon=math.radians(GRID_LON0)
-        + _c("sec") / nu * d
-        - _c("sec") / (6 * F.pow(nu, 3)) * (nu / rho + 2 * t2) * F.pow(d, 3)
-        + _c("sec") / (120 * F.pow(nu, 5)) * (5 + 28 * t2 + 24 * t2 * t2) * F.pow(d, 5)
-        - _c("sec") / (5040 * F.pow(nu, 7)) * (61 + 662 * t2 + 1320 * t2 * t2 + 720 * t2 * t2 * t2) * F.pow(d, 7),
+        + d / _c("cos")
+        * (1 - q / 6 * ((ratio + 2 * t2) - q / 20 * ((5 + (28 + 24 * t2) * t2) - q / 42 * (61 + (662 + (1320 + 720 * t2) * t2) * t2)))),
     )
     df = _change_datum(df, AIRY, WGS84, +1)
     return df.select(*kept, F.degrees(_c("lat")).alias(lat), F.degrees(_c("lon")).alias(lon))
@@ -172,20 +196,19 @@ def with_grid(df: DataFrame, lat: str, lon: str, easting: str = "easting", north
     kept = [c for c in df.columns if c not in (easting, northing)]
     df = _stage(df, lat=F.radians(F.col(lat)), lon=F.radians(F.col(lon)))
     df = _curvature(_change_datum(df, WGS84, AIRY, -1))
-    t2, nu, rho, eta2 = _c("tan2"), _c("nu"), _c("rho"), _c("eta2")
-    df = _stage(df, sin=F.sin(_c("lat")), cos=F.cos(_c("lat")), d=_c("lon") - math.radians(GRID_LON0))
-    sin, cos, d = _c("sin"), _c("cos"), _c("d")
+    df = _stage(df, d=_c("cos") * (_c("lon") - math.radians(GRID_LON0)))
+    # double-angle terms of the meridian distance
+    df = _stage(df, g=_c("d") * _c("d"), s=2 * _c("sin") * _c("cos"), c=1 - 2 * _c("sin") * _c("sin"))
+    t2, nu, ratio, d, g = _c("t2"), _c("nu"), _c("ratio"), _c("d"), _c("g")
+    eta2 = ratio - 1
+    arc = (_meridian_arc(_c("lat"), _c("s"), _c("c")) - _origin_arc()) * GRID_SCALE
     df = _stage(
         df,
-        n=_meridian_arc(_c("lat"))
+        n=arc
         + GRID_N0
-        + nu / 2 * sin * cos * F.pow(d, 2)
-        + nu / 24 * sin * F.pow(cos, 3) * (5 - t2 + 9 * eta2) * F.pow(d, 4)
-        + nu / 720 * sin * F.pow(cos, 5) * (61 - 58 * t2 + t2 * t2) * F.pow(d, 6),
+        + nu / 2 * _c("tan") * g * (1 + g / 12 * ((5 - t2 + 9 * eta2) + g / 30 * (61 - (58 - t2) * t2))),
         e=GRID_E0
-        + nu * cos * d
-        + nu / 6 * F.pow(cos, 3) * (nu / rho - t2) * F.pow(d, 3)
-        + nu / 120 * F.pow(cos, 5) * (5 - 18 * t2 + t2 * t2 + 14 * eta2 - 58 * t2 * eta2) * F.pow(d, 5),
+        + nu * d * (1 + g / 6 * ((ratio - t2) + g / 20 * (5 - (18 - t2) * t2 + 14 * eta2 - 58 * t2 * eta2))),
     )
     return df.select(*kept, _c("e").alias(easting), _c("n").alias(northing))
 

@@ -5,16 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.model import RISK_WEIGHT, SEVERITIES
+
 
 def severity_number(severity: Column) -> Column:
-    """Fatal 3, Serious 2, Slight 1."""
-    return F.when(severity == "Fatal", 3.0).when(severity == "Serious", 2.0).when(severity == "Slight", 1.0)
+    """Fatal 3, Serious 2, Slight 1; anything else is missing."""
+    number = F.lit(None).cast("double")
+    for name, value in RISK_WEIGHT.items():
+        number = F.when(severity == name, float(value)).otherwise(number)
+    return number
 
 
 def linear_severity(df: DataFrame, features: Sequence[str], severity: str = "collision_severity") -> DataFrame:
@@ -39,21 +44,26 @@ def simple_regression(df: DataFrame, feature: str, severity: str = "collision_se
 def severity_probabilities(
     df: DataFrame, features: Sequence[str], severity: str = "collision_severity", iterations: int = 50
 ) -> DataFrame:
-    """Multinomial logit: per severity the observed share and mean fitted probability."""
-    data = df.select(severity, *[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    indexer = StringIndexer(inputCol=severity, outputCol="label", stringOrderType="alphabetAsc").fit(data)
-    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(indexer.transform(data))
+    """Multinomial logit: per severity the observed share and mean fitted probability.
+
+    The estimator keeps its own cached copy while it iterates; afterwards one more
+    pass averages the fitted probabilities.
+    """
+    label = severity_number(F.col(severity)) - 1
+    data = df.select(label.alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(data)
     fit = LogisticRegression(family="multinomial", maxIter=iterations).fit(rows)
-    fitted = fit.transform(rows).select(F.col(severity), vector_to_array("probability").alias("p"))
-    labels = indexer.labels
+    fitted = fit.transform(rows).select("label", vector_to_array("probability").alias("p"))
+    # labels count upwards from the mildest severity
+    names = list(enumerate(reversed(SEVERITIES)))
     wide = fitted.agg(
-        *[F.avg(F.col("p")[i]).alias(f"fit_{i}") for i in range(len(labels))],
-        *[F.avg((F.col(severity) == name).cast("double")).alias(f"obs_{i}") for i, name in enumerate(labels)],
+        *[F.avg(F.col("p")[i]).alias(f"fit_{i}") for i, _ in names],
+        *[F.avg((F.col("label") == i).cast("double")).alias(f"obs_{i}") for i, _ in names],
     )
     table = F.array(
         *[
             F.struct(F.lit(n).alias("severity"), F.col(f"obs_{i}").alias("share"), F.col(f"fit_{i}").alias("mean_fitted"))
-            for i, n in enumerate(labels)
+            for i, n in names
         ]
     )
     return wide.select(F.explode(table).alias("r")).select("r.*")

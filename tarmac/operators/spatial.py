@@ -186,15 +186,13 @@ def _candidates(cells: DataFrame, roads: DataFrame, size: float, wide: float) ->
         .drop("__step")
     )
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    pairs = (
-        around.join(_road_cells(roads, wide, 0.0), _CELL)
-        .select("bx", "by", "road_id", *ends, F.sqrt(segment_distance2(*centre, *ends)).alias("gap"))
-        .distinct()
+    pairs = around.join(_road_cells(roads, wide, 0.0), _CELL).select(
+        "bx", "by", "road_id", *ends, F.sqrt(segment_distance2(*centre, *ends)).alias("gap")
     )
-    best = pairs.groupBy("bx", "by").agg(F.min("gap").alias("best"))
     # a road outside the 3x3 block is at least ``wide`` away from the cell
-    settled = best.where(F.col("best") + diagonal / 2 <= wide)
-    return pairs.join(settled, ["bx", "by"]).where(F.col("gap") <= F.col("best") + diagonal).drop("best", "gap")
+    settled = pairs.groupBy("bx", "by").agg(F.min("gap").alias("best")).where(F.col("best") + diagonal / 2 <= wide)
+    near = pairs.join(settled, ["bx", "by"]).where(F.col("gap") <= F.col("best") + diagonal)
+    return near.drop("best", "gap").distinct()
 
 
 def nearest_road(points: DataFrame, roads: DataFrame, x: str, y: str, size: float, extent: float) -> DataFrame:
