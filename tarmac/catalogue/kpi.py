@@ -91,7 +91,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return kpi.kpi_year(kpi.kpi_monthly(collision(spark, d)), 1998, _TWO)
+    return kpi.kpi_year(kpi.kpi_monthly(collision(spark, d, 1998, 1998)), 1998, _TWO)
 
 
 @add(
@@ -118,7 +118,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return kpi.kpi_range(kpi.kpi_daily(collision(spark, d)), "1997-03-15", "1998-02-10", ["Fatal", "Slight"])
+    return kpi.kpi_range(kpi.kpi_daily(collision(spark, d, 1997, 1998)), "1997-03-15", "1998-02-10", ["Fatal", "Slight"])
 
 
 @add(
@@ -126,7 +126,7 @@ def _(spark, d):
     _monthly_sql("SELECT month_num, month, fatal, serious, slight FROM kpi_monthly WHERE year = 1999"),
 )
 def _(spark, d):
-    return kpi.monthly_trend(kpi.kpi_monthly(collision(spark, d)), 1999)
+    return kpi.monthly_trend(kpi.kpi_monthly(collision(spark, d, 1999, 1999)), 1999)
 
 
 @add(
@@ -137,7 +137,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return kpi.monthly_trend(kpi.kpi_monthly(collision(spark, d)), 1999, adjusted=True)
+    return kpi.monthly_trend(kpi.kpi_monthly(collision(spark, d, 1999, 1999)), 1999, adjusted=True)
 
 
 @add(
@@ -149,7 +149,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return kpi.trend_long(kpi.monthly_trend(kpi.kpi_monthly(collision(spark, d)), 1999), ["Fatal", "Slight"])
+    return kpi.trend_long(kpi.monthly_trend(kpi.kpi_monthly(collision(spark, d, 1999, 1999)), 1999), ["Fatal", "Slight"])
 
 
 @add(
@@ -161,7 +161,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return kpi.daily_trend_month(collision(spark, d), 1998, 2)
+    return kpi.daily_trend_month(collision(spark, d, 1998, 1998), 1998, 2)
 
 
 @add(
@@ -172,7 +172,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return kpi.daily_trend_range(kpi.kpi_daily(collision(spark, d)), "1998-11-20", "1999-01-15", ["Serious"])
+    return kpi.daily_trend_range(kpi.kpi_daily(collision(spark, d, 1998, 1999)), "1998-11-20", "1999-01-15", ["Serious"])
 
 
 @add(
@@ -183,7 +183,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return kpi.daily_trend_of_month(kpi.kpi_daily(collision(spark, d)), 1999, 12, ["Fatal", "Serious", "Slight"])
+    return kpi.daily_trend_of_month(kpi.kpi_daily(collision(spark, d, 1999, 1999)), 1999, 12, ["Fatal", "Serious", "Slight"])
 
 
 _TOTALS = (
@@ -237,7 +237,7 @@ def _(spark, d):
 )
 def _(spark, d):
     return breakdown.frequency(
-        collision(spark, d).where(TimeFilter(year=1997, month=5).column()), "collision_severity"
+        collision(spark, d, 1997, 1997).where(TimeFilter(year=1997, month=5).column()), "collision_severity"
     )
 
 
@@ -250,7 +250,7 @@ def _(spark, d):
 )
 def _(spark, d):
     return breakdown.frequency(
-        collision(spark, d).where(TimeFilter(start="1996-02-29", end="1996-12-31").column()), "collision_severity"
+        collision(spark, d, 1996, 1996).where(TimeFilter(start="1996-02-29", end="1996-12-31").column()), "collision_severity"
     )
 
 
@@ -364,7 +364,7 @@ def _(spark, d):
         any_of("road_type", ["1-URGENT", "2-HIGH", "3-MEDIUM"]),
         any_of("weather_conditions", []),
     )
-    return hotspots.map_points(hotspots.geopoints(collision(spark, d)), condition)
+    return hotspots.map_points(hotspots.geopoints(collision(spark, d, 1996, 2000)), condition)
 
 
 @add(
@@ -376,7 +376,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    points = hotspots.geopoints(collision(spark, d)).where(TimeFilter(year=1998).column())
+    points = hotspots.geopoints(collision(spark, d, 1998, 1998)).where(TimeFilter(year=1998).column())
     mid = breakdown.centroid(points)
     return mid.select(*[F.round(c, 6).alias(c) for c in mid.columns])
 
@@ -434,7 +434,7 @@ def _rounded(df, *columns):
 
 def hotspot_query(spark, d):
     """The flagship: riskiest cells of a year with their distance from the centre."""
-    events = hotspots.geo_events(collision(spark, d))
+    events = hotspots.geo_events(collision(spark, d, 1998, 1998))
     condition = all_of(TimeFilter(year=1998).column(), severity_in(["Fatal", "Serious", "Slight"]))
     top = hotspots.hotspots(events, 20, condition, "risk_score", 20)
     return _rounded(top, "grid_lat", "grid_lon", "distance_miles")
@@ -505,7 +505,7 @@ def _(spark, d):
         any_of("road_type", ["5-LOW"]),
         any_of("weather_conditions", []),
     )
-    events = hotspots.geo_events(collision(spark, d))
+    events = hotspots.geo_events(collision(spark, d, 1999, 1999))
     return _rounded(hotspots.condition_hotspots(20, events, condition, "collisions", 20), "grid_lat", "grid_lon")
 
 

@@ -32,7 +32,7 @@ GROUP BY 1, 2, 3, 4
 def _demo(spark, d):
     return breakdown.demographics(
         casualty(spark, d),
-        collision(spark, d),
+        collision(spark, d, 1998, 1998),
         all_of(TimeFilter(year=1998).column(), severity_in(["Fatal", "Serious"])),
         classes=["Driver or rider", "Passenger", "Pedestrian"],
         sexes=["Male", "Female"],
@@ -62,7 +62,7 @@ def _(spark, d):
 def _(spark, d):
     return breakdown.demographics(
         casualty(spark, d),
-        collision(spark, d),
+        collision(spark, d, 1997, 1999),
         TimeFilter(start="1997-01-01", end="1999-06-30").column(),
         classes=["Pedestrian"],
         ages=["Child", "Senior", "Unknown"],
@@ -195,7 +195,7 @@ def _(spark, d):
 )
 def _(spark, d):
     condition = all_of(TimeFilter(year=1999).column(), severity_in(["Fatal", "Slight"]))
-    return breakdown.factor_by_severity(collision(spark, d), "weather_conditions", condition)
+    return breakdown.factor_by_severity(collision(spark, d, 1999, 1999), "weather_conditions", condition)
 
 
 @add(
@@ -218,17 +218,9 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    from functools import reduce
-
-    from tarmac.model import FACTORS
-
-    frames = [
-        breakdown.factor_by_severity(collision(spark, d), f, TimeFilter(year=1999, month=6).column()).select(
-            F.lit(f).alias("factor"), F.col(f).cast("string").alias("value"), "collision_severity", "count"
-        )
-        for f in FACTORS
-    ]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    return breakdown.all_factors_by_severity(
+        collision(spark, d, 1999, 1999), TimeFilter(year=1999, month=6).column()
+    )
 
 
 _PAIR_SQL = (
@@ -238,7 +230,7 @@ _PAIR_SQL = (
 
 def _pair(spark, d):
     return breakdown.factor_interaction(
-        collision(spark, d), "road_surface_conditions", "urban_or_rural_area", TimeFilter(year=1999).column()
+        collision(spark, d, 1999, 1999), "road_surface_conditions", "urban_or_rural_area", TimeFilter(year=1999).column()
     )
 
 
@@ -290,7 +282,7 @@ def _(spark, d):
     with_roles("SELECT DISTINCT light_conditions FROM collision WHERE year = 1998 ORDER BY 1", "collision"),
 )
 def _(spark, d):
-    return breakdown.options(collision(spark, d), "light_conditions", F.col("year") == 1998)
+    return breakdown.options(collision(spark, d, 1998, 1998), "light_conditions", F.col("year") == 1998)
 
 
 @add("frequency", with_roles("SELECT casualty_type, count(*) AS n FROM casualty GROUP BY 1", "casualty"))

@@ -172,8 +172,21 @@ ROAD = (
 )
 
 
-def collision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "orders").selectExpr(*COLLISION)
+def collision(spark: SparkSession, sf_dir: str, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
+    """Collisions, optionally of a span of years only.
+
+    A stored collision table is partitioned by year.  Here the year is computed from
+    the order date, so a query that filters on years states them again as a range
+    on the raw column, which the Parquet reader can use to skip row groups.
+    """
+    df = table(spark, sf_dir, "orders")
+    if first_year is not None:
+        when = F.col("o_orderdate")
+        df = df.where(
+            (when >= F.lit(f"{first_year}-01-01").cast("timestamp_ntz"))
+            & (when < F.lit(f"{last_year + 1}-01-01").cast("timestamp_ntz"))
+        )
+    df = df.selectExpr(*COLLISION)
     return df.withColumn("datetime", F.expr(_DATETIME_SPARK))
 
 

@@ -118,6 +118,19 @@ def factor_by_severity(collision: DataFrame, factor: str, condition: Column) ->
     )
 
 
+def all_factors_by_severity(collision: DataFrame, condition: Column, factors: Sequence[str] = FACTORS) -> DataFrame:
+    """Several factors at once as (factor, value, collision_severity, count), in one
+    pass over the collisions instead of one per factor."""
+    _checked(*factors)
+    return (
+        collision.where(condition)
+        .select("collision_severity", *[F.col(f).cast("string").alias(f) for f in factors])
+        .unpivot(["collision_severity"], list(factors), "factor", "value")
+        .groupBy("factor", "value", "collision_severity")
+        .agg(F.count("*").alias("count"))
+    )
+
+
 def factor_interaction(collision: DataFrame, first: str, second: str, condition: Column) -> DataFrame:
     _checked(first, second)
     return collision.where(condition).groupBy(first, second).agg(F.count("*").alias("count"))

@@ -259,10 +259,10 @@ def year_on_year(series: DataFrame) -> DataFrame:
 
 def index_to_base(series: DataFrame, base: int, columns: tuple[str, ...]) -> DataFrame:
     """Long series (year, variable, value) with the base year at 100."""
-    start = series.where(F.col("year") == base)
+    # one row per year: the window is as small as the series
+    at_base = lambda c: F.max(F.when(F.col("year") == base, F.col(c))).over(Window.partitionBy())
     indexed = series.select(
-        "year",
-        *[(F.try_divide(F.col(c).cast("double"), start.select(F.max(c)).scalar()) * 100).alias(c) for c in columns],
+        "year", *[(F.try_divide(F.col(c).cast("double"), at_base(c)) * 100).alias(c) for c in columns]
     )
     return indexed.unpivot(["year"], list(columns), "variable", "value")
 

@@ -58,8 +58,9 @@ def _miles(value: Column, unit: Column) -> Column:
     return F.when(unit == "km", value * MILES_PER_KM).when(unit.isNotNull(), value)
 
 
-def _seconds_between(later: Column, earlier: Column) -> Column:
-    return F.timestamp_diff("SECOND", earlier, later)
+def _at_least(later: Column, earlier: Column, seconds: int) -> Column:
+    """Whether naive times lie that far apart, whatever the session's time zone."""
+    return later - earlier >= F.make_dt_interval(secs=F.lit(seconds))
 
 
 def manufacture_year(year: Column, date: Column) -> Column:
@@ -90,7 +91,7 @@ def summarise_documents(vehicles: DataFrame, lookback_seconds: int = LOOKBACK_SE
     when = lambda t: _moment(t["completedDate"])
     old_enough = F.filter(
         F.slice(tests, 2, F.greatest(F.size(tests), F.lit(1))),
-        lambda t: _seconds_between(when(latest), when(t)) >= lookback_seconds,
+        lambda t: _at_least(when(latest), when(t), lookback_seconds),
     )
     prev = F.get(old_enough, 0)
     flat = vehicles.select(
@@ -146,19 +147,19 @@ def asof_lookback(tests: DataFrame, lookback_seconds: int = LOOKBACK_SECONDS, ke
     maxima collapse it before the second shuffle.
     """
     latest = latest_tests(tests, key)
-    old = (
+    old = _at_least(F.col("latest_date"), F.col("completed"), lookback_seconds)
+    prev = F.max(F.when(old, F.struct("completed", "odometer", "unit")))
+    return (
         tests.select(key, "completed", "odometer", "unit")
-        .join(latest.select(key, "latest_date"), key)
-        .where(_seconds_between(F.col("latest_date"), F.col("completed")) >= lookback_seconds)
-        .groupBy(key)
-        .agg(F.max(F.struct("completed", "odometer", "unit")).alias("t"))
+        .join(latest, key)
+        .groupBy(*latest.columns)
+        .agg(prev.alias("t"))
         .select(
-            key,
+            *latest.columns,
             _miles(F.col("t.odometer"), F.col("t.unit")).alias("prev_odometer"),
             F.col("t.completed").alias("prev_date"),
         )
     )
-    return latest.join(old, key, "left")
 
 
 def annual_mileage(tests: DataFrame, lookback_seconds: int = LOOKBACK_SECONDS, key: str = "vehicle") -> DataFrame:

@@ -9,13 +9,14 @@ by Catalyst and AQE from their measured size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarmac.functions.geo import cell_index, in_ring, ring_area, ring_edges, segment_distance2
-from tarmac.session import ensure_checkpointing
 
 _CELL = ["__cx", "__cy"]
 
@@ -165,65 +166,81 @@ def outside_distance(points: DataFrame, roads: DataFrame, x: str, y: str, distan
     return _by_distance(points, roads, x, y, distance, "left_anti")
 
 
-def _candidates(cells: DataFrame, roads: DataFrame, size: float, wide: float) -> DataFrame:
-    """For base cells (bx, by): roads that could be nearest to some position in them.
+def _cell_bounds(factor: int) -> tuple[Column, Column]:
+    """Least and greatest distance between base cell (bx, by) and the cell (__cx, __cy)
+    that is ``factor`` times as wide, in base-cell widths."""
 
-    Compares the road's distance to the cell centre.  All positions of the cell
-    are within half a diagonal of the centre, so a road more than one diagonal
-    behind the best can never win.
-    """
-    diagonal = size * 2**0.5
-    centre = [(F.col(c) + 0.5) * size for c in ("bx", "by")]
-    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    around = (
-        cells.withColumn("__step", step)
-        .withColumns(
-            {
-                "__cx": cell_index(centre[0], 1 / wide) + F.col("__step.i"),
-                "__cy": cell_index(centre[1], 1 / wide) + F.col("__step.j"),
-            }
+    def axis(base: str, cell: str) -> tuple[Column, Column]:
+        b, lo, hi = F.col(base), F.col(cell) * factor, (F.col(cell) + 1) * factor
+        return (
+            F.greatest(lo - (b + 1), b - hi, F.lit(0)).cast("double"),
+            F.greatest(F.abs(hi - b), F.abs(b + 1 - lo)).cast("double"),
         )
-        .drop("__step")
+
+    (x_lo, x_hi), (y_lo, y_hi) = axis("bx", "__cx"), axis("by", "__cy")
+    return F.sqrt(x_lo * x_lo + y_lo * y_lo), F.sqrt(x_hi * x_hi + y_hi * y_hi)
+
+
+def _candidates(base: DataFrame, road_cells: DataFrame, size: float, extent: float) -> DataFrame:
+    """For base cells (bx, by): every road that can be nearest to a position in them.
+
+    Occupied road cells are searched from coarse to fine.  At each level a cell is
+    dropped when even its closest position lies behind the farthest position of a
+    better one, so only a handful survive per base cell, wherever the roads crowd.
+    """
+    levels = max(1, math.ceil(math.log(2 * extent / size, 4)))
+    widest = 4**levels
+    per_base = Window.partitionBy("bx", "by")
+    occupied = road_cells.select(*_CELL).distinct()
+
+    # at the widest level all roads lie in the cells next to any base cell
+    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    found = base.withColumn("__s", shift).select(
+        "bx",
+        "by",
+        (cell_index(F.col("bx"), 1 / widest) + F.col("__s.i")).alias("__px"),
+        (cell_index(F.col("by"), 1 / widest) + F.col("__s.j")).alias("__py"),
     )
+    for level in range(levels - 1, -1, -1):
+        factor = 4**level
+        cells = occupied.select(*[cell_index(F.col(c), 1 / factor).alias(c) for c in _CELL]).distinct()
+        parents = [cell_index(F.col(c), 1 / 4).alias(p) for c, p in zip(_CELL, ("__px", "__py"))]
+        nearest, farthest = _cell_bounds(factor)
+        found = (
+            found.join(cells.select(*_CELL, *parents), ["__px", "__py"])
+            .withColumn("__best", F.min(farthest).over(per_base))
+            # the margin covers the slack with which roads were spread over cells
+            .where(nearest <= F.col("__best") + 0.01)
+            .select("bx", "by", F.col("__cx").alias("__px"), F.col("__cy").alias("__py"))
+        )
+    # distances to the centre decide the rest: positions are within half a diagonal
+    # of it, so a road more than a diagonal behind the best can never win
+    centre = [(F.col(c) + 0.5) * size for c in ("bx", "by")]
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    pairs = around.join(_road_cells(roads, wide, 0.0), _CELL).select(
-        "bx", "by", "road_id", *ends, F.sqrt(segment_distance2(*centre, *ends)).alias("gap")
+    return (
+        found.join(road_cells.withColumnsRenamed({"__cx": "__px", "__cy": "__py"}), ["__px", "__py"])
+        .withColumn("gap", F.sqrt(segment_distance2(*centre, *ends)))
+        .withColumn("best", F.min("gap").over(per_base))
+        .where(F.col("gap") <= F.col("best") + size * 2**0.5)
+        .select("bx", "by", "road_id", *ends)
+        .distinct()
     )
-    # a road outside the 3x3 block is at least ``wide`` away from the cell
-    settled = pairs.groupBy("bx", "by").agg(F.min("gap").alias("best")).where(F.col("best") + diagonal / 2 <= wide)
-    near = pairs.join(settled, ["bx", "by"]).where(F.col("gap") <= F.col("best") + diagonal)
-    return near.drop("best", "gap").distinct()
 
 
 def nearest_road(points: DataFrame, roads: DataFrame, x: str, y: str, size: float, extent: float) -> DataFrame:
     """Distinct positions with their nearest road (``road_id``, ``distance``, ``n``
     points there); ties go to the lowest id.
 
-    The search widens by factors of four until every occupied base cell has its
-    exact candidate list.  It works on occupied cells, of which there are at most
-    (extent / size) squared however many points fall in them; the points
-    themselves are joined once, at the end.  ``extent`` bounds the coordinates.
+    The search runs over occupied base cells, of which there are at most
+    (extent / size) squared however many points fall in them; the points themselves
+    are joined once, at the end.  ``extent`` bounds the absolute coordinates.
     """
-    spark = points.sparkSession
-    ensure_checkpointing(spark)
     roads = roads.select("road_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
     spots = points.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
         F.count("*").alias("n")
     )
     spots = spots.withColumns({"bx": cell_index(F.col("x"), 1 / size), "by": cell_index(F.col("y"), 1 / size)})
-    open_cells = spots.select("bx", "by").distinct().checkpoint()
-    lists, wide = [], size
-    while True:
-        # beyond the extent every road is inside the block, so all cells settle
-        found = _candidates(open_cells, roads, size, wide).checkpoint()
-        lists.append(found)
-        open_cells = open_cells.join(found.select("bx", "by").distinct(), ["bx", "by"], "left_anti").checkpoint()
-        if wide > 4 * extent or open_cells.isEmpty():
-            break
-        wide *= 4
-    candidates = lists[0]
-    for more in lists[1:]:
-        candidates = candidates.unionByName(more)
+    candidates = _candidates(spots.select("bx", "by").distinct(), _road_cells(roads, size, 0.0), size, extent)
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     gap = F.sqrt(segment_distance2(F.col("x"), F.col("y"), *ends))
     winner = F.min(F.struct(gap.alias("distance"), F.col("road_id")))
