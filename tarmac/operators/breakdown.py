@@ -17,6 +17,7 @@ from tarmac.functions import dates
 from tarmac.functions.predicates import all_of, any_of
 from tarmac.functions.severity import count_if
 from tarmac.model import FACTORS
+from tarmac.operators.quantiles import exact_quantiles
 
 
 
@@ -245,20 +246,17 @@ def top_with_ties(df: DataFrame, weight: str, n: int) -> DataFrame:
 
 def above_median(df: DataFrame, column: str) -> DataFrame:
     """Rows above the column's exact median."""
-    return df.where(F.col(column) > df.agg(F.median(column)).scalar())
+    median = exact_quantiles(df, column, [0.5])[0]
+    return df.where(F.col(column) > F.lit(median))
 
 
 def five_numbers(df: DataFrame, column: str) -> DataFrame:
-    """Minimum, quartiles, maximum (exact, linear interpolation), mean and NULL count.
-
-    Meant for coded measures (ages, capacities, limits): the aggregate keeps one
-    counter per distinct value, and those columns have a bounded domain.
-    """
-    points = F.percentile(column, [0.0, 0.25, 0.5, 0.75, 1.0])
+    """Minimum, quartiles, maximum (exact, linear interpolation), mean and NULL count."""
     names = ["min", "q1", "median", "q3", "max"]
-    return df.agg(
-        points.alias("p"), F.avg(column).alias("mean"), F.count(F.when(F.col(column).isNull(), 1)).alias("n_missing")
-    ).select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)], "mean", "n_missing")
+    points = exact_quantiles(df, column, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return df.agg(F.avg(column).alias("mean"), F.count(F.when(F.col(column).isNull(), 1)).alias("n_missing")).select(
+        *[F.lit(v).cast("double").alias(n) for n, v in zip(names, points)], "mean", "n_missing"
+    )
 
 
 def column_profile(df: DataFrame, order_by: str) -> DataFrame:
@@ -293,9 +291,10 @@ def make_model_by_year(vehicle: DataFrame, year: str, model: str) -> DataFrame:
         F.count("*").alias("n_make_model"),
         F.bround(missing / F.sum("n") * 100, 0).cast("bigint").alias("percent_na"),
     )
-    ranked = counts.where(F.col("model").isNotNull()).withColumn(
-        "place", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "model"))
-    )
+    # missing models rank last instead of being filtered out, so that both branches
+    # read the same shuffled counts
+    order = Window.partitionBy("year").orderBy(F.col("model").isNull(), F.desc("n"), "model")
+    ranked = counts.withColumn("place", F.row_number().over(order))
     at = [F.coalesce(F.max(F.when(F.col("place") == i, F.col("model"))), F.lit("NA")) for i in range(2, 7)]
     leaders = ranked.where(F.col("place") <= 6).groupBy("year").agg(F.concat_ws(", ", *at).alias("top_5_make_model"))
     nothing = F.lit(", ".join(["NA"] * 5))

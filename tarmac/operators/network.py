@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,31 +26,34 @@ def touching_roads(ends: DataFrame) -> DataFrame:
     )
 
 
-def neighbourhood(roads: DataFrame, edges: DataFrame, order: int, checkpoint_every: int = 2) -> DataFrame:
+def neighbourhood(roads: DataFrame, edges: DataFrame, order: int) -> DataFrame:
     """Pairs (road_id, member): every road reachable in at most ``order`` steps,
-    itself included.
+    itself included.  ``edges`` holds both directions of every link.
 
-    Each round extends only the pairs found in the round before.  Lineage is cut
-    at intervals, and the loop ends early once nothing new is reached.
+    Each round extends only the pairs found in the round before.  As links go both
+    ways, what a round finds can repeat only the last two rounds, so older pairs
+    need not be looked at again.  Rounds are checkpointed, because the next one
+    reads its predecessor twice, and the loop ends once nothing new is reached.
     """
     ensure_checkpointing(roads.sparkSession)
-    reached = roads.select("road_id", F.col("road_id").alias("member"))
-    frontier = reached
+    if order > 1:
+        edges = edges.checkpoint()
+    rounds = [roads.select("road_id", F.col("road_id").alias("member"))]
     for step in range(1, order + 1):
-        grown = (
-            frontier.join(edges, frontier["member"] == edges["src"])
+        last = rounds[-1]
+        found = (
+            last.join(edges, last["member"] == edges["src"])
             .select("road_id", F.col("dst").alias("member"))
             .distinct()
         )
-        frontier = grown.join(reached, ["road_id", "member"], "left_anti")
-        if step % checkpoint_every == 0 and step < order:
-            frontier = frontier.checkpoint()
-            if frontier.isEmpty():
+        for seen in rounds[-2:]:
+            found = found.join(seen, ["road_id", "member"], "left_anti")
+        if step < order:
+            found = found.checkpoint()
+            if found.isEmpty():
                 break
-            reached = reached.unionByName(frontier).checkpoint()
-        else:
-            reached = reached.unionByName(frontier)
-    return reached
+        rounds.append(found)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def smooth(counts: DataFrame, edges: DataFrame, order: int) -> DataFrame:

@@ -235,7 +235,10 @@ def nearest_road(points: DataFrame, roads: DataFrame, x: str, y: str, size: floa
     (extent / size) squared however many points fall in them; the points themselves
     are joined once, at the end.  ``extent`` bounds the absolute coordinates.
     """
-    roads = roads.select("road_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    # roads in the very same place are one candidate: the lowest id wins anyway
+    roads = roads.groupBy(*[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]).agg(
+        F.min("road_id").alias("road_id")
+    )
     spots = points.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
         F.count("*").alias("n")
     )

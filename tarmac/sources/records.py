@@ -71,9 +71,11 @@ def declared_schema(header: Sequence[str], types: dict[str, T.DataType] = RAW_TY
 
 def read_csv(spark: SparkSession, path: str | list[str], types: dict[str, T.DataType] = RAW_TYPES) -> DataFrame:
     """CSV with a header, typed by declaration.  Only the header is looked at before
-    the scan; values that do not fit their type become NULL."""
+    the scan; values that do not fit their type become NULL.  Several files must
+    share one header: a file that differs is an error, not a shifted table."""
     header = spark.read.option("header", True).csv(path).columns
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(declared_schema(header, types)).csv(path)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+    return reader.schema(declared_schema(header, types)).csv(path)
 
 
 def kind_of(text: str) -> str:

@@ -14,10 +14,26 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
-    """Create or replace a catalog table."""
+def write_table(
+    df: DataFrame,
+    name: str,
+    partition_by: Sequence[str] = (),
+    buckets: tuple[int, str] | None = None,
+    path: str | None = None,
+) -> None:
+    """Create or replace a catalog table.
+
+    ``buckets`` (number, column) stores rows hashed and sorted by a key.  Facts
+    bucketed alike on the collision key join without shuffling either side.
+    """
     writer = df.write.mode("overwrite").format("parquet")
-    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if buckets:
+        writer = writer.bucketBy(buckets[0], buckets[1]).sortBy(buckets[1])
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

@@ -1,10 +1,13 @@
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tarmac.functions.predicates import TimeFilter, all_of, any_of, equal_unless_all, severity_in
 from tarmac.operators import breakdown, kpi
+from tarmac.operators.quantiles import exact_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +123,14 @@ def test_profile(spark):
         "s": ("string", 2, "y", "x"),
         "d": ("double", 2, "2.0", "2.0"),
     }
+
+
+def test_exact_quantiles_narrow_to_the_same_values(spark):
+    rng = random.Random(11)
+    values = [rng.choice([rng.lognormvariate(0, 8), -rng.random(), 7.0, 7.0]) for _ in range(4001)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 50, "v double").repartition(5)
+    points = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    want = np.quantile(values, points)
+    for in_memory in (1_000_000, 3):
+        np.testing.assert_allclose(exact_quantiles(df, "v", points, in_memory), want, rtol=1e-12)
+    assert exact_quantiles(df.where("v is null"), "v", [0.5]) == [None]

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from tarmac.functions.predicates import TimeFilter
 from tarmac.model import CODE_MAP
-from tarmac.operators import matching, models, quality
+from tarmac.operators import decode, joins, matching, models, quality
 from tarmac.plans import dashboard, etl
 from tarmac.sources import geojson, records, tables
 
@@ -156,6 +156,41 @@ def test_partitioned_sink_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in one._jdf.queryExecution().toString()
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    for name, rows in (("t_parent", 100), ("t_child", 400)):
+        df = spark.range(rows).select((F.col("id") % 100).alias("collision_index"), F.col("id").alias(name))
+        tables.write_table(df, name, buckets=(4, "collision_index"), path=str(tmp_path / name))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joins.casualty_with_collision(spark.table("t_child"), spark.table("t_parent"))
+        assert joined.count() == 400
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE t_parent")
+        spark.sql("DROP TABLE t_child")
+
+
+def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("collision_index,speed_limit\nA,30\n")
+    (tmp_path / "b.csv").write_text("speed_limit,collision_index\n40,B\n")
+    with pytest.raises(Exception):
+        records.read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+    one = records.read_csv(spark, str(tmp_path / "a.csv")).first()
+    assert (one.collision_index, one.speed_limit) == ("A", 30)
+
+
+def test_code_map_from_csv_keeps_file_order(spark, tmp_path):
+    path = tmp_path / "codes.csv"
+    path.write_text("table,variable,code,label,note,type\ncollision,road,1,Old,,\ncollision,road,1,New,,\n")
+    codes = records.read_code_map(spark, str(path))
+    df = spark.createDataFrame([(1,)], "road int")
+    assert decode.decode_labels(df, codes, "collision", ["road"]).first().road == "New"
+    text = spark.createDataFrame([("1",)], "road string")
+    assert decode.decode_typed(text, codes, ["road"]).first().road == "Old"
+
+
 def test_catalog_probe(spark):
     spark.range(3).createOrReplaceTempView("present_table")
     rows = {r.table_name: (r.present, r.n_rows) for r in quality.table_sizes(spark, ["present_table", "absent_table"]).collect()}
