@@ -319,10 +319,11 @@ def _(spark, d):
 def _bng_sql() -> str:
     """Textbook inverse projection and datum shift, written out for SQL."""
     a, b, f0 = "6377563.396e0", "6356256.909e0", "0.9996012717e0"
-    arc = (
-        f"{b}*{f0}*((1+n+1.25e0*n**2+1.25e0*n**3)*(phi-phi0)-(3*n+3*n**2+21.0e0/8*n**3)*sin(phi-phi0)*cos(phi+phi0)"
-        "+(15.0e0/8*n**2+15.0e0/8*n**3)*sin(2*(phi-phi0))*cos(2*(phi+phi0))-35.0e0/24*n**3*sin(3*(phi-phi0))*cos(3*(phi+phi0)))"
+    series = (
+        "({x} + (-1.5e0*n + 9e0/16*n**3)*sin(2*{x}) + (15e0/16*n**2 - 15e0/32*n**4)*sin(4*{x}) "
+        "- 35e0/48*n**3*sin(6*{x}) + 315e0/512*n**4*sin(8*{x}))"
     )
+    arc = f"{a}*{f0}/(1+n)*(1+n**2/4+n**4/64)*({series.format(x='phi')} - {series.format(x='phi0')})"
     consts = f"CAST(({a}-{b})/({a}+{b}) AS DOUBLE) AS n, radians(49) AS phi0, CAST(1-({b}*{b})/({a}*{a}) AS DOUBLE) AS e2"
     steps = [
         f"s0 AS (SELECT collision_index, location_easting_osgr - 400000 AS dx, location_northing_osgr AS nn, {consts}, "
