@@ -82,12 +82,14 @@ def light_group(light: Column) -> Column:
 
 
 def casualty_pivot(casualty: DataFrame, types: Sequence[str]) -> DataFrame:
-    """Per collision one column per casualty type, 0 where absent, and the row total."""
-    wide = casualty.groupBy("collision_index").pivot("casualty_type", list(types)).agg(F.count(F.lit(1))).fillna(0)
-    total = F.lit(0).cast("bigint")
-    for kind in types:
-        total = total + F.col(f"`{kind}`")
-    return wide.withColumn("total", total)
+    """Per collision one column per casualty type, 0 where absent, and the row total.
+
+    Conditional counts need one shuffle; a pivot of raw rows would need two.
+    """
+    kind = F.col("casualty_type")
+    return casualty.groupBy("collision_index").agg(
+        *[count_if(kind == name).alias(name) for name in types], count_if(kind.isin(*types)).alias("total")
+    )
 
 
 def modes_long(with_mix: DataFrame, key: Column, name: str) -> DataFrame:

@@ -71,18 +71,17 @@ def join_zones(points: DataFrame, zones: DataFrame, x: str, y: str, size: float,
 
 
 def zones_with_points(zones: DataFrame, points: DataFrame, x: str, y: str, size: float, key: str = "zone_id") -> DataFrame:
-    """Zones containing at least one point.  Points are cut to distinct positions
-    first, and matches to one row per zone before the shuffle."""
-    spots = points.select(x, y).distinct()
-    hit = join_zones(spots, zones.select(key, "ring"), x, y, size, "inner").select(key).distinct()
+    """Zones containing at least one point.  Matches shrink to one row per zone and
+    task before any shuffle."""
+    hit = join_zones(points.select(x, y), zones.select(key, "ring"), x, y, size, "inner").select(key).distinct()
     return zones.join(hit, key, "left_semi")
 
 
 def zone_counts(zones: DataFrame, points: DataFrame, x: str, y: str, size: float, key: str = "zone_id") -> DataFrame:
-    """Points per zone, zones without any included.  Coinciding points are counted
-    together before the geometry test."""
-    spots = points.groupBy(x, y).agg(F.count("*").alias("n"))
-    tally = join_zones(spots, zones.select(key, "ring"), x, y, size, "inner").groupBy(key).agg(F.sum("n").alias("n"))
+    """Points per zone, zones without any included.  While the layer is small enough
+    to be broadcast, points are matched and counted where they are read."""
+    matched = join_zones(points.select(x, y), zones.select(key, "ring"), x, y, size, "inner")
+    tally = matched.groupBy(key).agg(F.count("*").alias("n"))
     return zones.drop("ring").join(tally, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -90,13 +89,8 @@ def zone_means(
     zones: DataFrame, points: DataFrame, value: str, x: str, y: str, size: float, key: str = "zone_id"
 ) -> DataFrame:
     """Mean of a point attribute per zone; NULL for zones without points."""
-    spots = points.groupBy(x, y).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    sums = (
-        join_zones(spots, zones.select(key, "ring"), x, y, size, "inner")
-        .groupBy(key)
-        .agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
-    )
-    return zones.drop("ring").join(sums, key, "left")
+    matched = join_zones(points.select(x, y, value), zones.select(key, "ring"), x, y, size, "inner")
+    return zones.drop("ring").join(matched.groupBy(key).agg(F.avg(value).alias("mean")), key, "left")
 
 
 def zone_density(zones: DataFrame, amount: str, unit_area: float) -> DataFrame:

@@ -56,26 +56,40 @@ AGGREGATES = {
 
 
 def run(
-    spark: SparkSession, files: dict[str, str | list[str]], code_map: DataFrame, out: str
+    spark: SparkSession,
+    files: dict[str, str | list[str]],
+    code_map: DataFrame,
+    out: str,
+    buckets: int | None = None,
 ) -> dict[str, DataFrame]:
     """Clean ``files`` (kind to path) into Parquet tables below ``out``.
 
     The cleaned CSV copies are written before keys are enforced, so they still hold
-    orphans; the tables do not.  Collisions are partitioned by year.
+    orphans; the tables do not.  Collisions are partitioned by year.  With
+    ``buckets`` the facts become catalog tables hashed on the collision key (files
+    still below ``out``): enforcing keys and building the master table then starts
+    without shuffling them.
     """
+
+    def store(df: DataFrame, folder: str, name: str, by_year: bool = False) -> DataFrame:
+        partition_by = ["year"] if by_year else []
+        if buckets is None:
+            return tables.materialise(df, f"{out}/{folder}", partition_by)
+        tables.write_table(df, name, partition_by, (buckets, joins.COLLISION_KEY), f"{out}/{folder}")
+        return spark.table(name)
+
     cleaned: dict[str, DataFrame] = {}
     for kind, path in files.items():
         df = clean_table(records.read_csv(spark, path), kind, code_map)
-        cleaned[kind] = tables.materialise(df, f"{out}/cleaned/{kind}")
+        cleaned[kind] = store(df, f"cleaned/{kind}", f"cleaned_{kind}")
         tables.write_csv(cleaned[kind], f"{out}/csv/{kind}")
     result = {"code_map": tables.materialise(code_map, f"{out}/code_map")}
     children = {k: cleaned[k] for k in ("vehicle", "casualty") if k in cleaned}
     if "collision" in cleaned:
-        collision = tables.materialise(cleaned["collision"], f"{out}/collision", ["year"])
-        result["collision"] = collision
-        children = enforce_keys(collision, **children)
+        result["collision"] = store(cleaned["collision"], "collision", "collision", by_year=True)
+        children = enforce_keys(result["collision"], **children)
     for name, child in children.items():
-        result[name] = tables.materialise(child, f"{out}/{name}")
+        result[name] = store(child, name, name)
     if {"collision", "vehicle", "casualty"} <= set(result):
         whole = joins.master(result["collision"], result["vehicle"], result["casualty"])
         result["master"] = tables.materialise(whole, f"{out}/master")

@@ -91,6 +91,24 @@ def test_etl_invariants(spark, built):
     assert [(r.variable, r.label, r.n) for r in bad.collect()] == [("weather_conditions", "-1", 1)]
 
 
+def test_etl_with_buckets_gives_the_same_tables(spark, built, tmp_path):
+    result, folder, _ = built
+    files = {k: f"{folder}/dft-road-casualty-statistics-{k}-2020.csv" for k in ("collision", "vehicle", "casualty")}
+    stored = etl.run(spark, files, spark.createDataFrame(CODES, CODE_MAP), str(tmp_path), buckets=4)
+    try:
+        for name, df in result.items():
+            columns = sorted(df.columns)
+            assert sorted(map(str, df.select(columns).collect())) == sorted(map(str, stored[name].select(columns).collect()))
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kept = joins.keep_children(stored["casualty"], stored["collision"])
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    finally:
+        for name in ("collision", "vehicle", "casualty", "cleaned_collision", "cleaned_vehicle", "cleaned_casualty"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_pages_on_the_built_tables(spark, built):
     result = built[0]
     when, both = TimeFilter(year=2020), ["Fatal", "Serious", "Slight"]
