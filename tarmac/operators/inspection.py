@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.model import INSPECTION_DOC
+from tarmac.operators.joins import salted_join
 
 # Miles per kilometre, days per year, and the least age in seconds
 # of the earlier reading used for a mileage estimate.
@@ -142,16 +143,15 @@ def latest_tests(tests: DataFrame, key: str = "vehicle") -> DataFrame:
 def asof_lookback(tests: DataFrame, lookback_seconds: int = LOOKBACK_SECONDS, key: str = "vehicle") -> DataFrame:
     """Latest test of each vehicle and the most recent one at least that much older.
 
-    The latest tests are one row per vehicle, so joining them back to the tests
-    is many-to-one: a hot vehicle is split by the adaptive skew join, and partial
-    maxima collapse it before the second shuffle.
+    The latest tests are one row per vehicle; they are joined back to the tests with
+    salt, so a vehicle with very many tests is spread over tasks, and partial maxima
+    collapse it before the second shuffle.
     """
     latest = latest_tests(tests, key)
     old = _at_least(F.col("latest_date"), F.col("completed"), lookback_seconds)
     prev = F.max(F.when(old, F.struct("completed", "odometer", "unit")))
     return (
-        tests.select(key, "completed", "odometer", "unit")
-        .join(latest, key)
+        salted_join(tests.select(key, "completed", "odometer", "unit"), latest, key, ["completed", "odometer"])
         .groupBy(*latest.columns)
         .agg(prev.alias("t"))
         .select(

@@ -52,6 +52,19 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     return left.join(renamed, condition, how).drop(*[f"__{c}" for c in shared])
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, salt_by: Sequence[str], salts: int = 4) -> DataFrame:
+    """Inner join of many rows to a reduced table with one row per key.
+
+    A reduced table is already partitioned by its key, and joined as it is would
+    send all rows of a hot key to one task that the adaptive skew join may not
+    split.  Salting the many side spreads the key at once, and as both sides are
+    then shuffled for the join, what is still skewed is split at run time.
+    """
+    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
+    copies = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("__salt", salt).join(copies, [key, "__salt"]).drop("__salt")
+
+
 def other_vehicle(casualty: DataFrame, vehicle: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Casualties of two-vehicle collisions with the vehicle they were not in.
 
@@ -67,7 +80,7 @@ def other_vehicle(casualty: DataFrame, vehicle: DataFrame, columns: Sequence[str
         .select(COLLISION_KEY, F.array("a", "b").alias("parties"))
     )
     return (
-        casualty.join(pairs, COLLISION_KEY)
+        salted_join(casualty, pairs, COLLISION_KEY, casualty.columns)
         .withColumn("other", F.explode(F.filter("parties", lambda v: v["vehicle_reference"] != F.col("vehicle_reference"))))
         .drop("parties")
         .select(
