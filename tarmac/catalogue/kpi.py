@@ -16,22 +16,21 @@ add = catalogue.add
 
 _TWO = ("Fatal", "Serious")
 
-_MONTHLY_SQL = """
-SELECT year, month_num, month,
-  CAST(sum(CASE WHEN collision_severity = 'Fatal' THEN 1 ELSE 0 END) AS BIGINT) AS fatal,
-  CAST(sum(CASE WHEN collision_severity = 'Serious' THEN 1 ELSE 0 END) AS BIGINT) AS serious,
-  CAST(sum(CASE WHEN collision_severity = 'Slight' THEN 1 ELSE 0 END) AS BIGINT) AS slight,
-  CAST(sum(CASE WHEN collision_severity = 'Fatal' THEN number_of_casualties ELSE 0 END) AS BIGINT) AS fatal_casualties,
-  CAST(sum(CASE WHEN collision_severity = 'Serious' THEN number_of_casualties ELSE 0 END) AS BIGINT) AS serious_casualties,
-  CAST(sum(CASE WHEN collision_severity = 'Slight' THEN number_of_casualties ELSE 0 END) AS BIGINT) AS slight_casualties,
-  CAST(sum(CASE WHEN collision_severity = 'Fatal' THEN number_of_vehicles ELSE 0 END) AS BIGINT) AS fatal_vehicles,
-  CAST(sum(CASE WHEN collision_severity = 'Serious' THEN number_of_vehicles ELSE 0 END) AS BIGINT) AS serious_vehicles,
-  CAST(sum(CASE WHEN collision_severity = 'Slight' THEN number_of_vehicles ELSE 0 END) AS BIGINT) AS slight_vehicles,
-  CAST(sum(CASE WHEN collision_severity = 'Fatal' THEN 1 ELSE 0 END) AS BIGINT) AS adj_fatal,
-  sum(collision_adjusted_severity_serious) AS adj_serious,
-  sum(collision_adjusted_severity_slight) AS adj_slight
-FROM collision GROUP BY year, month_num, month
-"""
+def _monthly_columns() -> str:
+    """Conditional counts and sums per severity, with filter clauses."""
+    columns = []
+    for name in ("Fatal", "Serious", "Slight"):
+        only = f"FILTER (collision_severity = '{name}')"
+        low = name.lower()
+        columns.append(f"count(*) {only} AS {low}")
+        for what in ("casualties", "vehicles"):
+            columns.append(f"CAST(coalesce(sum(number_of_{what}) {only}, 0) AS BIGINT) AS {low}_{what}")
+    columns.append("count(*) FILTER (collision_severity = 'Fatal') AS adj_fatal")
+    columns += [f"sum(collision_adjusted_severity_{low}) AS adj_{low}" for low in ("serious", "slight")]
+    return ", ".join(columns)
+
+
+_MONTHLY_SQL = f"SELECT year, month_num, month, {_monthly_columns()} FROM collision GROUP BY ALL"
 
 _DAILY_SQL = """
 SELECT date, year, month_num, collision_severity, count(*) AS collisions,
@@ -403,21 +402,28 @@ def _(spark, d):
 
 # --- hotspots -----------------------------------------------------------------
 
-_CELLS = """
-SELECT concat(CAST(gx AS VARCHAR), '_', CAST(gy AS VARCHAR)) AS cell_id,
-  (gx + CAST(0.5 AS DOUBLE)) / {scale} AS grid_lat, (gy + CAST(0.5 AS DOUBLE)) / {scale} AS grid_lon,
-  count(*) AS collisions, CAST(sum(casualties) AS BIGINT) AS casualties,
-  CAST(sum(CASE collision_severity WHEN 'Fatal' THEN 3 WHEN 'Serious' THEN 2 WHEN 'Slight' THEN 1 ELSE 0 END) AS BIGINT) AS risk_score
-FROM (SELECT *, CAST(floor(latitude * {scale}) AS BIGINT) AS gx, CAST(floor(longitude * {scale}) AS BIGINT) AS gy
-      FROM geo_events WHERE {where}) GROUP BY gx, gy
-"""
-
-_DISTANCE = (
-    "3958.8 * 2 * asin(sqrt(least(1, pow(sin(radians((grid_lat - 51.5074) / 2)), 2) + cos(radians(51.5074)) "
-    "* cos(radians(grid_lat)) * pow(sin(radians((grid_lon + 0.1278) / 2)), 2))))"
+# risk weights come from a joined list of values
+_CELLS = (
+    "SELECT gx || '_' || gy AS cell_id, (gx + CAST(0.5 AS DOUBLE)) / {scale} AS grid_lat, (gy + CAST(0.5 AS DOUBLE)) / {scale} AS grid_lon, "
+    "count(*) AS collisions, CAST(sum(casualties) AS BIGINT) AS casualties, CAST(sum(coalesce(weight, 0)) AS BIGINT) AS risk_score "
+    "FROM (SELECT *, CAST(floor(latitude * {scale}) AS BIGINT) AS gx, CAST(floor(longitude * {scale}) AS BIGINT) AS gy FROM geo_events WHERE {where}) "
+    "LEFT JOIN (VALUES ('Fatal', 3), ('Serious', 2), ('Slight', 1)) AS w(severity, weight) ON severity = collision_severity GROUP BY gx, gy"
 )
 
 
+def _chord_sql(lat: str, lon: str) -> str:
+    """Distance from the centre through the chord between unit vectors."""
+    at = "cos(radians({0})) * cos(radians({1})), cos(radians({0})) * sin(radians({1})), sin(radians({0}))"
+    squares = " + ".join(
+        f"pow({a} - {b}, 2)"
+        for a, b in zip(at.format(lat, lon).split(", "), at.format("51.5074", "-0.1278").split(", "))
+    )
+    return f"2 * 3958.8 * asin(least(1, sqrt({squares}) / 2))"
+
+
+_DISTANCE = _chord_sql("grid_lat", "grid_lon")
+
+
 def _hotspot_sql(scale: int, where: str, tail: str) -> str:
     return with_roles(
         f"SELECT cell_id, round(grid_lat, 6) AS grid_lat, round(grid_lon, 6) AS grid_lon, collisions, casualties, "
@@ -473,7 +479,7 @@ def _(spark, d):
     "haversine",
     with_roles(
         "SELECT collision_index, round("
-        + _DISTANCE.replace("grid_lat", "latitude").replace("grid_lon", "longitude")
+        + _chord_sql("latitude", "longitude")
         + ", 6) AS miles FROM collision WHERE latitude IS NOT NULL",
         "collision",
     ),

@@ -20,13 +20,11 @@ def _rounded(df, *columns):
 
 # --- demographics -------------------------------------------------------------
 
-_DEMO_SQL = """
-SELECT c.casualty_type, c.age_group, c.sex_of_casualty, c.casualty_severity, count(*) AS count
-FROM casualty c JOIN collision col ON c.collision_index = col.collision_index
-WHERE col.year = 1998 AND col.collision_severity IN ('Fatal', 'Serious')
-  AND c.casualty_class IN ('Driver or rider', 'Passenger', 'Pedestrian') AND c.sex_of_casualty IN ('Male', 'Female')
-GROUP BY 1, 2, 3, 4
-"""
+_DEMO_SQL = (
+    "SELECT casualty_type, age_group, sex_of_casualty, casualty_severity, count(*) AS count FROM casualty JOIN collision USING (collision_index) "
+    "WHERE year = 1998 AND collision_severity <> 'Slight' AND casualty_class IN ('Driver or rider', 'Passenger', 'Pedestrian') "
+    "AND sex_of_casualty IN ('Male', 'Female') GROUP BY ALL"
+)
 
 
 def _demo(spark, d):
@@ -51,10 +49,9 @@ def _(spark, d):
 @add(
     "demographic_filters",
     with_roles(
-        "SELECT c.casualty_type, c.age_group, c.sex_of_casualty, c.casualty_severity, count(*) AS count "
-        "FROM casualty c JOIN collision col ON c.collision_index = col.collision_index "
-        "WHERE col.date BETWEEN '1997-01-01' AND '1999-06-30' AND c.casualty_class = 'Pedestrian' "
-        "AND c.age_group IN ('Child', 'Senior', 'Unknown') GROUP BY 1, 2, 3, 4",
+        "SELECT casualty_type, age_group, sex_of_casualty, casualty_severity, count(*) AS count FROM casualty JOIN collision USING (collision_index) "
+        "WHERE date BETWEEN '1997-01-01' AND '1999-06-30' AND casualty_class = 'Pedestrian' "
+        "AND age_group IN ('Child', 'Senior', 'Unknown') GROUP BY ALL",
         "casualty",
         "collision",
     ),

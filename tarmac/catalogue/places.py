@@ -16,7 +16,7 @@ add = catalogue.add
 # cell sizes: degrees for areas, metres for roads
 _ZONE_CELL = 0.5
 _DISTANCE = 5000.0
-_EXTENT = 1_300_000.0
+_EXTENT = 1_280_000.0
 
 _INSIDE = "k.longitude BETWEEN z.x0 AND z.x1 AND k.latitude BETWEEN z.y0 AND z.y1"
 
