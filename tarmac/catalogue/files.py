@@ -163,7 +163,7 @@ def _(spark, d):
     "fuzzy_join",
     "WITH a AS (SELECT DISTINCT p_name AS old_name FROM part), b AS (SELECT DISTINCT substr(p_name, 2, 1) || substr(p_name, 1, 1) || "
     "substr(p_name, 3) || CASE WHEN p_size % 2 = 1 THEN 's' ELSE '_retired' END AS new_name FROM part) "
-    "SELECT old_name, new_name, damerau_levenshtein(old_name, new_name) AS distance FROM a FULL JOIN b "
+    "SELECT old_name, new_name, CAST(damerau_levenshtein(old_name, new_name) AS INT) AS distance FROM a FULL JOIN b "
     "ON damerau_levenshtein(old_name, new_name) <= 2",
 )
 def _(spark, d):
