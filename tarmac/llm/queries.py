@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.catalogue.entry import Catalogue
-from tarmac.llm import quality_rules, simhash
+from tarmac.llm import anchor_dedup, prefix_free, quality_rules, simhash
 from tarmac.llm.common import table
 
 catalogue = Catalogue()
@@ -27,3 +27,19 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@catalogue.add("op8_fixed_anchors")
+def op8_fixed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = anchor_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), "spans")
+
+
+@catalogue.add("op10_prefix_free_dedup")
+def op10_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans"
+    )
