@@ -3,8 +3,9 @@
 Only the histogram reaches the driver: at most ``capacity`` numbers.  The linear
 program has a variable for each way to fill a sequence; multiplicative weights
 solve it, and a knapsack dynamic program finds the best filling at the current
-prices.  The solution is rounded down; the few pieces that are left are filled by
-exact subset sums, the longest first.  Each piece then looks up its place by its
+prices.  The solution is rounded down; what is left is filled by exact subset
+sums, the longest first.  Of several shares of the solution that one is kept which
+needs the fewest sequences in the end.  Each piece then looks up its place by its
 number among the pieces of its length, which partitions count by themselves.
 
 Null texts are empty and consist of the end token.  Every row is a document of
@@ -119,23 +120,30 @@ def best_filling(price: np.ndarray, lengths: np.ndarray, capacity: int) -> list[
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 1500, rate: float = 0.5) -> dict[tuple[int, ...], float]:
-    """A covering of all ``counts`` by fillings, about as small as the linear program allows: multiplicative weights."""
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 800) -> dict[tuple[int, ...], float]:
+    """Fillings (indexes of lengths) with weights that cover the ``counts``: the linear program by multiplicative weights.
+
+    A length's price starts at its share of a sequence and falls by a factor for
+    every time that its pieces are covered; the filling that brings the most is
+    added until everything is covered or the rounds are over, then scaled to cover
+    no more than there is on average.
+    """
+    # few lengths allow small steps within the same rounds, and with them steep prices
+    step = float(np.clip(len(lengths) / rounds, 0.004, 0.25))
+    rate = min(20.0, 0.25 / step)
     covered = np.zeros(len(lengths))
     found: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         lag = covered / counts
-        price = np.exp(-(lag - lag.min()) / rate) / counts
-        filling = tuple(sorted(best_filling(price, lengths, capacity)))
+        if lag.min() >= 1:
+            break
+        filling = tuple(sorted(best_filling(lengths / capacity * np.exp(-rate * (lag - lag.min())), lengths, capacity)))
         used, times = np.unique(filling, return_counts=True)
-        step = rate * float((counts[used] / times).min())
-        covered[used] += step * times
-        found[filling] = found.get(filling, 0.0) + step
-    # no length more than once covered: what lacks is filled afterwards
-    scale = np.minimum(1.0, counts / np.maximum(covered, 1e-300))
-    if covered.min() > 0:
-        scale = counts / covered
-    return {f: x * float(scale[list(f)].min()) for f, x in found.items()}
+        add = step * float((counts[used] / times).min())
+        covered[used] += add * times
+        found[filling] = found.get(filling, 0.0) + add
+    scale = min(1.0, 1.0 / float((covered / counts).mean()))
+    return {f: x * scale for f, x in found.items()}
 
 
 def fill_rest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -177,15 +185,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.int64)
     if not len(lengths):
         return []
-    left, chosen = counts.copy(), []
-    for filling, x in sorted(solve(lengths, counts.astype(float), capacity).items(), key=lambda fx: -fx[1]):
-        used, times = np.unique(filling, return_counts=True)
-        many = min(int(x), int((left[used] // times).min()))
-        if many and lengths[list(filling)].sum() >= capacity - capacity // 256:
-            left[used] -= many * times
-            chosen.append((filling, many))
-    chosen += fill_rest(lengths, left, capacity)
-    return [(tuple(int(lengths[i]) for i in filling), many) for filling, many in chosen]
+    solution = sorted(solve(lengths, counts.astype(float), capacity).items(), key=lambda fx: -fx[1])
+    best: list[tuple[tuple[int, ...], int]] = []
+    # rounded down to several shares of the solution: whichever leaves the rest easiest to fill
+    for share in (1.0, 0.5, 0.25, 0.0):
+        left, chosen = counts.copy(), []
+        for filling, x in solution:
+            used, times = np.unique(filling, return_counts=True)
+            many = min(int(share * x), int((left[used] // times).min()))
+            if many:
+                left[used] -= many * times
+                chosen.append((filling, many))
+        chosen += fill_rest(lengths, left, capacity)
+        if not best or sum(m for _, m in chosen) < sum(m for _, m in best):
+            best = chosen
+    return [(tuple(int(lengths[i]) for i in filling), many) for filling, many in best]
 
 
 def _slots(fillings: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:

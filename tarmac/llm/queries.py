@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.catalogue.entry import Catalogue
-from tarmac.llm import anchor_dedup, bpe, packing, prefix_free, quality_rules, simhash
+from tarmac.llm import anchor_dedup, bpe, packing, prefix_free, quality_rules, secrets, simhash
 from tarmac.llm.common import table
 
 catalogue = Catalogue()
@@ -58,3 +58,17 @@ def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalogue.add("op6_configuration_packing")
 def op6_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@catalogue.add("op1_secret_ownership")
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    order = F.create_map(*[F.lit(x) for pair in zip((*secrets.KINDS, "owned"), range(4)) for x in pair])
+    line = lambda spans: F.array_join(
+        F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), order[s["kind"]].alias("k"), s["end"].alias("b"), s["kind"].alias("kind")))), lambda s: F.concat_ws(":", s["kind"], s["a"], s["b"])), ","
+    )
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"), *map(count, secrets.KINDS), F.sha2(line(F.col("base")), 256).alias("base_sha256"),
+        line(F.concat("base", "added")).alias("spans"), "n_specific", "n_examples",
+    )
