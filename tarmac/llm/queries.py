@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.catalogue.entry import Catalogue
-from tarmac.llm import anchor_dedup, bpe, packing, prefix_free, quality_rules, secrets, simhash
+from tarmac.llm import anchor_dedup, bpe, lm_score, packing, prefix_free, quality_rules, secrets, simhash
 from tarmac.llm.common import table
 
 catalogue = Catalogue()
@@ -72,3 +72,8 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), *map(count, secrets.KINDS), F.sha2(line(F.col("base")), 256).alias("base_sha256"),
         line(F.concat("base", "added")).alias("spans"), "n_specific", "n_examples",
     )
+
+
+@catalogue.add("op9_deleted_interpolation")
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
