@@ -105,7 +105,8 @@ class _Chunk:
         begin = np.flatnonzero(new)
         self.first, self.last = at[begin], at[np.append(begin[1:], len(at)) - 1] if len(begin) else at[begin]
         where = where[begin]
-        self.trigger = hashes[where]
+        # least hashes are small ones: mixed again, so that partitions are even
+        self.trigger = mix(hashes[where])
         self.phrase = rolling.at(self.first, self.last + length)
         self.phrase ^= ((self.last - self.first) * 65_599 + (where - self.first)).astype(np.uint64)
         mix(self.phrase)
