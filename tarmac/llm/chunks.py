@@ -33,9 +33,9 @@ CHUNK_BYTES = 8 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """Rows ``doc_id``, ``text`` (bytes), ``chunk``, hashed by chunk; and the number of chunks."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, *others: str) -> tuple[DataFrame, int]:
+    """Rows ``doc_id``, ``text`` (bytes), ``chunk`` and ``others``, hashed by chunk; and the number of chunks."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"), *others)
     size = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.catalogue.entry import Catalogue
-from tarmac.llm import anchor_dedup, bpe, lm_score, packing, prefix_free, quality_rules, secrets, simhash, topk
+from tarmac.llm import anchor_dedup, bpe, line_dedup, lm_score, packing, prefix_free, quality_rules, secrets, simhash, topk
 from tarmac.llm.common import table
 
 catalogue = Catalogue()
@@ -34,7 +34,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fixed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = anchor_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), "spans")
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @catalogue.add("op10_prefix_free_dedup")
@@ -42,7 +42,7 @@ def op10_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans"
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
 
 
@@ -96,3 +96,32 @@ def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@catalogue.add(
+    "op5_deletion_lines",
+    """
+    WITH l AS (
+      SELECT doc_id, line, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+    ), v AS (
+      SELECT {'doc_id': doc_id, 'line': line} AS spot, place, array_to_string(CASE WHEN place = 0 THEN w ELSE list_concat(w[1 : place - 1], w[place + 1 :]) END, ' ') AS key
+      FROM (SELECT *, unnest(range(0, len(w) + 1)) AS place FROM l WHERE len(w) >= 5)
+    ), e AS (SELECT key, place, min(spot) AS first FROM v GROUP BY key, place
+    ), s AS (SELECT key, min(first) AS first FROM e WHERE place > 0 GROUP BY key
+    ), gone AS (
+      SELECT spot FROM v JOIN e USING (key, place) WHERE first < spot
+      UNION SELECT v.spot FROM v JOIN e ON v.key = e.key AND e.place = 0 AND v.place > 0 WHERE e.first < v.spot
+      UNION SELECT v.spot FROM v JOIN s ON v.key = s.key AND v.place = 0 WHERE s.first < v.spot
+    )
+    SELECT doc_id, count(*) AS n_lines, count(gone.spot) AS n_removed,
+      sha256(coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (gone.spot IS NULL), '')) AS kept_sha256
+    FROM l LEFT JOIN gone ON gone.spot = {'doc_id': l.doc_id, 'line': l.line} GROUP BY doc_id
+    """,
+)
+def op5_deletion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_near_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
