@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,18 +31,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def groups(batches: Iterator[pa.RecordBatch], limit: int, column: int) -> Iterator[pa.Table]:
-    """Arrow batches put together until ``column`` holds about ``limit`` bytes."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column(column).nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose ``column`` holds about ``limit`` bytes; a longer value is a run of its own."""
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > limit:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield batch.slice(first)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

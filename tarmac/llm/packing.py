@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from tarmac.llm.common import saved
+from tarmac.llm.common import saved, slices
 
 CAPACITY = 1024
 #: Words that a task remembers, and bytes of text that it asks the tokenizer about at once.
 _REMEMBERED, _GROUP = 300_000, 4 << 20
+#: Stretches that go to the tokenizer as one text.
+_ROW = 256
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -38,8 +40,9 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit numbers, by the tokenizers library.
 
     Where no two space characters meet, a byte-level tokenizer treats every blank
-    and what follows up to the next blank apart; those stretches are encoded once
-    and remembered.  Other texts are encoded as they are.
+    and what follows up to the next blank apart.  Those stretches are encoded once
+    and remembered; new ones go to the library in long rows, which the lengths of
+    the tokens take apart again.  Other texts are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -49,20 +52,37 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        special = {i: len(t.content.encode()) for i, t in self.library.get_added_tokens_decoder().items()}
+        vocab = self.library.get_vocab()
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.bytes_of[i] = special.get(i, len(token))  # byte-level: a character stands for a byte
         self.known: dict[str, bytes] = {}
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, stretches: list[str]) -> None:
+        """Stretches that begin with a blank and end otherwise, joined into rows."""
+        rows = [stretches[i : i + _ROW] for i in range(0, len(stretches), _ROW)]
+        for row, ids in zip(rows, self._ask(["".join(r) for r in rows])):
+            ends = np.cumsum([len(s.encode()) for s in row])
+            cut = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 4).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(row, [data[a:b] for a, b in zip([0, *cut], cut)]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        parts = [None if _TWO_SPACES.search(t) else t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None for t in texts]
-        new = {p for x in parts if x is not None for p in x} - self.known.keys()
-        asked = sorted(new)
-        self.known.update(zip(asked, self._ask(asked)))
+        known = self.known
+        parts = [None if "\x00" in t or _TWO_SPACES.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
+        new = set().union(*[x for x in parts if x is not None]) - known.keys()
+        joined = [s for s in new if len(s) > 1 and s[0] == " "]
+        alone = [s for s in new if len(s) < 2 or s[0] != " "]
+        self._learn(joined)
+        known.update(zip(alone, [x.tobytes() for x in self._ask(alone)]))
         whole = iter(self._ask([t for t, x in zip(texts, parts) if x is None]))
-        return [next(whole) if x is None else b"".join(map(self.known.__getitem__, x)) for x in parts]
+        return [next(whole).tobytes() if x is None else b"".join(map(known.__getitem__, x)) for x in parts]
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 2) -> DataFrame:
@@ -73,10 +93,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         encoder, end = None, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             encoder = encoder or Encoder(path)
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in _runs(texts):
+            for part in slices(batch, 1, _GROUP):
                 rows = []
-                for name, ids in zip(names[a:b], encoder(texts[a:b])):
+                for name, ids in zip(part.column(0).to_pylist(), encoder(part.column(1).to_pylist())):
                     ids += end
                     n = len(ids) // 4
                     cut = [0, *range(n - capacity * ((n - 1) // capacity), n, capacity), n]
@@ -87,17 +106,6 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return own.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    a, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= _GROUP:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def best_filling(price: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
     """Indexes of the lengths (with repetition) that bring the most within ``capacity``: knapsack by dynamic programming."""
     worth, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
