@@ -18,16 +18,18 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import groups, text_bytes
+from tarmac.llm.common import slices, text_bytes
 
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
+#: Stretches of text that a task remembers.
+REMEMBERED = 250_000
 _NONE = np.int64(1 << 40)
 
 #: Fixed by the tokenizer file for ASCII text: its split pattern on lower-case bytes.
@@ -171,53 +173,73 @@ def _leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def encode_group(texts: list[bytes], table: Merges) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Ids of all texts in a row, each text's offset (one more at the end), and their decoded forms."""
-    number: dict = {}
-    of_text = [[number.setdefault(p, len(number)) for p in table.pieces(t)] for t in texts]
-    words: list[bytes] = []
-    n_words = np.zeros(len(number), dtype=np.int64)
-    special: list[tuple[int, int]] = []
-    for i, piece in enumerate(number):
-        if isinstance(piece, str):
-            special.append((i, table.special[piece]))
-            words.append(b"")
-            n_words[i] = 1
-        else:
-            w = table.words(piece)
-            words += w
-            n_words[i] = len(w)
-    ids, per_word = merge_words(words, table)
-    word_at = np.append(0, np.cumsum(n_words))
-    start = np.append(0, np.cumsum(per_word))[word_at]
-    count = np.diff(start)
-    if special:
-        where, what = np.array(special).T
-        ids = np.insert(ids, start[where], what)
-        count[where] = 1
+class Encoder:
+    """Encodes groups of texts; stretches between spaces that were met before are remembered, up to a number."""
+
+    def __init__(self, table: Merges):
+        self.table = table
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict = {}
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.start = np.zeros(1, dtype=np.int64)
+        self.shown: list[str] = []
+
+    def _learn(self, pieces: list) -> None:
+        words: list[bytes] = []
+        n_words = np.zeros(len(pieces), dtype=np.int64)
+        special: list[tuple[int, int]] = []
+        for i, piece in enumerate(pieces):
+            if isinstance(piece, str):
+                special.append((i, self.table.special[piece]))
+            else:
+                w = self.table.words(piece)
+                words += w
+                n_words[i] = len(w)
+        ids, per_word = merge_words(words, self.table)
+        start = np.append(0, np.cumsum(per_word))[np.append(0, np.cumsum(n_words))]
+        count = np.diff(start)
+        if special:
+            where, what = np.array(special).T
+            ids = np.insert(ids, start[where], what)
+            count[where] = 1
         start = np.append(0, np.cumsum(count))
-    names = [table.names[i] for i in ids.tolist()]
-    shown = [" ".join(names[a:b]) for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
-    flat = np.fromiter(chain.from_iterable(of_text), np.int64, sum(map(len, of_text)))
-    n = count[flat]
-    ends = np.cumsum(n)
-    pick = np.repeat(start[:-1][flat] - (ends - n), n) + np.arange(int(n.sum()))
-    offsets = np.append(0, ends)[np.append(0, np.cumsum([len(x) for x in of_text]))] if texts else np.zeros(1, dtype=np.int64)
-    decoded = [" ".join([s for s in map(shown.__getitem__, x) if s]) for x in of_text]
-    return ids[pick], offsets, decoded
+        names = [self.table.names[i] for i in ids.tolist()]
+        self.shown += [" ".join(names[a:b]) for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+        self.start = np.append(self.start, self.start[-1] + start[1:])
+        self.ids = np.append(self.ids, ids.astype(np.int32))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids of all texts in a row, each text's offset (one more at the end), and their decoded forms."""
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        known, number = len(self.number), self.number
+        of_text = [[number.setdefault(p, len(number)) for p in self.table.pieces(t)] for t in texts]
+        self._learn(list(islice(number, known, None)))
+        shown = self.shown
+        decoded = [" ".join([s for s in map(shown.__getitem__, x) if s]) for x in of_text]
+        sizes = [len(x) for x in of_text]
+        flat = np.fromiter(chain.from_iterable(of_text), np.int64, sum(sizes))
+        del of_text
+        n = np.diff(self.start)[flat]
+        ends = np.cumsum(n)
+        pick = np.repeat(self.start[:-1][flat] - (ends - n), n)
+        pick += np.arange(len(pick))
+        return self.ids[pick], np.append(0, ends)[np.append(0, np.cumsum(sizes, dtype=np.int64))], decoded
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Per row ``doc_id``, ``ids`` and ``decoded``; ``path`` is the tokenizer file, readable on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
-        for part in groups(batches, group_bytes, 1):
-            table = table or Merges(path)
-            ids, offsets, decoded = encode_group(part.column("text").to_pylist(), table)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            whole = pa.table([part.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
-            yield from whole.to_batches(max_chunksize=2000)
+        encoder = None
+        for batch in batches:
+            encoder = encoder or Encoder(Merges(path))
+            for part in slices(batch, 1, group_bytes):
+                ids, offsets, decoded = encoder(part.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     return own.mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")

@@ -28,14 +28,23 @@ def odd_texts():
 
 def test_group_equals_library(library):
     texts = odd_texts()
-    ids, offsets, decoded = bpe.encode_group([t.encode() for t in texts], bpe.Merges(PATH))
+    ids, offsets, decoded = bpe.Encoder(bpe.Merges(PATH))([t.encode() for t in texts])
     for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == e.ids, texts[i]
         assert decoded[i] == library.decode(e.ids, skip_special_tokens=False)
-    ids, offsets, decoded = bpe.encode_group([], bpe.Merges(PATH))
+    ids, offsets, decoded = bpe.Encoder(bpe.Merges(PATH))([])
     assert len(ids) == 0 and offsets.tolist() == [0] and decoded == []
 
 
+def test_remembered_pieces(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 400)
+    encoder, texts = bpe.Encoder(bpe.Merges(PATH)), odd_texts()
+    for a in range(0, len(texts), 50):
+        ids, offsets, decoded = encoder([t.encode() for t in texts[a : a + 50]])
+        for i, e in enumerate(library.encode_batch(texts[a : a + 50], add_special_tokens=False)):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == e.ids
+
+
 def test_query_equals_library(spark, documents, library):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = {}
