@@ -125,3 +125,10 @@ def op5_deletion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@catalogue.add("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # imports the operators of this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)

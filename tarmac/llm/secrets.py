@@ -140,7 +140,8 @@ def _masked(texts: pa.Array, added: pa.Array) -> pa.Array:
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """``docs`` with every base and owner-specific span replaced by ``[SECRET]``; null texts stay null."""
     found = find(docs, id_col, text_col, id_col, owner_col).where(F.size("added") > 0)
-    added = found.groupBy("doc_id", "text_key").agg(F.first("added").alias("_added")).withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_key", "_key")
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
-    joined = keyed.join(added, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
-    return joined.withColumn(text_col, _masked(F.col(text_col), F.col("_added"))).select(docs.columns)
+    added = found.groupBy("doc_id", "text_key").agg(F.first("added").alias("added"))
+    # whole rows are carried as one column, so that no name of theirs can clash
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("own_key"))
+    joined = keyed.join(added, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")
+    return joined.select(F.col("row").withField(text_col, _masked("text", "added")).alias("row")).select("row.*")

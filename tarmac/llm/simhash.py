@@ -155,8 +155,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id and a fingerprint are copies too; one of them stays.
     """
     lowest = -(1 << 63)  # stands for a null id where ids are compared for equality only
-    keyed = docs.withColumns({"_fp": simhash_text(text_bytes(text_col)), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(lowest))})
+    # whole rows are carried as one column, so that no name of theirs can clash
+    keyed = docs.select(F.struct("*").alias("row"), simhash_text(text_bytes(text_col)).alias("_fp"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("_id"))
     prints = saved(keyed.select("_id", F.when(F.col("_id") != lowest, F.col("_id")).alias("doc_id"), F.col("_fp").alias("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), F.col("_id"), F.col("fp").alias("_fp"))).alias("first")
     stay = prints.join(_classes(prints, distance, blocks), "fp").groupBy("root").agg(first).select("first._id", "first._fp")
-    return keyed.join(stay, ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"]).select(docs.columns)
+    return keyed.join(stay, ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"]).select("row.*")
