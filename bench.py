@@ -14,7 +14,7 @@ import statistics
 import time
 
 from tarmac.catalogue.all import QUERIES
-from tarmac.session import build_session
+from tarmac.session import build_session, shared_folder
 
 HEADLINE = (
     "kpi_monthly",
@@ -66,6 +66,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    shared_folder(spark)
 
     def run(name: str) -> float:
         start = time.perf_counter()

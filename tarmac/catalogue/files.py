@@ -185,7 +185,7 @@ def _(spark, d):
     geojson.write_features(features, path)
     properties = T.StructType([T.StructField("zone_id", T.IntegerType()), T.StructField("population", T.DoubleType())])
     back = geojson.parse_features(spark.read.text(path).toDF("feature"), "Polygon", properties)
-    ring = F.col("ring")
+    ring = F.col("rings")[0]
     return back.select(
         "zone_id",
         "population",

@@ -363,7 +363,7 @@ def _(spark, d):
         any_of("road_type", ["1-URGENT", "2-HIGH", "3-MEDIUM"]),
         any_of("weather_conditions", []),
     )
-    return hotspots.map_points(hotspots.geopoints(collision(spark, d, 1996, 2000)), condition)
+    return hotspots.map_points(hotspots.geopoints(collision(spark, d, 1996, 2000)), condition, 50000)
 
 
 @add(

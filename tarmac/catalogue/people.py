@@ -22,7 +22,7 @@ def _rounded(df, *columns):
 
 _DEMO_SQL = (
     "SELECT casualty_type, age_group, sex_of_casualty, casualty_severity, count(*) AS count FROM casualty JOIN collision USING (collision_index) "
-    "WHERE year = 1998 AND collision_severity <> 'Slight' AND casualty_class IN ('Driver or rider', 'Passenger', 'Pedestrian') "
+    "WHERE year = 1998 AND collision_severity IN ('Fatal', 'Serious') AND casualty_class IN ('Driver or rider', 'Passenger', 'Pedestrian') "
     "AND sex_of_casualty IN ('Male', 'Female') GROUP BY ALL"
 )
 
@@ -439,8 +439,8 @@ def _(spark, d):
         for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     ) + "), counts AS (SELECT name, value, count(*) AS n, min(pos) AS pos FROM long GROUP BY 1, 2) "
     "SELECT name, CASE name WHEN 'p_partkey' THEN 'bigint' WHEN 'p_size' THEN 'int' ELSE 'string' END AS class, "
-    "count(*) AS n_unique, substr(first(value ORDER BY pos, value), 1, 16) AS first_label, "
-    "substr(first(value ORDER BY n DESC, value), 1, 16) AS most_common_value FROM counts GROUP BY 1",
+    "count(*) AS n_unique, first(value ORDER BY pos, value) AS first_label, "
+    "first(value ORDER BY n DESC, value) AS most_common_value FROM counts GROUP BY 1",
 )
 def _(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from tarmac.catalogue.entry import Catalogue
 from tarmac.catalogue.roles import collision, roads, table, with_roles, zones
 from tarmac.operators import network, spatial
+from tarmac.session import scratch_path
 from tarmac.sources import geojson
 
 catalogue = Catalogue()
@@ -16,7 +17,6 @@ add = catalogue.add
 # cell sizes: degrees for areas, metres for roads
 _ZONE_CELL = 0.5
 _DISTANCE = 5000.0
-_EXTENT = 1_280_000.0
 
 _INSIDE = "k.longitude BETWEEN z.x0 AND z.x1 AND k.latitude BETWEEN z.y0 AND z.y1"
 
@@ -83,32 +83,52 @@ def _(spark, d):
 @add(
     "zones_with_points",
     with_roles(
-        "SELECT zone_id, population FROM zone z WHERE EXISTS (SELECT 1 FROM collision k WHERE "
-        f"{_INSIDE} AND k.collision_severity = 'Fatal' AND k.date BETWEEN '1998-03-01' AND '1998-03-04')",
+        f"SELECT zone_id, population FROM zone z WHERE EXISTS (SELECT 1 FROM collision k WHERE {_INSIDE})",
         "collision",
         "zone",
     ),
 )
 def _(spark, d):
-    points = _located(spark, d).where(
-        (F.col("collision_severity") == "Fatal")
-        & F.col("date").between(F.lit("1998-03-01").cast("date"), F.lit("1998-03-04").cast("date"))
-    )
-    return spatial.zones_with_points(zones(spark, d), points, "longitude", "latitude", _ZONE_CELL).drop("ring")
+    return spatial.zones_with_points(zones(spark, d), _located(spark, d), "longitude", "latitude", _ZONE_CELL).drop("ring")
 
 
 @add(
     "zone_count",
     with_roles(
-        f"SELECT z.zone_id, z.population, count(k.collision_index) AS n FROM zone z LEFT JOIN (SELECT * FROM collision WHERE "
-        f"collision_severity = 'Fatal' AND year = 2001) k ON {_INSIDE} GROUP BY 1, 2",
+        f"SELECT z.zone_id, z.population, count(k.collision_index) AS n FROM zone z LEFT JOIN collision k ON {_INSIDE} GROUP BY 1, 2",
         "collision",
         "zone",
     ),
 )
 def _(spark, d):
-    points = _located(spark, d).where((F.col("collision_severity") == "Fatal") & (F.col("year") == 2001))
-    return spatial.zone_counts(zones(spark, d), points, "longitude", "latitude", _ZONE_CELL)
+    return spatial.zone_counts(zones(spark, d), _located(spark, d), "longitude", "latitude", _ZONE_CELL)
+
+
+# each zone with a hole in its middle and a second part beside it
+_HOLED = (
+    f"({_INSIDE} AND NOT (k.longitude > z.x0 + (z.x1 - z.x0) / 4 AND k.longitude < z.x1 - (z.x1 - z.x0) / 4 "
+    "AND k.latitude > z.y0 + (z.y1 - z.y0) / 4 AND k.latitude < z.y1 - (z.y1 - z.y0) / 4)) "
+    "OR (k.longitude BETWEEN z.x1 + 1 AND z.x1 + 2 AND k.latitude BETWEEN z.y0 AND z.y1)"
+)
+
+
+@add(
+    "holed_zone_join",
+    with_roles(f"SELECT k.collision_index, z.zone_id FROM collision k JOIN zone z ON {_HOLED}", "collision", "zone"),
+)
+def _(spark, d):
+    box = lambda x0, y0, x1, y1: F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+    x0, y0, x1, y1 = F.col("ring")[0]["x"], F.col("ring")[0]["y"], F.col("ring")[2]["x"], F.col("ring")[2]["y"]
+    hole = box(x0 + (x1 - x0) / 4, y0 + (y1 - y0) / 4, x1 - (x1 - x0) / 4, y1 - (y1 - y0) / 4)
+    area = F.array(F.array(box(x0, y0, x1, y1), hole), F.array(box(x1 + 1, y0, x1 + 2, y1)))
+    layer = zones(spark, d).select("zone_id", "population", area.alias("area"))
+    # through a file, as a real layer comes
+    path = scratch_path(spark, "areas")
+    geojson.write_features(geojson.area_features(layer, ["zone_id", "population"]), path)
+    properties = T.StructType([T.StructField("zone_id", T.IntegerType()), T.StructField("population", T.DoubleType())])
+    layer = geojson.parse_features(spark.read.text(path).toDF("feature"), "Area", properties)
+    points = _located(spark, d).select("collision_index", "longitude", "latitude")
+    return spatial.join_zones(points, layer, "longitude", "latitude", _ZONE_CELL, "inner").select("collision_index", "zone_id")
 
 
 @add(
@@ -175,7 +195,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return spatial.nearest_counts(_on_grid(spark, d), roads(spark, d), "x", "y", 10_000.0, _EXTENT)
+    return spatial.nearest_counts(_on_grid(spark, d), roads(spark, d), "x", "y", 10_000.0)
 
 
 # --- network ------------------------------------------------------------------
@@ -242,4 +262,6 @@ def _(spark, d):
     properties = T.StructType(
         [T.StructField("collision_index", T.LongType()), T.StructField("collision_severity", T.StringType())]
     )
-    return geojson.parse_features(features, "Point", properties)
+    path = scratch_path(spark, "points")
+    geojson.write_features(features, path)
+    return geojson.parse_features(spark.read.text(path).toDF("feature"), "Point", properties)

@@ -236,6 +236,18 @@ def _(spark, d):
     return fit.withColumn("estimate", digits)
 
 
-@add("multinomial_severity")
+# with an intercept and no penalty, a converged fit's mean probability is the observed share
+@add(
+    "multinomial_severity",
+    with_roles(
+        ", data AS (SELECT collision_severity AS severity FROM vehicle JOIN collision USING (collision_index) "
+        "WHERE engine_capacity_cc BETWEEN 300 AND 5000 AND age_of_driver IS NOT NULL AND speed_limit IS NOT NULL), "
+        "counted AS (SELECT severity, round(count(*) / CAST((SELECT count(*) FROM data) AS DOUBLE), 4) AS share FROM data GROUP BY 1) "
+        "SELECT severity, share, share AS mean_fitted FROM counted",
+        "vehicle",
+        "collision",
+    ),
+)
 def _(spark, d):
-    return models.severity_probabilities(_model_rows(spark, d), ["engine_capacity_cc", "age_of_driver", "speed_limit"])
+    fit = models.severity_probabilities(_model_rows(spark, d), ["engine_capacity_cc", "age_of_driver", "speed_limit"], iterations=500)
+    return fit.select("severity", F.round("share", 4).alias("share"), F.round("mean_fitted", 4).alias("mean_fitted"))

@@ -147,7 +147,7 @@ def factor_pivot(interaction: DataFrame, first: str, second: str, values: Sequen
 # --- value lists --------------------------------------------------------------
 
 
-def top_values(df: DataFrame, column: str, n: int = 30) -> DataFrame:
+def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
     """Most frequent non-blank values, ties by value."""
     value = F.col(column)
     return (
@@ -221,9 +221,9 @@ def monthly_rounded(collision: DataFrame) -> DataFrame:
 
 
 def proportions(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Contingency table as shares of all rows."""
+    """Contingency table as shares of all rows, whose number is one scalar."""
     cells = df.groupBy(first, second).agg(F.count("*").alias("n"))
-    return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).drop("n")
+    return cells.withColumn("share", F.col("n") / df.agg(F.count("*")).scalar()).drop("n")
 
 
 def share_within(df: DataFrame, group: str, category: str, value: Column) -> DataFrame:
@@ -279,9 +279,9 @@ def column_profile(df: DataFrame, order_by: str) -> DataFrame:
     common = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("value"))))
     return values.groupBy("name").agg(
         F.count("*").alias("n_unique"),
-        F.min(F.struct("pos", "value"))["value"].substr(1, 16).alias("first_label"),
-        common["value"].substr(1, 16).alias("most_common_value"),
-    ).select(F.col("name").substr(1, 19).alias("name"), kind.alias("class"), "n_unique", "first_label", "most_common_value")
+        F.min(F.struct("pos", "value"))["value"].alias("first_label"),
+        common["value"].alias("most_common_value"),
+    ).select("name", kind.alias("class"), "n_unique", "first_label", "most_common_value")
 
 
 def make_model_by_year(vehicle: DataFrame, year: str, model: str) -> DataFrame:

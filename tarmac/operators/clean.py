@@ -161,9 +161,9 @@ def vehicle_pattern_group(vehicle_type: Column) -> Column:
 
 
 def add_vehicle_group(df: DataFrame, vehicle_type: str = "vehicle_type") -> DataFrame:
-    """Left join to the 22-row group list; types outside it get NULL."""
-    groups = df.sparkSession.createDataFrame(VEHICLE_GROUPS, f"{vehicle_type} string, summary_group string")
-    return df.join(groups, vehicle_type, "left")
+    """The group of each vehicle type from the fixed list; types outside it get NULL."""
+    groups = F.create_map(*[F.lit(x) for pair in VEHICLE_GROUPS for x in pair])
+    return df.withColumn("summary_group", F.try_element_at(groups, F.col(vehicle_type)))
 
 
 def valid_registration(mark: Column) -> Column:

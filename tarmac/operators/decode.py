@@ -1,10 +1,14 @@
-"""Replacing codes with labels.  The code map is metadata of a few thousand rows
-whose size Catalyst sees, so each lookup plans as a broadcast join by itself; a
-map that outgrew the broadcast threshold would turn into a sort-merge join."""
+"""Replacing codes with labels.
+
+A code map is metadata.  Its labels become one row, a map per coded column, that a
+scalar subquery attaches: all columns of a table are decoded in one narrow step,
+the facts are not moved, and it does not matter how the code map was made.  A code
+map of more than ``IN_ONE_ROW`` rows is joined instead, column by column.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,74 +16,83 @@ from pyspark.sql import functions as F
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 _FRACTION = ("float", "double")
 
+#: Rows of a code map that may travel as one row.
+IN_ONE_ROW = 50_000
+
 
-def _code_key(code: Column, kind: str) -> Column:
-    """The code in the form in which a column of this type is compared."""
+def _label_key(value: Column, kind: str) -> Column:
+    """The text under which a code or a value of this type is looked up in label mode."""
     if kind in _WHOLE:
-        return code.try_cast("double").cast("bigint")
+        return value.try_cast("double").try_cast("bigint").cast("string")
     if kind in _FRACTION or kind.startswith("decimal"):
-        return code.try_cast("double")
-    return code
+        return (value.try_cast("double") + F.lit(0.0)).cast("string")
+    return value
 
 
-def _lookup(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
-    """Attach ``__label`` by key; ``codes`` has unique non-NULL ``__key``."""
-    kind = dict(df.dtypes)[column]
-    value = F.col(column)
-    if kind in _WHOLE:
-        value = value.cast("bigint")
-    elif kind in _FRACTION or kind.startswith("decimal"):
-        value = value.cast("double")
-    return df.withColumn("__value", value).join(codes, F.col("__value") == F.col("__key"), "left")
+def _typed_key(value: Column, kind: str) -> Column:
+    """The same in typed mode, where every numeric column compares as a fraction."""
+    return value if kind == "string" else (value.try_cast("double") + F.lit(0.0)).cast("string")
 
 
-def decode_labels(df: DataFrame, code_map: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Label mode: only the table's own codes count, the last of duplicate codes
-    wins, unmatched values stay as text.  Numeric columns compare as numbers."""
-    order = df.columns
+def _labels(
+    df: DataFrame, code_map: DataFrame, columns: Sequence[str], key: Callable[[Column, str], Column], winner: Callable
+) -> dict[str, Column]:
+    """Per column its label for the value there, NULL where the code is unknown."""
     kinds = dict(df.dtypes)
-    for column in columns if columns is not None else order:
-        kind = kinds[column]
+    variable = F.col("variable")
+    wanted = F.lit(None).cast("string")
+    for column in columns:
+        wanted = F.when(variable == column, key(F.col("code"), kinds[column])).otherwise(wanted)
+    codes = (
+        code_map.where(F.col("code").isNotNull() & variable.isin(*columns))
+        .select("variable", wanted.alias("key"), "label", "ord").where(F.col("key").isNotNull())
+        .groupBy("variable", "key").agg(winner("label", "ord").alias("label"))
+    )
+    entries = [F.collect_list(F.when(variable == c, F.struct("key", "label"))) for c in columns]
+    maps = codes.agg(F.struct(*[F.map_from_entries(e).alias(f"m{i}") for i, e in enumerate(entries)]).alias("maps")).scalar()
+    return {c: F.try_element_at(maps[f"m{i}"], key(F.col(c), kinds[c])) for i, c in enumerate(columns)}
+
+
+def _joined_labels(
+    df: DataFrame, code_map: DataFrame, columns: Sequence[str], key: Callable[[Column, str], Column], winner: Callable
+) -> tuple[DataFrame, dict[str, Column]]:
+    """The same for a code map of any size, by one join per column."""
+    kinds = dict(df.dtypes)
+    for i, column in enumerate(columns):
         codes = (
-            code_map.where((F.col("table") == table) & (F.col("variable") == column) & F.col("code").isNotNull())
-            .select(_code_key(F.col("code"), kind).alias("__key"), "label", "ord")
-            .where(F.col("__key").isNotNull())
-            .groupBy("__key")
-            .agg(F.max_by("label", "ord").alias("__label"))
-        )
-        df = (
-            _lookup(df, codes, column)
-            .withColumn(column, F.coalesce("__label", F.col(column).cast("string")))
-            .drop("__value", "__key", "__label")
+            code_map.where((F.col("variable") == column) & F.col("code").isNotNull())
+            .select(key(F.col("code"), kinds[column]).alias(f"__key{i}"), "label", "ord").where(F.col(f"__key{i}").isNotNull())
+            .groupBy(f"__key{i}").agg(winner("label", "ord").alias(f"__label{i}"))
         )
-    return df.select(*order)
+        df = df.join(codes, key(F.col(column), kinds[column]) == F.col(f"__key{i}"), "left")
+    return df, {c: F.col(f"__label{i}") for i, c in enumerate(columns)}
+
+
+def _with_labels(df: DataFrame, code_map: DataFrame, columns: Sequence[str], key, winner, shape: Callable) -> DataFrame:
+    order, kinds = df.columns, dict(df.dtypes)
+    if not columns:
+        return df
+    if code_map.limit(IN_ONE_ROW + 1).count() <= IN_ONE_ROW:
+        labels = _labels(df, code_map, columns, key, winner)
+    else:
+        df, labels = _joined_labels(df, code_map, columns, key, winner)
+    decoded = {c: shape(F.coalesce(labels[c], F.col(c).cast("string")), kinds[c]) for c in columns}
+    return df.select(*[decoded[c].alias(c) if c in decoded else F.col(c) for c in order])
+
+
+def decode_labels(df: DataFrame, code_map: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Label mode: only the table's own codes count, the last of duplicate codes
+    wins, unmatched values stay as text.  Numeric columns compare as numbers."""
+    own = code_map.where(F.col("table") == table)
+    return _with_labels(df, own, list(df.columns if columns is None else columns), _label_key, F.max_by, lambda text, kind: text)
 
 
 def decode_typed(df: DataFrame, code_map: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Typed mode: codes are found by variable name alone, the first of duplicate
     codes wins, and the result returns to the column's own type, so a label in a
     numeric column becomes NULL."""
-    order = df.columns
-    kinds = dict(df.dtypes)
-    for column in columns:
-        kind = kinds[column]
-        key = F.col("code") if kind == "string" else F.col("code").try_cast("double")
-        codes = (
-            code_map.where((F.col("variable") == column) & F.col("code").isNotNull())
-            .select(key.alias("__key"), "label", "ord")
-            .where(F.col("__key").isNotNull())
-            .groupBy("__key")
-            .agg(F.min_by("label", "ord").alias("__label"))
-        )
-        value = F.col(column) if kind == "string" else F.col(column).cast("double")
-        decoded = F.coalesce("__label", F.col(column).cast("string"))
-        df = (
-            df.withColumn("__value", value)
-            .join(codes, F.col("__value") == F.col("__key"), "left")
-            .withColumn(column, decoded if kind == "string" else decoded.try_cast(kind))
-            .drop("__value", "__key", "__label")
-        )
-    return df.select(*order)
+    shape = lambda text, kind: text if kind == "string" else text.try_cast(kind)
+    return _with_labels(df, code_map, list(columns), _typed_key, F.min_by, shape)
 
 
 def codes_of(code_map: DataFrame, table: str) -> list[str]:

@@ -59,7 +59,7 @@ def geo_events(collision: DataFrame) -> DataFrame:
     )
 
 
-def map_points(points: DataFrame, condition: Column, limit: int = 50000) -> DataFrame:
+def map_points(points: DataFrame, condition: Column, limit: int) -> DataFrame:
     """Points for the map, at most ``limit``.  The order over all shown columns
     makes the cut repeatable."""
     shown = [
@@ -115,8 +115,8 @@ def hotspots(
     events: DataFrame,
     scale: int,
     condition: Column,
-    metric: str = "risk_score",
-    top: int = 20,
+    metric: str,
+    top: int,
     centre: tuple[float, float] = DEFAULT_CENTRE,
     radius_miles: float | None = None,
 ) -> DataFrame:
@@ -185,8 +185,8 @@ def cell_page(
     scale: int,
     condition: Column,
     cell_id: str,
-    order_by: str = "date",
-    limit: int = 2000,
+    order_by: str,
+    limit: int,
     offset: int = 0,
     columns: Sequence[str] = _PAGE_COLUMNS,
 ) -> DataFrame:
@@ -206,7 +206,7 @@ def condition_hotspots(cells_scale: int, events: DataFrame, condition: Column, m
     return cell_summary(events.where(condition), cells_scale).orderBy(F.desc(metric), "cell_id").limit(top)
 
 
-def stable_sample(df: DataFrame, key: Sequence[str], n: int = 8000, seed: int = 42) -> DataFrame:
+def stable_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """A repeatable random sample of at most ``n`` rows: the smallest digests of
     key and seed, so partitioning does not matter."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))

@@ -42,7 +42,7 @@ def simple_regression(df: DataFrame, feature: str, severity: str = "collision_se
 
 
 def severity_probabilities(
-    df: DataFrame, features: Sequence[str], severity: str = "collision_severity", iterations: int = 50
+    df: DataFrame, features: Sequence[str], severity: str = "collision_severity", iterations: int = 500, tolerance: float = 1e-8
 ) -> DataFrame:
     """Multinomial logit: per severity the observed share and mean fitted probability.
 
@@ -52,7 +52,9 @@ def severity_probabilities(
     label = severity_number(F.col(severity)) - 1
     data = df.select(label.alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).dropna()
     rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(data)
-    fit = LogisticRegression(family="multinomial", maxIter=iterations).fit(rows)
+    fit = LogisticRegression(family="multinomial", maxIter=iterations, tol=tolerance).fit(rows)
+    if fit.summary.totalIterations >= iterations:
+        raise RuntimeError(f"the fit did not converge within {iterations} iterations")
     fitted = fit.transform(rows).select("label", vector_to_array("probability").alias("p"))
     # labels count upwards from the mildest severity
     names = list(enumerate(reversed(SEVERITIES)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarmac.functions.geo import cell_index, in_ring, ring_area, ring_edges, segment_distance2
+from tarmac.session import ensure_checkpointing
 
 _CELL = ["__cx", "__cy"]
 
@@ -34,10 +35,27 @@ def _with_cell(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
 # --- areas --------------------------------------------------------------------
 
 
+#: A layer has one of these: a ring, rings, or polygons (each an outer ring and its holes).
+_SHAPES = ("ring", "rings", "area")
+
+
+def _shape(zones: DataFrame) -> str:
+    return next(c for c in _SHAPES if c in zones.columns)
+
+
+def _rings(zones: DataFrame) -> Column:
+    """All rings of an area.  A point is inside if it crosses an odd number of their
+    edges, so holes and further parts need nothing else."""
+    rings = {"ring": F.array, "rings": F.col, "area": F.flatten}
+    return rings[_shape(zones)](_shape(zones))
+
+
 def _zone_cells(zones: DataFrame, size: float) -> DataFrame:
-    coord = lambda axis: F.transform("ring", lambda p: p[axis])
-    zones = zones.withColumn("__edges", ring_edges(F.col("ring")))
-    return _cells_between(
+    """One row per area and cell, with the edges that matter there: those a ray from
+    the cell to greater x can cross.  Cells without any lie outside."""
+    zones = zones.withColumn("__edges", F.flatten(F.transform(_rings(zones), ring_edges)))
+    coord = lambda axis: F.transform("__edges", lambda e: e[f"{axis}1"])
+    cells = _cells_between(
         zones,
         F.array_min(coord("x")),
         F.array_max(coord("x")),
@@ -45,6 +63,14 @@ def _zone_cells(zones: DataFrame, size: float) -> DataFrame:
         F.array_max(coord("y")),
         size,
     )
+    slack = size * 1e-6
+    low_x, low_y = F.col("__cx") * size - slack, F.col("__cy") * size - slack
+    high_y = (F.col("__cy") + 1) * size + slack
+
+    def matters(e: Column) -> Column:
+        return (F.least(e["y1"], e["y2"]) <= high_y) & (F.greatest(e["y1"], e["y2"]) >= low_y) & (F.greatest(e["x1"], e["x2"]) >= low_x)
+
+    return cells.withColumn("__edges", F.filter("__edges", matters)).where(F.size("__edges") > 0)
 
 
 def _inside(x: str, y: str) -> Column:
@@ -64,40 +90,44 @@ def within_zones(points: DataFrame, zones: DataFrame, x: str, y: str, size: floa
 
 def join_zones(points: DataFrame, zones: DataFrame, x: str, y: str, size: float, how: str = "left") -> DataFrame:
     """Points with the attributes of every zone they lie in; ``left`` keeps the rest."""
-    cells = _zone_cells(zones, size).drop("ring").alias("z")
+    cells = _zone_cells(zones, size).drop(*_SHAPES).alias("z")
     joined = _with_cell(points, x, y, size).alias("p").join(cells, _match(x, y), how)
-    layer = [F.col(f"z.{c}") for c in zones.columns if c != "ring"]
+    layer = [F.col(f"z.{c}") for c in zones.columns if c not in _SHAPES]
     return joined.select(*[F.col(f"p.{c}") for c in points.columns], *layer)
 
 
 def zones_with_points(zones: DataFrame, points: DataFrame, x: str, y: str, size: float, key: str = "zone_id") -> DataFrame:
     """Zones containing at least one point.  Matches shrink to one row per zone and
     task before any shuffle."""
-    hit = join_zones(points.select(x, y), zones.select(key, "ring"), x, y, size, "inner").select(key).distinct()
+    hit = join_zones(points.select(x, y), zones.select(key, _shape(zones)), x, y, size, "inner").select(key).distinct()
     return zones.join(hit, key, "left_semi")
 
 
 def zone_counts(zones: DataFrame, points: DataFrame, x: str, y: str, size: float, key: str = "zone_id") -> DataFrame:
     """Points per zone, zones without any included.  While the layer is small enough
     to be broadcast, points are matched and counted where they are read."""
-    matched = join_zones(points.select(x, y), zones.select(key, "ring"), x, y, size, "inner")
+    matched = join_zones(points.select(x, y), zones.select(key, _shape(zones)), x, y, size, "inner")
     tally = matched.groupBy(key).agg(F.count("*").alias("n"))
-    return zones.drop("ring").join(tally, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return zones.drop(*_SHAPES).join(tally, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def zone_means(
     zones: DataFrame, points: DataFrame, value: str, x: str, y: str, size: float, key: str = "zone_id"
 ) -> DataFrame:
     """Mean of a point attribute per zone; NULL for zones without points."""
-    matched = join_zones(points.select(x, y, value), zones.select(key, "ring"), x, y, size, "inner")
-    return zones.drop("ring").join(matched.groupBy(key).agg(F.avg(value).alias("mean")), key, "left")
+    matched = join_zones(points.select(x, y, value), zones.select(key, _shape(zones)), x, y, size, "inner")
+    return zones.drop(*_SHAPES).join(matched.groupBy(key).agg(F.avg(value).alias("mean")), key, "left")
 
 
 def zone_density(zones: DataFrame, amount: str, unit_area: float) -> DataFrame:
     """Area in ``unit_area`` units and amount per unit of area."""
-    return zones.withColumn("area", ring_area(F.col("ring")) / unit_area).withColumn(
-        "density", F.try_divide(amount, "area")
-    )
+    if "area" in zones.columns:  # per polygon the outer ring less its holes
+        zones = zones.withColumnRenamed("area", "polygons")
+        polygon = lambda rings: 2 * ring_area(rings[0]) - F.aggregate(rings, F.lit(0.0), lambda a, r: a + ring_area(r))
+        whole = F.aggregate(F.transform("polygons", polygon), F.lit(0.0), lambda a, b: a + b)
+    else:
+        whole = ring_area(F.col("ring"))
+    return zones.withColumn("area", whole / unit_area).withColumn("density", F.try_divide(amount, "area"))
 
 
 # --- lines --------------------------------------------------------------------
@@ -185,7 +215,7 @@ def _candidates(base: DataFrame, road_cells: DataFrame, size: float, extent: flo
     levels = max(1, math.ceil(math.log(2 * extent / size, 4)))
     widest = 4**levels
     per_base = Window.partitionBy("bx", "by")
-    occupied = road_cells.select(*_CELL).distinct()
+    occupied = road_cells.select(*_CELL).distinct().checkpoint()
 
     # at the widest level all roads lie in the cells next to any base cell
     shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
@@ -221,15 +251,16 @@ def _candidates(base: DataFrame, road_cells: DataFrame, size: float, extent: flo
     )
 
 
-def nearest_road(points: DataFrame, roads: DataFrame, x: str, y: str, size: float, extent: float) -> DataFrame:
+def nearest_road(points: DataFrame, roads: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """Distinct positions with their nearest road (``road_id``, ``distance``, ``n``
     points there); ties go to the lowest id.
 
     The search runs over occupied base cells, of which there are at most
     (extent / size) squared however many points fall in them; the points themselves
-    are joined once, at the end.  ``extent`` bounds the absolute coordinates.
+    are joined once, at the end.  The extent is that of the data.
     """
     # roads in the very same place are one candidate: the lowest id wins anyway
+    ensure_checkpointing(points.sparkSession)
     roads = roads.groupBy(*[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]).agg(
         F.min("road_id").alias("road_id")
     )
@@ -237,7 +268,7 @@ def nearest_road(points: DataFrame, roads: DataFrame, x: str, y: str, size: floa
         F.count("*").alias("n")
     )
     spots = spots.withColumns({"bx": cell_index(F.col("x"), 1 / size), "by": cell_index(F.col("y"), 1 / size)})
-    candidates = _candidates(spots.select("bx", "by").distinct(), _road_cells(roads, size, 0.0), size, extent)
+    candidates = _candidates(spots.select("bx", "by").distinct(), _road_cells(roads, size, 0.0).checkpoint(), size, _extent(spots, roads, size))
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     gap = F.sqrt(segment_distance2(F.col("x"), F.col("y"), *ends))
     winner = F.min(F.struct(gap.alias("distance"), F.col("road_id")))
@@ -249,9 +280,15 @@ def nearest_road(points: DataFrame, roads: DataFrame, x: str, y: str, size: floa
     )
 
 
-def nearest_counts(points: DataFrame, roads: DataFrame, x: str, y: str, size: float, extent: float) -> DataFrame:
+def _extent(spots: DataFrame, roads: DataFrame, size: float) -> float:
+    """A bound of all absolute coordinates, a cell more than the largest."""
+    most = lambda df, *columns: df.agg(F.max(F.greatest(*[F.abs(c) for c in columns]))).first()[0] or 0.0
+    return max(most(spots, "x", "y"), most(roads, "x1", "y1", "x2", "y2")) + size
+
+
+def nearest_counts(points: DataFrame, roads: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """Points per road they are nearest to, roads without any included."""
-    tally = nearest_road(points, roads, x, y, size, extent).groupBy("road_id").agg(F.sum("n").alias("n"))
+    tally = nearest_road(points, roads, x, y, size).groupBy("road_id").agg(F.sum("n").alias("n"))
     return roads.select("road_id").join(tally, "road_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -50,8 +50,10 @@ def heatmap(
     road_types: Sequence[str] = (),
     weather: Sequence[str] = (),
     light: Sequence[str] = (),
-    limit: int = 50000,
+    *,
+    limit: int,
 ) -> dict[str, DataFrame]:
+    """Points to draw, at most ``limit`` of ``matching``; the centre is that of the drawn ones."""
     condition = all_of(
         when.column(),
         severity_in(severities),
@@ -62,6 +64,7 @@ def heatmap(
     points = hotspots.map_points(tables["collision_geopoints"], condition, limit)
     return {
         "points": points.withColumn("color", colour(F.col("collision_severity"))),
+        "matching": tables["collision_geopoints"].where(condition).agg(F.count("*").alias("n")),
         "centre": breakdown.centroid(points),
     }
 
@@ -102,7 +105,7 @@ def environment(
     return page
 
 
-def hotspot_options(tables: Tables, n: int = 30) -> dict[str, DataFrame]:
+def hotspot_options(tables: Tables, n: int) -> dict[str, DataFrame]:
     events = tables["geo_events_raw"]
     return {c: breakdown.top_values(events, c, n) for c in ("weather_conditions", "light_conditions", "road_type")}
 
@@ -122,8 +125,8 @@ def hotspot_ranking(
     when: TimeFilter,
     severities: Sequence[str],
     scale: int,
-    metric: str = "risk_score",
-    top: int = 20,
+    metric: str,
+    top: int,
     centre: tuple[float, float] = hotspots.DEFAULT_CENTRE,
     radius_miles: float | None = None,
     weather: str = "All",
@@ -140,20 +143,21 @@ def hotspot_cell(
     severities: Sequence[str],
     scale: int,
     cell_id: str,
-    order_by: str = "date",
-    limit: int = 2000,
+    order_by: str,
+    limit: int,
+    drawn: int,
     offset: int = 0,
     weather: str = "All",
     light: str = "All",
     road_type: str = "All",
 ) -> dict[str, DataFrame]:
-    """Severity counts of one cell, a page of its rows, and the rows to draw."""
+    """Severity counts of one cell, a page of its rows, and a sample of the page to draw."""
     condition = _hotspot_condition(when, severities, weather, light, road_type)
     page = hotspots.cell_page(tables["geo_events_raw"], scale, condition, cell_id, order_by, limit, offset)
-    drawn = hotspots.stable_sample(page, page.columns)
+    chosen = hotspots.stable_sample(page, page.columns, drawn)
     return {
         "severities": hotspots.cell_severities(tables["geo_events_raw"], scale, condition, cell_id),
         "page": page,
-        "drawn": drawn.withColumn("color", colour(F.col("collision_severity"))),
-        "centre": breakdown.centroid(drawn),
+        "drawn": chosen.withColumn("color", colour(F.col("collision_severity"))),
+        "centre": breakdown.centroid(chosen),
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,6 +26,7 @@ def build_session(app_name: str = "tarmac", master: str | None = None, **conf: s
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -32,20 +34,23 @@ def build_session(app_name: str = "tarmac", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+_own: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    ``spark.checkpoint.dir`` wins.  Only a local session, where the driver is
-    the sole machine, may fall back to a temporary folder.
+    Only a session in one process (``local``, not ``local-cluster``) may leave it
+    unset; it gets a folder of its own, which goes when the process ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", "")
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tarmac-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    _own.append(tempfile.TemporaryDirectory(prefix="tarmac-", ignore_cleanup_errors=True))
+    spark.conf.set("spark.checkpoint.dir", _own[-1].name)
+    return _own[-1].name
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -34,22 +34,44 @@ def polygon_features(zones: DataFrame, properties: Sequence[str], ring: str = "r
     return zones.select(_feature(geometry, properties).alias("feature"))
 
 
+def area_features(zones: DataFrame, properties: Sequence[str], area: str = "area") -> DataFrame:
+    """Areas of several polygons, each an outer ring and its holes, as MultiPolygons."""
+
+    def closed(ring: Column) -> Column:
+        pairs = F.transform(ring, lambda p: F.array(p["x"], p["y"]))
+        return F.concat(pairs, F.slice(pairs, 1, 1))
+
+    coordinates = F.transform(area, lambda polygon: F.transform(polygon, closed))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates"))
+    return zones.select(_feature(geometry, properties).alias("feature"))
+
+
 def write_features(features: DataFrame, path: str) -> None:
     """Newline-delimited features."""
     features.write.mode("overwrite").text(path)
 
 
+_DEPTH = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPolygon": 4}
+_AREAS = ("Polygon", "Area")
+
+
+def _nested(depth: int) -> T.DataType:
+    return T.ArrayType(_nested(depth - 1)) if depth else T.DoubleType()
+
+
 def _layer_schema(kind: str, properties: T.StructType) -> T.StructType:
-    depth = {"Point": 1, "LineString": 2, "Polygon": 3}[kind]
-    coordinates: T.DataType = T.DoubleType()
-    for _ in range(depth):
-        coordinates = T.ArrayType(coordinates)
+    # the nesting of areas depends on the feature, so their positions are read as text first
+    coordinates = T.StringType() if kind in _AREAS else _nested(_DEPTH[kind])
     geometry = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", coordinates)])
     return T.StructType([T.StructField("properties", properties), T.StructField("geometry", geometry)])
 
 
 def parse_features(features: DataFrame, kind: str, properties: T.StructType, column: str = "feature") -> DataFrame:
-    """Features as columns: properties plus ``x, y`` for points or ``ring`` / ``line``."""
+    """Features as columns: properties plus ``x, y`` for points, ``line`` for lines.
+
+    ``Polygon`` layers give ``rings`` (outer ring and holes); ``Area`` layers may mix
+    Polygons and MultiPolygons and give ``area`` (polygons of rings).
+    """
     f = F.from_json(column, _layer_schema(kind, properties))
     return _shape(features.select(f.alias("f")), kind)
 
@@ -68,6 +90,12 @@ def _shape(df: DataFrame, kind: str) -> DataFrame:
         return df.select("f.properties.*", at[0].alias("x"), at[1].alias("y"))
     if kind == "LineString":
         return df.select("f.properties.*", F.transform(at, point).alias("line"))
-    # the last position repeats the first
-    outer = at[0]
-    return df.select("f.properties.*", F.transform(F.slice(outer, 1, F.size(outer) - 1), point).alias("ring"))
+    # the last position of a ring repeats the first
+    opened = lambda ring: F.transform(F.slice(ring, 1, F.size(ring) - 1), point)
+    rings = lambda polygon: F.transform(polygon, opened)
+    one = F.from_json(at, _nested(_DEPTH["Polygon"]))
+    if kind == "Polygon":
+        return df.select("f.properties.*", rings(one).alias("rings"))
+    several = F.from_json(at, _nested(_DEPTH["MultiPolygon"]))
+    polygons = F.when(F.col("f.geometry.type") == "MultiPolygon", several).otherwise(F.array(one))
+    return df.select("f.properties.*", F.transform(polygons, rings).alias("area"))

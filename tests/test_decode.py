@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tarmac.model import CODE_MAP
 from tarmac.operators import decode
 
@@ -57,3 +59,33 @@ def test_typed_mode(spark):
 
 def test_codes_of(spark):
     assert decode.codes_of(spark.createDataFrame(ROWS, CODE_MAP), "collision") == ["age", "road"]
+
+
+def test_decoding_many_columns_does_not_move_the_facts(spark):
+    """An inline code map, broadcasts switched off: no exchange of the facts, and odd codes survive."""
+    columns = [f"c{i}" for i in range(30)]
+    codes = spark.createDataFrame(
+        [(i, "facts", c, str(i % 4), f"label {i}", None, None) for i, c in enumerate(columns)] + [(99, "facts", "c0", "NaN", "none", None, None), (100, "facts", "c1", "1e30", "huge", None, None)],
+        CODE_MAP,
+    )
+    facts = spark.range(50).select("id", *[(F.col("id") % 5).cast("int").alias(c) for c in columns])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for decoded in (decode.decode_labels(facts, codes, "facts"), decode.decode_typed(facts, codes, columns)):
+            plan = decoded._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan.split("Subquery")[0] and "hashpartitioning(id" not in plan
+            assert decoded.count() == 50
+        labelled = decode.decode_labels(facts, codes, "facts").where("id = 3").first()
+        assert labelled.c3 == "label 3" and labelled.c2 == "3" and labelled.c7 == "label 7"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_large_code_map_is_joined(spark, monkeypatch):
+    codes = spark.createDataFrame(ROWS, CODE_MAP)
+    want = decode.decode_labels(frame(spark), codes, "collision", ["road", "age"]).collect()
+    typed = decode.decode_typed(frame(spark), codes, ["road", "age"]).collect()
+    monkeypatch.setattr(decode, "IN_ONE_ROW", 3)
+    assert sorted(map(str, decode.decode_labels(frame(spark), codes, "collision", ["road", "age"]).collect())) == sorted(map(str, want))
+    assert sorted(map(str, decode.decode_typed(frame(spark), codes, ["road", "age"]).collect())) == sorted(map(str, typed))

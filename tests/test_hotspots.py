@@ -83,7 +83,7 @@ def test_pages_cover_each_row_once(spark):
         seen += [r.road_type for r in page.collect()]
     assert len(seen) == 25 and len(set(seen)) == 25
     with pytest.raises(ValueError):
-        hotspots.cell_page(df, 20, F.lit(True), "1030_-2", "road_type; drop table x")
+        hotspots.cell_page(df, 20, F.lit(True), "1030_-2", "road_type; drop table x", 10)
 
 
 def test_ordered_head_equals_sort(spark):

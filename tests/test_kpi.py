@@ -131,6 +131,17 @@ def test_exact_quantiles_narrow_to_the_same_values(spark):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 50, "v double").repartition(5)
     points = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
     want = np.quantile(values, points)
-    for in_memory in (1_000_000, 3):
-        np.testing.assert_allclose(exact_quantiles(df, "v", points, in_memory), want, rtol=1e-12)
+    np.testing.assert_allclose(exact_quantiles(df, "v", points), want, rtol=1e-12)
     assert exact_quantiles(df.where("v is null"), "v", [0.5]) == [None]
+
+
+def test_quantiles_of_odd_columns(spark):
+    df = spark.sql("SELECT * FROM VALUES (10D), (10D), (double('NaN')) AS t(v)")
+    low, high = exact_quantiles(df, "v", [0.0, 1.0])
+    assert low == 10.0 and np.isnan(high)
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big,), (big,), (big + 2,), (None,)], "v long")
+    assert exact_quantiles(df, "v", [0.0, 0.5, 1.0]) == [big, big, big + 2]
+    hot = spark.range(40_000).select((F.col("id") % 2 * F.col("id")).alias("v"))  # half the rows are one value
+    values = [(i % 2) * i for i in range(40_000)]
+    np.testing.assert_allclose(exact_quantiles(hot, "v", [0.25, 0.5, 0.75, 0.9]), np.quantile(values, [0.25, 0.5, 0.75, 0.9]))

@@ -117,14 +117,14 @@ def test_pages_on_the_built_tables(spark, built):
     assert dashboard.overview(result, TimeFilter(year=2020, month=6), ["Fatal"])["trend"].first()["count"] == 1
     ranged = dashboard.overview(result, TimeFilter(start="2020-06-06", end="2020-06-30"), both)
     assert ranged["totals"].first().total_casualties == 2 and ranged["trend"].count() == 1
-    assert dashboard.heatmap(result, when, ["Slight"])["points"].first().color == [0, 128, 255, 160]
+    assert dashboard.heatmap(result, when, ["Slight"], limit=50000)["points"].first().color == [0, 128, 255, 160]
     demo = dashboard.demographics(result, when, both, ages=["Child"])
     assert demo["counts"].first()["count"] == 1
     env = dashboard.environment(result, when, both, "weather_conditions", "light_conditions", ["Daylight"])
     assert env["grid"].agg(F.sum("Daylight")).first()[0] == 2
-    top = dashboard.hotspot_ranking(result, when, both, 100, radius_miles=50).collect()
+    top = dashboard.hotspot_ranking(result, when, both, 100, "risk_score", 20, radius_miles=50).collect()
     assert [r.risk_score for r in top] == [3, 1]
-    cell = dashboard.hotspot_cell(result, when, both, 100, top[0].cell_id)
+    cell = dashboard.hotspot_cell(result, when, both, 100, top[0].cell_id, "date", 2000, 500)
     assert cell["page"].count() == cell["drawn"].count() == 1
     assert {r.year for r in dashboard.choices(result)["years"].collect()} == {2020}
 
@@ -227,7 +227,7 @@ def test_geojson_collection(spark, tmp_path):
     path = tmp_path / "zones.geojson"
     path.write_text(json.dumps(body, indent=1))
     got = geojson.read_collection(spark, str(path), "Polygon", T.StructType([T.StructField("name", T.StringType())]))
-    assert {r.name: [(p.x, p.y) for p in r.ring] for r in got.collect()} == {"a": [(0, 0), (2, 0), (2, 2)], "b": [(0, 0), (2, 0), (2, 3)]}
+    assert {r.name: [(p.x, p.y) for p in r.rings[0]] for r in got.collect()} == {"a": [(0, 0), (2, 0), (2, 2)], "b": [(0, 0), (2, 0), (2, 3)]}
 
 
 def test_edit_distance(spark):

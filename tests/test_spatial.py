@@ -114,13 +114,13 @@ def test_distance_filters_match_brute_force(spark, roads, spots, distance):
 @pytest.mark.parametrize("size", [25.0, 400.0])
 def test_nearest_matches_brute_force(spark, roads, spots, size):
     df = spark.createDataFrame(spots, "id int, x double, y double")
-    got = {(r.x, r.y): (r.road_id, r.n) for r in spatial.nearest_road(df, roads, "x", "y", size, 20_000.0).collect()}
+    got = {(r.x, r.y): (r.road_id, r.n) for r in spatial.nearest_road(df, roads, "x", "y", size).collect()}
     want = {}
     for _, x, y in spots:
         best = min((gap(x, y, *r[1:]), r[0]) for r in ROADS)[1]
         want[(x, y)] = (best, want.get((x, y), (0, 0))[1] + 1)
     assert got == want
-    counts = {r.road_id: r.n for r in spatial.nearest_counts(df, roads, "x", "y", size, 20_000.0).collect()}
+    counts = {r.road_id: r.n for r in spatial.nearest_counts(df, roads, "x", "y", size).collect()}
     assert counts[6] == 0 and counts[5] == 0 and sum(counts.values()) == len(spots)
 
 
@@ -146,3 +146,23 @@ def test_touching_roads(spark):
     ends = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "b"), (4, "z")], "road_id int, junction string")
     got = {(r.src, r.dst) for r in network.touching_roads(ends).collect()}
     assert got == {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)}
+
+
+def test_nearest_has_no_extent(spark):
+    points = spark.createDataFrame([(5_000_000.0, 5_000_000.0), (1000.0, 1000.0)], "x double, y double")
+    far = spark.createDataFrame([(1, -20_000.0, -20_000.0, -19_000.0, -20_000.0)], "road_id int, x1 double, y1 double, x2 double, y2 double")
+    assert sorted((r.x, r.road_id) for r in spatial.nearest_road(points, far, "x", "y", 10_000.0).collect()) == [(1000.0, 1), (5_000_000.0, 1)]
+    assert spatial.nearest_counts(points, far, "x", "y", 10_000.0).collect()[0].n == 2
+
+
+def test_areas_with_holes_and_parts(spark):
+    square = lambda a, b: [(float(a), float(a)), (float(b), float(a)), (float(b), float(b)), (float(a), float(b))]
+    point = "struct<x:double,y:double>"
+    areas = spark.createDataFrame([(1, 10.0, [[square(0, 10), square(3, 7)], [square(20, 22)]])], f"zone_id int, population double, area array<array<array<{point}>>>")
+    spots = [(5.0, 5.0), (1.0, 1.0), (3.0, 5.0), (21.0, 21.0), (15.0, 15.0), (10.0, 10.0), (6.99, 6.99)]
+    points = spark.createDataFrame(spots, "x double, y double")
+    for size in (0.7, 4.0, 100.0):
+        got = {(r.x, r.y) for r in spatial.within_zones(points, areas, "x", "y", size).collect()}
+        assert got == {(1.0, 1.0), (3.0, 5.0), (21.0, 21.0), (10.0, 10.0)}
+        assert spatial.zone_counts(areas, points, "x", "y", size).first().n == 4
+    assert spatial.zone_density(areas, "population", 1.0).first().area == 100 - 16 + 4
