@@ -104,11 +104,20 @@ def cell_summary(events: DataFrame, scale: int) -> DataFrame:
     )
 
 
-def _latitude_band(centre_lat: float, radius: float, scale: int) -> Column:
-    """Events that can lie in a cell within reach: a range on latitude widened by
-    one cell, which the scan can push down.  The exact test follows on cells."""
-    reach = radius / (EARTH_RADIUS_MILES * math.pi / 180) + 1.0 / scale
-    return F.col("latitude").between(centre_lat - reach, centre_lat + reach)
+def _box(centre: tuple[float, float], radius: float, scale: int) -> Column:
+    """Events that can lie in a cell within reach: ranges of both coordinates widened
+    by one cell, which the scan can push down.  The exact test follows on cells."""
+    latitude, longitude = centre
+    angle = radius / EARTH_RADIUS_MILES
+    reach = math.degrees(angle) + 1.0 / scale
+    near = F.col("latitude").between(latitude - reach, latitude + reach)
+    widest = math.cos(math.radians(latitude))
+    if abs(latitude) + reach >= 90 or math.sin(min(angle, math.pi / 2)) >= widest:
+        return near  # a pole is within reach
+    across = math.degrees(math.asin(math.sin(angle) / widest)) + 1.0 / scale
+    if longitude - across < -180 or longitude + across > 180:
+        return near
+    return near & F.col("longitude").between(longitude - across, longitude + across)
 
 
 def hotspots(
@@ -126,7 +135,7 @@ def hotspots(
         raise ValueError(f"rank by one of {METRICS}")
     chosen = events.where(condition)
     if radius_miles is not None:
-        chosen = chosen.where(_latitude_band(centre[0], radius_miles, scale))
+        chosen = chosen.where(_box(centre, radius_miles, scale))
     cells = cell_summary(chosen, scale).withColumn(
         "distance_miles", haversine_miles(F.col("grid_lat"), F.col("grid_lon"), *centre)
     )

@@ -6,7 +6,10 @@ twice and a lost executor costs only the stage it was in.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarmac.functions.geo import with_lonlat
 from tarmac.functions.names import normalise_headers
@@ -55,46 +58,59 @@ AGGREGATES = {
 }
 
 
+#: Tables that maps and rankings read by year and place: partitioned, and clustered by whole degrees.
+_BY_YEAR_AND_PLACE = ("collision_geopoints", "geo_events_raw")
+DATABASE = "road_collisions"
+
+
 def run(
     spark: SparkSession,
     files: dict[str, str | list[str]],
     code_map: DataFrame,
     out: str,
     buckets: int | None = None,
+    database: str = DATABASE,
 ) -> dict[str, DataFrame]:
     """Clean ``files`` (kind to path) into Parquet tables below ``out``.
 
     The cleaned CSV copies are written before keys are enforced, so they still hold
-    orphans; the tables do not.  Collisions are partitioned by year.  With
-    ``buckets`` the facts become catalog tables hashed on the collision key (files
-    still below ``out``): enforcing keys and building the master table then starts
-    without shuffling them.
+    orphans; the tables do not.  Collisions and the map tables are partitioned by
+    year.  All results are tables of ``database``, which is made if it is missing;
+    their files stay below ``out``.  With ``buckets`` the facts are hashed on the
+    collision key: enforcing keys and building the master table then starts without
+    shuffling them.
     """
-
-    def store(df: DataFrame, folder: str, name: str, by_year: bool = False) -> DataFrame:
-        partition_by = ["year"] if by_year else []
-        if buckets is None:
-            return tables.materialise(df, f"{out}/{folder}", partition_by)
-        tables.write_table(df, name, partition_by, (buckets, joins.COLLISION_KEY), f"{out}/{folder}")
-        return spark.table(name)
-
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{out}/database'")
+
+    def store(df: DataFrame, name: str, partition_by: Sequence[str] = (), sort_by: Sequence[Column] = (), hashed: bool = False) -> DataFrame:
+        path = f"{out}/{name}"
+        if hashed and buckets is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+            tables.write_table(df, f"{database}.{name}", partition_by, (buckets, joins.COLLISION_KEY), path)
+            return spark.table(f"{database}.{name}")
+        stored = tables.materialise(df, path, partition_by, sort_by)
+        tables.register(spark, database, name, path, bool(partition_by))
+        return stored
+
+    result = {"code_map": store(code_map, "code_map")}
     cleaned: dict[str, DataFrame] = {}
     for kind, path in files.items():
         df = clean_table(records.read_csv(spark, path), kind, code_map)
-        cleaned[kind] = store(df, f"cleaned/{kind}", f"cleaned_{kind}")
+        if kind == "collision":  # no key to enforce: cleaned and final are the same
+            cleaned[kind] = result[kind] = store(df, kind, ["year"], hashed=True)
+        else:
+            cleaned[kind] = store(df, f"cleaned_{kind}", hashed=True)
         tables.write_csv(cleaned[kind], f"{out}/csv/{kind}")
-    result = {"code_map": tables.materialise(code_map, f"{out}/code_map")}
     children = {k: cleaned[k] for k in ("vehicle", "casualty") if k in cleaned}
     if "collision" in cleaned:
-        result["collision"] = store(cleaned["collision"], "collision", "collision", by_year=True)
         children = enforce_keys(result["collision"], **children)
     for name, child in children.items():
-        result[name] = store(child, name, name)
+        result[name] = store(child, name, hashed=True)
     if {"collision", "vehicle", "casualty"} <= set(result):
-        whole = joins.master(result["collision"], result["vehicle"], result["casualty"])
-        result["master"] = tables.materialise(whole, f"{out}/master")
+        result["master"] = store(joins.master(result["collision"], result["vehicle"], result["casualty"]), "master")
         tables.write_csv(result["master"], f"{out}/csv/master")
     if "collision" in result:
         for name, build in AGGREGATES.items():
-            result[name] = tables.materialise(build(result["collision"]), f"{out}/{name}")
+            by_place = name in _BY_YEAR_AND_PLACE
+            result[name] = store(build(result["collision"]), name, ["year"] if by_place else (), [F.floor("latitude"), F.floor("longitude")] if by_place else ())
     return result

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions.geo import point_wkt
@@ -24,8 +24,11 @@ def write_table(
     """Create or replace a catalog table.
 
     ``buckets`` (number, column) stores rows hashed and sorted by a key.  Facts
-    bucketed alike on the collision key join without shuffling either side.
+    bucketed alike on the collision key join without shuffling either side.  Rows
+    are dealt out by bucket first, so a bucket is one file per partition value.
     """
+    if buckets:
+        df = df.repartition(buckets[0], buckets[1])
     writer = df.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -36,21 +39,24 @@ def write_table(
     writer.saveAsTable(name)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[Column] = ()) -> None:
     """Parquet, one directory per partition value.
 
     Rows are rebalanced by the partition columns first: files come out evenly
-    sized, and AQE splits a value that holds most of the rows.
+    sized, and AQE splits a value that holds most of the rows.  ``sort_by`` clusters
+    rows within files, so that ranges of it skip row groups.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
+    if sort_by:
+        df = df.sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def materialise(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def materialise(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[Column] = ()) -> DataFrame:
     """Write a result and return it as read back: repeated queries scan the file."""
-    write_parquet(df, path, partition_by)
+    write_parquet(df, path, partition_by, sort_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,5 +64,13 @@ def with_wkt(df: DataFrame, x: str = "longitude", y: str = "latitude", name: str
     return df.withColumn(name, point_wkt(F.col(x), F.col(y)))
 
 
-def existing_tables(spark: SparkSession) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables())
+def register(spark: SparkSession, database: str, name: str, path: str, partitioned: bool) -> None:
+    """Make stored Parquet known as ``database.name``; the files stay where they are."""
+    spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+    spark.sql(f"CREATE TABLE {database}.{name} USING parquet LOCATION '{path}'")
+    if partitioned:
+        spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
+
+
+def existing_tables(spark: SparkSession, database: str | None = None) -> list[str]:
+    return sorted(t.name for t in spark.catalog.listTables(database))

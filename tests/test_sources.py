@@ -94,7 +94,7 @@ def test_etl_invariants(spark, built):
 def test_etl_with_buckets_gives_the_same_tables(spark, built, tmp_path):
     result, folder, _ = built
     files = {k: f"{folder}/dft-road-casualty-statistics-{k}-2020.csv" for k in ("collision", "vehicle", "casualty")}
-    stored = etl.run(spark, files, spark.createDataFrame(CODES, CODE_MAP), str(tmp_path), buckets=4)
+    stored = etl.run(spark, files, spark.createDataFrame(CODES, CODE_MAP), str(tmp_path), buckets=4, database="hashed")
     try:
         for name, df in result.items():
             columns = sorted(df.columns)
@@ -105,8 +105,27 @@ def test_etl_with_buckets_gives_the_same_tables(spark, built, tmp_path):
         assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     finally:
-        for name in ("collision", "vehicle", "casualty", "cleaned_collision", "cleaned_vehicle", "cleaned_casualty"):
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql("DROP DATABASE IF EXISTS hashed CASCADE")
+
+
+def test_stored_tables_have_names_and_prune(spark, built):
+    result = built[0]
+    names = ["collision", "vehicle", "casualty", "code_map", "master", "kpi_monthly", "kpi_daily", "geo_events_raw", "collision_geopoints"]
+    assert all(quality.required_tables(spark, [f"{etl.DATABASE}.{n}" for n in names]).values())
+    assert set(names) <= set(tables.existing_tables(spark, etl.DATABASE))
+    for name, df in result.items():
+        assert spark.table(f"{etl.DATABASE}.{name}").count() == df.count()
+    for name in ("geo_events_raw", "collision_geopoints", "collision"):
+        plan = result[name].where("year = 2020")._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def test_bucketed_files_are_bounded(spark, tmp_path):
+    df = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 5).alias("year")).repartition(8)
+    tables.write_table(df, "t_few", ["year"], (6, "k"), str(tmp_path / "t"))
+    files = spark.table("t_few").inputFiles()
+    spark.sql("DROP TABLE t_few")
+    assert len(files) <= 30
 
 
 def test_pages_on_the_built_tables(spark, built):
