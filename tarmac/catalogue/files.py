@@ -7,9 +7,9 @@ from pyspark.sql import types as T
 
 from tarmac.catalogue.entry import Catalogue
 from tarmac.catalogue.kpi import _EVENTS_SQL, _MONTHLY_SQL
-from tarmac.catalogue.roles import collision, table, with_roles, zones
+from tarmac.catalogue.roles import _VEHICLE_TYPES, casualty, collision, table, vehicle, with_roles, zones
 from tarmac.model import CODE_MAP
-from tarmac.operators import hotspots, kpi, matching
+from tarmac.operators import clean, decode, hotspots, kpi, matching
 from tarmac.plans import etl
 from tarmac.session import scratch_path
 from tarmac.sources import geojson, records, tables
@@ -225,3 +225,129 @@ def _(spark, d):
     monthly = tables.materialise(kpi.kpi_monthly(collision(spark, d)), scratch_path(spark, "kpi-monthly"))
     return kpi.kpi_year(monthly, 1999, ["Fatal", "Serious"])
 
+
+
+# --- the whole run on three raw files -----------------------------------------
+
+
+_LABELS = {
+    ("vehicle", "vehicle_type"): _VEHICLE_TYPES,
+    ("casualty", "casualty_class"): ("Driver or rider", "Passenger", "Pedestrian"),
+    ("casualty", "casualty_severity"): ("Fatal", "Serious", "Slight"),
+}
+_ALL_CODES = _CODES + [
+    (100 * k + i, kind, variable, str(i), label, None, "integer")
+    for k, ((kind, variable), labels) in enumerate(_LABELS.items(), 1)
+    for i, label in enumerate(labels, 1)
+]
+
+
+def _built(spark, d):
+    """All tables of the cleaning run over the given tables as raw, coded CSV files."""
+    raw = scratch_path(spark, "raw")
+    tables.write_csv(raw_collisions(spark, d), f"{raw}/collision")
+    coded = lambda kind, c: F.array_position(F.array(*map(F.lit, _LABELS[kind, c])), F.col(c)) if (kind, c) in _LABELS else F.col(c)
+    headers = {
+        "collision_index": "Collision Index", "vehicle_reference": "Vehicle Reference", "vehicle_type": "Vehicle Type",
+        "engine_capacity_cc": "Engine Capacity (CC)", "casualty_class": "Casualty Class", "casualty_severity": "Casualty Severity",
+    }
+    sources = {
+        "vehicle": (vehicle(spark, d), ["collision_index", "vehicle_reference", "vehicle_type", "engine_capacity_cc"]),
+        "casualty": (casualty(spark, d), ["collision_index", "vehicle_reference", "casualty_class", "casualty_severity"]),
+    }
+    for kind, (df, columns) in sources.items():
+        tables.write_csv(df.select(*[coded(kind, c).alias(headers[c]) for c in columns]), f"{raw}/{kind}")
+    files = {kind: f"{raw}/{kind}" for kind in ("collision", "vehicle", "casualty")}
+    return etl.run(spark, files, spark.createDataFrame(_ALL_CODES, CODE_MAP), scratch_path(spark, "etl"))
+
+
+_KEPT = "SELECT * FROM collision WHERE latitude IS NOT NULL AND year BETWEEN 2000 AND 2024"
+
+
+@add(
+    "etl_vehicles",
+    with_roles(
+        "SELECT CAST(collision_index AS VARCHAR) AS collision_index, CAST(vehicle_reference AS VARCHAR) AS vehicle_reference, vehicle_type, "
+        "CAST(engine_capacity_cc AS VARCHAR) AS engine_capacity_cc FROM vehicle WHERE collision_index IN (SELECT collision_index FROM kept)",
+        "vehicle",
+        "collision",
+        kept=_KEPT,
+    ),
+)
+def _(spark, d):
+    return _built(spark, d)["vehicle"].select(
+        "collision_index", F.col("vehicle_reference").cast("string").alias("vehicle_reference"), "vehicle_type",
+        F.col("engine_capacity_cc").cast("string").alias("engine_capacity_cc"),
+    )
+
+
+@add(
+    "etl_casualties",
+    with_roles(
+        "SELECT CAST(collision_index AS VARCHAR) AS collision_index, CAST(vehicle_reference AS VARCHAR) AS vehicle_reference, casualty_class, "
+        "casualty_severity FROM casualty WHERE collision_index IN (SELECT collision_index FROM kept)",
+        "casualty",
+        "collision",
+        kept=_KEPT,
+    ),
+)
+def _(spark, d):
+    return _built(spark, d)["casualty"].select(
+        "collision_index", F.col("vehicle_reference").cast("string").alias("vehicle_reference"), "casualty_class", "casualty_severity"
+    )
+
+
+@add(
+    "etl_master",
+    with_roles(
+        "SELECT CAST(k.collision_index AS VARCHAR) AS collision_index, k.collision_severity, c.casualty_class, c.casualty_severity, v.vehicle_type "
+        "FROM casualty c JOIN kept k USING (collision_index) LEFT JOIN vehicle v USING (collision_index, vehicle_reference)",
+        "casualty",
+        "vehicle",
+        "collision",
+        kept=_KEPT,
+    ),
+)
+def _(spark, d):
+    return _built(spark, d)["master"].select("collision_index", "collision_severity", "casualty_class", "casualty_severity", "vehicle_type")
+
+
+# --- readers ------------------------------------------------------------------
+
+
+@add(
+    "get_records",
+    with_roles(
+        "SELECT CAST(collision_index AS VARCHAR) AS collision_index, datetime, longitude, latitude, number_of_vehicles FROM collision",
+        "collision",
+    ),
+)
+def _(spark, d):
+    folder, name = scratch_path(spark, "records"), "dft-road-casualty-statistics-collision-2020.csv"
+    tables.write_csv(raw_collisions(spark, d), f"{folder}/{name}")
+    df = records.get_records(spark, folder, 2020, "accidents", spark.createDataFrame(_CODES, CODE_MAP), available=[name])
+    return df.select("collision_index", "datetime", "longitude", "latitude", "number_of_vehicles")
+
+
+@add("code_map_file", with_roles("SELECT collision_index, collision_severity FROM collision", "collision"))
+def _(spark, d):
+    path = scratch_path(spark, "codes")
+    codes = spark.createDataFrame(_CODES, CODE_MAP)
+    tables.write_csv(codes.coalesce(1).drop("ord"), path)
+    code = F.expr("CASE collision_severity WHEN 'Fatal' THEN 1 WHEN 'Serious' THEN 2 ELSE 3 END")
+    coded = collision(spark, d).select("collision_index", code.alias("collision_severity"))
+    return decode.decode_labels(coded, records.read_code_map(spark, path), "collision", ["collision_severity"])
+
+
+@add(
+    "numeric_coordinates",
+    with_roles(
+        "SELECT collision_index, CASE WHEN collision_index % 7 = 0 THEN NULL ELSE longitude END AS longitude, latitude FROM collision",
+        "collision",
+    ),
+)
+def _(spark, d):
+    text = F.when(F.col("collision_index") % 7 == 0, "unknown").otherwise(F.col("longitude").cast("string"))
+    return clean.force_numeric_coordinates(
+        collision(spark, d).select("collision_index", text.alias("longitude"), F.col("latitude").cast("string").alias("latitude"))
+    )
