@@ -30,7 +30,26 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@catalogue.add("op8_fixed_anchors")
+@catalogue.add(
+    "op8_fixed_anchors",
+    """
+    WITH d AS (
+      SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+    ), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+    ), t AS (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY s) > 1 AS again
+      FROM (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS s FROM p WHERE i + 34 <= len(w))
+    ), g AS (
+      SELECT doc_id, p.i, w[p.i] AS word,
+        coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), FALSE) AS gone
+      FROM p LEFT JOIN t USING (doc_id, i)
+    ), k AS (
+      SELECT doc_id, count_if(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
 def op8_fixed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = anchor_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
