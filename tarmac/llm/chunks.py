@@ -70,12 +70,13 @@ class Rolling:
     def __init__(self, values: np.ndarray, base: int = BASES[0]):
         n = len(values)
         inverse = pow(base, -1, 1 << 64)
-        powers = np.full(n, base, dtype=np.uint64)
+        self.sums = np.full(n + 1, base, dtype=np.uint64)
+        powers = self.sums[1:]
         powers[:1] = 1
         np.cumprod(powers, out=powers)
         powers *= values
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(powers, out=self.sums[1:])
+        np.cumsum(powers, out=powers)
+        self.sums[0] = 0
         self.back = np.full(n + 1, inverse, dtype=np.uint64)
         self.back[0] = 1
         np.cumprod(self.back, out=self.back)

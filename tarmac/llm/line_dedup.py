@@ -37,6 +37,8 @@ from tarmac.llm.common import ASCII_SPACE, mix, saved
 from tarmac.llm.lm_score import packed, unpacked
 
 LEAST_WORDS = 5
+#: A chunk's text; each byte takes some dozens of bytes of working memory.
+CHUNK_BYTES = 3 << 20
 #: Bytes sent of a variant's hash next to its partition; it only preselects.
 _SHORT = 5
 _SPACE = np.isin(np.arange(256), np.frombuffer(ASCII_SPACE, np.uint8))
@@ -197,14 +199,14 @@ def _joining(rows: pa.Table, replies: pa.Table, n: int, least_words: int) -> pa.
     first, _ = c.distinct()
     lines = np.sort(first[~np.isin(first, gone)])
     h, line, place = c.variants(lines)
-    distinct = np.unique(h)
+    distinct, index = np.unique(h, return_inverse=True)
     cut, met = bounds(distinct, n), np.zeros(len(distinct), dtype=bool)
     for r in answers:
         if r["met"]:
             s = slice(cut[r["p"]], cut[r["p"] + 1])
             _, rank = _by_low(distinct[s])
             met[np.arange(s.start, s.stop)[rank]] = np.unpackbits(np.frombuffer(r["met"], np.uint8), count=s.stop - s.start).astype(bool)
-    keep = met[np.searchsorted(distinct, h)]
+    keep = met[index]
     h, line, place = h[keep].view(np.int64), line[keep], place[keep]
     docs, words = c.doc_ids.take(pa.array(c.doc[line])), {k: c.text(k) for k in np.unique(line).tolist()}
     settled = np.sort(gone)
@@ -272,7 +274,7 @@ def _cut(rows: pa.Table, gone: pa.Table) -> pa.Table:
     return pa.table([ordered.column("doc_id"), pa.array(kept, pa.binary()), ordered.column("rest"), pa.array(np.diff(first)), pa.array(removed, pa.list_(pa.int64()))], names)
 
 
-def remove_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
+def remove_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` with the lines removed from the text, and ``_n_lines`` and ``_removed`` (line numbers from 0)."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     rest = F.struct(F.col(text_col).isNull().alias("no_text"), F.struct(*[F.col(c) for c in others] or [F.lit(0).alias("none")]).alias("columns"))
