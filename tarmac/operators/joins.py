@@ -49,7 +49,10 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     shared = [c for c in left.columns if c in right.columns]
     renamed = right.withColumnsRenamed({c: f"__{c}" for c in shared})
     condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in shared])
-    return left.join(renamed, condition, how).drop(*[f"__{c}" for c in shared])
+    joined = left.join(renamed, condition, how)
+    # in a right or full join a key may come from the right side alone
+    keys = {c: F.coalesce(c, f"__{c}") for c in shared} if how.startswith(("right", "full", "outer")) else {}
+    return joined.withColumns(keys).drop(*[f"__{c}" for c in shared]) if keys else joined.drop(*[f"__{c}" for c in shared])
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, salt_by: Sequence[str], salts: int = 4) -> DataFrame:

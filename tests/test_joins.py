@@ -68,3 +68,12 @@ def test_first_vehicle_needs_no_fan_out(spark):
     rows = [("a", 2, "Bus"), ("a", 1, "Car"), ("b", 4, None)]
     df = spark.createDataFrame(rows, "collision_index string, vehicle_reference int, vehicle_type string")
     assert {r.collision_index: r.vehicle_type for r in factsheet.first_vehicle(df).collect()} == {"a": "Car", "b": None}
+
+
+def test_natural_join_keeps_keys_of_either_side(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, l string")
+    right = spark.createDataFrame([(2, "x"), (3, "y"), (None, "z")], "k int, r string")
+    rows = lambda how: sorted(map(str, [tuple(r) for r in joins.natural_join(left, right, how).select("k", "l", "r").collect()]))
+    assert rows("full") == sorted(map(str, [(1, "a", None), (2, "b", "x"), (3, None, "y"), (None, "c", "z")]))
+    assert rows("right") == sorted(map(str, [(2, "b", "x"), (3, None, "y"), (None, "c", "z")]))
+    assert rows("inner") == sorted(map(str, [(2, "b", "x"), (None, "c", "z")]))
