@@ -11,6 +11,11 @@ what stays further away is compared with the rest, piece against piece.  Each
 comparison returns a spanning forest and not all pairs, so no link between
 groups is lost and none is written twice.
 
+``keep_first`` can also take a similarity.  64 bits are too few to find all pairs of
+Jaccard 0.8 (they differ in 4 to 13 bits, and so many bits leave no selective blocks),
+so pairs are then found by bands of minima over the shingles and verified on the
+shingles themselves; their links join those of the fingerprints.
+
 A null text is empty; a text without a word has fingerprint zero.  A null id takes
 part as a document without a number: it is never the smallest of a component that
 has numbers, and a component of such rows only has a null id.
@@ -29,11 +34,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from tarmac.llm.common import saved, text_bytes
+from tarmac.llm.chunks import WordHashes
+from tarmac.llm.common import mix, saved, text_bytes
 from tarmac.llm.components import connected_components
 
 #: Rows of one block value that are compared in one piece.
 PIECE = 2048
+#: Bands of minima and minima in a band: a pair of Jaccard 0.8 shares no band in (1 - 0.8 ** 6) ** 40 = 5e-6 of all cases.
+BANDS, MINIMA = 40, 6
+#: Words of a shingle whose Jaccard similarity is taken.
+SHINGLE = 5
+_SEEDS = mix(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+_FACTORS = mix(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))[:, None] | np.uint64(1)
 
 
 def simhash(data: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -53,6 +65,31 @@ def simhash_text(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([simhash(x.as_py()) for x in texts], dtype=np.uint64).view(np.int64))
 
 
+def shingles(data: bytes, known: WordHashes, n: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles of ``n`` words, sorted and distinct; a shorter text is one shingle."""
+    words = data.lower().split()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    size, out = max(1, len(h) - n + 1), np.uint64(0)
+    for i in range(min(n, len(h))):
+        out = mix(out * np.uint64(0xD1342543DE82EF95) + h[i : i + size])
+    return np.unique(out) if len(h) else h
+
+
+@arrow_udf(T.ArrayType(T.LongType()))
+def bands(texts: pa.Array) -> pa.Array:
+    """One hash per band of minima over the shingles; none for a text without a word."""
+    known, out = WordHashes(), []
+    for text in texts:
+        h = shingles(text.as_py(), known)
+        least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for at in range(0, len(h), 512):
+            np.minimum(least, ((h[at : at + 512] ^ _SEEDS) * _FACTORS).min(axis=1), out=least)
+        if len(known) > 1 << 18:
+            known.clear()
+        out.append([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in least.reshape(BANDS, MINIMA)] if len(h) else [])
+    return pa.array(out, pa.list_(pa.int64()))
+
+
 def masks(distance: int, blocks: int) -> list[int]:
     """Bits of every choice of ``blocks - distance`` blocks, as signed longs: a near pair agrees on all bits of one."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -134,24 +171,75 @@ def _compare(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
         yield links()
 
 
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text keys whose shingles have the similarity."""
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, one = WordHashes(), None, None
+        for batch in batches:
+            stays = []
+            for b, left, right in zip(*(batch.column(c) for c in ("b", "left", "right"))):
+                if held != b.as_py():  # pairs mostly come by b
+                    held, one = b.as_py(), shingles(right.as_py(), known)
+                other = shingles(left.as_py(), known)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                stays.append(both >= similarity * (len(one) + len(other) - both))
+            if len(known) > 1 << 18:
+                known.clear()
+            yield batch.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
+
+    pairs = saved(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = saved(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+    met = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+    return saved(met.select("a", "b", "left", "right").mapInArrow(verified, "a bigint, b bigint"))
+
+
+def similar_links(docs: DataFrame, text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) between fingerprints, enough to connect all texts of that Jaccard similarity.
+
+    Equal texts are one node.  The texts of a band are compared with its least one
+    first; what that leaves in several components is compared pair by pair.
+    """
+    texts = docs.select(F.xxhash64(text_bytes(text_col)).alias("key"), text_bytes(text_col).alias("text"))
+    nodes = texts.select("key", bands("text").alias("bands")).groupBy("key").agg(F.any_value("bands").alias("bands"))
+    keyed = saved(nodes.select("key", F.posexplode("bands").alias("band", "value")))
+    met = keyed.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1").drop("n")
+    members = saved(keyed.join(met, ["band", "value"]))
+    near = _similar(members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), texts, similarity)
+    roots = connected_components(near).withColumnRenamed("node", "key")
+    rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = rooted.groupBy("band", "value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band", "value")
+    left = saved(rooted.join(several, ["band", "value"]).where("key <> pivot").select("band", "value", "key", "root"))
+    other = left.toDF("band", "value", "other", "other_root")
+    pairs = left.join(other, ["band", "value"]).where("root < other_root")
+    near = near.unionByName(_similar(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), texts, similarity))
+    wanted = saved(near.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    prints = saved(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", simhash_text("text").alias("fp")))
+    return near.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, blocks: int = 6) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` (long), ``component_id`` (least id reachable)."""
     prints = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), simhash_text(text_bytes(text_col)).alias("fp")))
     return prints.join(_classes(prints, distance, blocks), "fp").select("doc_id", "fp", "component_id")
 
 
-def _classes(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
+def _classes(prints: DataFrame, distance: int, blocks: int, more: DataFrame | None = None) -> DataFrame:
     """``fp``, ``root`` (a fingerprint of its component) and ``component_id`` for every distinct fingerprint."""
     nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(near_links(nodes, distance, blocks))
+    links = near_links(nodes, distance, blocks)
+    roots = connected_components(links if more is None else links.unionByName(more))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return saved(rooted.join(least, "root").select("fp", "root", "component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, blocks: int = 6) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, blocks: int = 6, similarity: float | None = None) -> DataFrame:
     """One document of each component of near copies: that of the smallest id, null ids last.
 
+    With ``similarity``, texts whose shingles of five words have that Jaccard similarity are near copies too.
+
     Rows that repeat an id and a fingerprint are copies too; one of them stays.
     """
     lowest = -(1 << 63)  # stands for a null id where ids are compared for equality only
@@ -159,5 +247,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.struct("*").alias("row"), simhash_text(text_bytes(text_col)).alias("_fp"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("_id"))
     prints = saved(keyed.select("_id", F.when(F.col("_id") != lowest, F.col("_id")).alias("doc_id"), F.col("_fp").alias("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), F.col("_id"), F.col("fp").alias("_fp"))).alias("first")
-    stay = prints.join(_classes(prints, distance, blocks), "fp").groupBy("root").agg(first).select("first._id", "first._fp")
+    more = None if similarity is None else similar_links(docs, text_col, similarity)
+    stay = prints.join(_classes(prints, distance, blocks, more), "fp").groupBy("root").agg(first).select("first._id", "first._fp")
     return keyed.join(stay, ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"]).select("row.*")
