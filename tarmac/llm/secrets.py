@@ -1,10 +1,13 @@
 """Secrets in text, told apart by who else has them.
 
-Patterns find the base kinds.  Beyond them every longer mixed token that looks
-like a live credential is a candidate; its hash is counted over the corpus by
-distinct repositories and owners.  What few owners have is owner-specific and
-becomes a span of kind ``owned``; what is copied widely is an example or a
-placeholder and does not.  The base spans carry the same counts (``n_examples``).
+Patterns find the base kinds.  Beyond them every mixed token that looks like a live
+credential is a candidate: letters of one or both cases with digits (base64, base32,
+hex in either case, identifiers with dashes), shorter ones near a credential word.
+Its hash is counted over the corpus by distinct repositories and owners.  What one
+owner has is owner-specific and becomes a span of kind ``owned``, in however many of
+its repositories it stands, as copies of a text do not make a secret an example; what
+several owners have is an example or a placeholder and does not.  The base spans
+carry the same counts (``n_examples``).
 
 Counting is by distinct (hash, owner, repository), then by (hash, owner), then by
 hash: a value that a third of all documents hold is pre-aggregated before every
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from hashlib import sha256
 
@@ -36,12 +40,18 @@ _WORDS = ("password", "passwd", "secret", "token", "api")
 # a maximal run is long enough or it fails as a whole, so the length can stand in the pattern
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-
-#: A candidate of at most so many owners, in at most so many repositories each on average, is owner-specific.
-OWNERS, REPOSITORIES = 1, 3
-#: Bits per character from which a mixed token looks live.
-ENTROPY = 3.5
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_CREDENTIAL = re.compile(r"passw|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|auth", re.IGNORECASE | re.ASCII)
+_CHANGES = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
+_SEPARATED = re.compile(r"[+/_=-]")
+_UPPER_HEX = re.compile(r"[0-9A-F]{16,}")
+
+#: A candidate of at most so many owners is owner-specific.
+OWNERS = 1
+#: Bits per character from which a mixed token looks live: letters of both cases, of one case, next to a credential word.
+ENTROPY, ENTROPY_ONE_CASE, ENTROPY_SHORT = 3.5, 3.0, 2.5
+#: Characters of a token that needs no credential word, and how far ahead of a shorter one that word may begin.
+LONG, AHEAD = 20, 40
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("hash", T.StringType())])
 
@@ -58,20 +68,36 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
     return [(s, KINDS[k], e, v) for s, k, e, v in sorted(found)]
 
 
-def looks_live(token: str) -> bool:
-    """Letters of both cases and digits, mixed, and no repetition."""
-    if not (any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token)):
+def looks_live(token: str, near_word: bool = False) -> bool:
+    """Letters and digits, mixed, and no repetition; shorter than ``LONG`` only hex or next to a credential word."""
+    lower, upper = any(c.islower() for c in token), any(c.isupper() for c in token)
+    if not (lower or upper) or not any(c.isdigit() for c in token):
         return False
     n = len(token)
-    return -sum(k / n * math.log2(k / n) for k in Counter(token).values()) >= ENTROPY
+    bits = -sum(k / n * math.log2(k / n) for k in Counter(token).values())
+    if near_word:
+        return bits >= ENTROPY_SHORT
+    if lower and upper and n >= LONG and bits >= ENTROPY:
+        return True
+    if n < LONG and not _UPPER_HEX.fullmatch(token):
+        return False
+    # words and numbers joined by dashes change from one to the other a few times only
+    least = 4 if _SEPARATED.search(token) else 2
+    return lower != upper and bits >= ENTROPY_ONE_CASE and len(_CHANGES.findall(token)) >= least
 
 
 def scan_text(text: str) -> tuple[list[tuple], list[tuple]]:
     base = base_spans(text)
     taken = [(s, e) for s, _, e, _ in base]
-    more = []
+    more, words = [], None
     for m in _TOKEN.finditer(text):
-        if looks_live(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken):
+        if m[0].isalpha() or m[0].isdigit():
+            continue
+        if words is None:
+            words = [w.start() for w in _CREDENTIAL.finditer(text)]
+        at = bisect_left(words, m.start())
+        near_word = at > 0 and words[at - 1] >= m.start() - AHEAD
+        if looks_live(m[0], near_word) and not any(s < m.end() and m.start() < e for s, e in taken):
             more.append((m.start(), "owned", m.end(), m[0]))
     return base, more
 
@@ -96,7 +122,7 @@ def ownership(seen: DataFrame) -> DataFrame:
     # structs, because a null owner or repository is one like any other
     pairs = seen.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("n"))
     counted = pairs.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
-    return counted.withColumn("specific", (F.col("n_owners") <= OWNERS) & (F.col("n_repositories") <= REPOSITORIES * F.col("n_owners")))
+    return counted.withColumn("specific", F.col("n_owners") <= OWNERS)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:

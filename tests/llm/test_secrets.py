@@ -69,3 +69,23 @@ def test_ownership(make_docs):
 def test_masking_keeps_the_rest(make_docs):
     docs = make_docs([(1, "use token = abcdefghijklmnop here, deadbeefdeadbeef00 too"), (2, "nothing")])
     assert sorted(r.text for r in secrets.mask(docs).collect()) == ["nothing", "use [SECRET] here, [SECRET] too"]
+
+
+def test_kinds_of_keys_and_copies(make_docs):
+    keys = [
+        "9F86D081884C7D659A2FEAA0", "JBSWY3DPEHPK3PXP2MZXW6YT", "k3j9x0q7vz2m8w4tb6rn", "9F86D081884C7D65", "550e8400-e29b-41d4-a716-446655440000",
+    ]
+    rows = [(i, f"see {key} there", "o1") for i, key in enumerate(keys)]
+    rows += [(10, "the password is Tr5kQ9zLw2Xe7v now", "o1"), (11, "bearer k3j9x0q7vz2m8w", "o1"), (12, "the value Tr5kQ9zLw2Xe7a now", "o1")]
+    rows += [(13, "covid-19-vaccination-programme-report internationalisation2019 page_2_of_the_long_report", "o1")]
+    live, example = "Zx9Qw3Er7Ty1Ui5Op2As8", "Mn4Bv6Cx8Za0Lk2Jh5Gf7"
+    rows += [(100 + i, f"x {live}", "o1") for i in range(3000)]  # copied within one source
+    rows += [(5000 + i, f"y{i} {live}", "o1") for i in range(50)]  # and used in its other texts
+    rows += [(6000 + i, f"z {example}", f"o{i % 2}") for i in range(40)]
+    found = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.find(make_docs(rows)).collect()}
+    assert {i: found[i] for i in range(5)} == {i: [(4, 4 + len(k))] for i, k in enumerate(keys)}
+    assert found[10] == [(16, 30)] and found[11] == [(7, 21)] and found[12] == [] and found[13] == []
+    assert all(found[100 + i] == [(2, 23)] for i in range(3000))
+    assert all(found[5000 + i] for i in range(50)) and not any(found[6000 + i] for i in range(40))
+    masked = {r.doc_id: r.text for r in secrets.mask(make_docs(rows)).collect()}
+    assert masked[0] == "see [SECRET] there" and masked[100] == "x [SECRET]" and masked[6000] == f"z {example}"
