@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.catalogue.entry import Catalogue
-from tarmac.llm import anchor_dedup, bpe, line_dedup, lm_score, packing, prefix_free, quality_rules, secrets, simhash, topk
+from tarmac.llm import anchor_dedup, bpe, collocations, decontaminate, line_dedup, lm_score, packing, prefix_free, quality_rules, secrets, simhash, spelling, topk
 from tarmac.llm.common import table
 
 catalogue = Catalogue()
@@ -146,6 +146,113 @@ def op5_deletion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@catalogue.add(
+    "op11_winnowing_decontamination",
+    r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents
+    ), b AS (
+      SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark
+    ), bw AS (
+      SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS s
+      FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(len(w), 10) AS k FROM b WHERE len(w) > 0))
+    ), hit AS (
+      SELECT doc_id, i, k, s FROM (
+        SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS s
+        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw))
+      ) SEMI JOIN bw USING (s)
+    ), n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id
+    ), t AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item FROM hit JOIN bw USING (s) WHERE item IS NOT NULL) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
+)
+def op11_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+@catalogue.add(
+    "op12_spelling_variants",
+    r"""
+    WITH RECURSIVE crc AS (
+      SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+    ), o AS (
+      SELECT doc_id, run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+      WHERE length(run) >= 7 GROUP BY ALL
+    ), h AS (
+      SELECT run, n, 4294967295 - list_reduce(
+        list_concat([4294967295], list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)) AS h
+      FROM (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM o), crc
+    ), v AS (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n
+      FROM (SELECT n, CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM h)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+    ), d AS (SELECT word, n, i, word[1 : i] || word[i + 2 :] AS part FROM (SELECT *, unnest(range(length(word))) AS i FROM v)
+    ), e AS (
+      SELECT a.word AS a, b.word AS b FROM d AS a JOIN d AS b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+      UNION SELECT d.word, v.word FROM d JOIN v ON d.part = v.word
+      UNION SELECT v.word, d.word FROM d JOIN v ON d.part = v.word
+    ), f AS (
+      SELECT v.word, v.n, count(e.b) AS n_near, min({'m': -w.n, 'word': w.word}) FILTER (w.n >= 10 * v.n) AS best
+      FROM v LEFT JOIN e ON e.a = v.word LEFT JOIN v AS w ON w.word = e.b GROUP BY v.word, v.n
+    ), r AS (
+      SELECT word, best.word AS root, 1 AS step FROM f WHERE best IS NOT NULL
+      UNION ALL SELECT r.word, f.best.word, step + 1 FROM r JOIN f ON f.word = r.root WHERE f.best IS NOT NULL
+    )
+    SELECT f.word, f.best.word AS form, coalesce(z.root, f.word) AS root, f.n, f.n_near, -f.best.m AS form_n
+    FROM f LEFT JOIN (SELECT word, max_by(root, step) AS root FROM r GROUP BY word) AS z USING (word)
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@catalogue.add(
+    "op13_phrase_collocations",
+    r"""
+    WITH p AS (
+      SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS w
+      FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents)
+    ), c AS (
+      SELECT lang, phrase, count(*) AS a, any_value(m) AS m FROM (
+        SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+        FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS v(m))
+      ) GROUP BY lang, phrase HAVING count(*) >= 30
+    ), cuts AS (
+      SELECT x.lang, x.phrase, x.a, k, h.a AS l, t.a AS r, CAST(2000000 * CAST(x.a AS HUGEINT) // (h.a + t.a) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, m)) AS k, string_split(phrase, ' ') AS w FROM c WHERE m > 1) AS x
+      JOIN c AS h ON h.lang = x.lang AND h.phrase = array_to_string(w[1 : k], ' ')
+      JOIN c AS t ON t.lang = x.lang AND t.phrase = array_to_string(w[k + 1 :], ' ')
+    ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    ), subs AS (
+      SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, a, string_split(phrase, ' ') AS w, unnest(range(2, m)) AS m FROM c WHERE m > 2))
+      GROUP BY ALL
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM best LEFT JOIN subs USING (lang, phrase) JOIN (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang) USING (lang)
+    WHERE longer IS NULL OR 100 * longer < 80 * a
+    QUALIFY rank <= 2000
+    """,
+)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @catalogue.add("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # imports the operators of this subpackage
