@@ -39,12 +39,13 @@ from tarmac.llm.common import mix, saved, slices, text_bytes
 from tarmac.llm.lm_score import packed, unpacked
 
 LONGEST = 4
+CHUNK_BYTES = 6 << 20
 #: A chunk has so many words on average.
 MEAN = 24
 #: Bytes that a trigger is decided by.
 _SIGHT = 8
 #: Bytes of text that a task parses at a time.
-_PIECE = 8 << 20
+_PIECE = 4 << 20
 #: Bytes of a phrase's hash next to its partition.
 _WIDTH = 4
 
@@ -121,6 +122,18 @@ class _Numbers(dict):
         return value
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, and the number of every place's key."""
+    rank = np.argsort(keys)
+    new = np.empty(len(keys), dtype=bool)
+    new[:1] = True
+    ordered = keys[rank]
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(len(keys), dtype=np.int64)
+    number[rank] = np.cumsum(new) - 1
+    return rank[new], number
+
+
 class _Part:
     """The distinct phrases of a part of the dictionary, of all orders and languages, in the order of their hashes."""
 
@@ -130,7 +143,7 @@ class _Part:
         for lang, own, body, freq in zip(*(rows.column(c).to_pylist() for c in ("lang", "own", "body", "freq"))):
             bodies[lang, own, body] += freq
         by_lang: dict[str, list[tuple[int, bytes, int]]] = {}
-        for (lang, own, body), freq in sorted(bodies.items()):
+        for (lang, own, body), freq in bodies.items():
             by_lang.setdefault(lang, []).append((own, body, freq))
         self.langs, self.words, self.tokens = list(by_lang), [], []
         lang_of, order, place, count, hashes = [], [], [], [], []
@@ -139,13 +152,13 @@ class _Part:
             self.words.append(words)
             self.tokens.append(tokens)
             for size, (at, weight, h) in enumerate(found, 1):
-                lang_of.append(np.full(len(at), k))
-                order.append(np.full(len(at), size))
+                lang_of.append(np.full(len(at), k, dtype=np.int32))
+                order.append(np.full(len(at), size, dtype=np.int8))
                 place.append(at)
                 count.append(weight)
                 hashes.append(h)
         h = np.concatenate(hashes)
-        rank = np.argsort(h, kind="stable")
+        rank = np.argsort(h)
         self.lang_of, self.order, self.place, self.count = (np.concatenate(x)[rank] for x in (lang_of, order, place, count))
         h = h[rank]
         self.cut = chunks.bounds(h, n)
@@ -178,8 +191,8 @@ class _Part:
             h *= np.uint64(BASES[0])
             h += value[end]
             mix(h)
-            _, first, phrase = np.unique(phrase << 32 | ids[end], return_index=True, return_inverse=True)
-            found.append((at[first], np.bincount(phrase, weights=weight[at], minlength=len(first)), h[first].copy()))
+            first, phrase = numbered(phrase << 32 | ids[end])
+            found.append((at[first], np.bincount(phrase, weights=weight[at], minlength=len(first)), h[first]))
         return words, tokens, found
 
 
@@ -219,7 +232,7 @@ def _listed(rows: pa.Table, replies: pa.Table, n: int, longest: int) -> pa.Table
 
 
 def phrase_counts(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = LONGEST, mean: int = MEAN, chunk_bytes: int = chunks.CHUNK_BYTES,
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = LONGEST, mean: int = MEAN, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Rows ``lang``, ``phrase`` (string; null: all words), ``a``: phrases of up to ``longest`` words with ``least`` occurrences or more."""
     size = docs.agg(F.sum(F.octet_length(text_bytes(text_col)))).first()[0] or 0
@@ -240,7 +253,7 @@ def _wide(column: str) -> Column:
 
 def collocations(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = LONGEST, share: int = 80, top: int | None = 2000,
-    mean: int = MEAN, chunk_bytes: int = chunks.CHUNK_BYTES,
+    mean: int = MEAN, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Per language ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``: the ``top`` collocations (None: all).
 
@@ -262,6 +275,12 @@ def collocations(
     held = phrases.where(size > 2).select("lang", F.explode(F.array_distinct(subs)).alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     stays = F.col("longer").isNull() | (_wide("longer") * 100 < _wide("a") * share)
     kept = scored.join(held, ["lang", "phrase"], "left").where(stays)
+    if top is not None:
+        # bands of scores that lie wholly behind the first ones go before rows of a language meet
+        kept = saved(kept).withColumn("band", F.expr("cut.score div 1000"))
+        ahead = F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("band"))) - F.col("k")
+        bands = kept.groupBy("lang", "band").agg(F.count("*").alias("k")).withColumn("ahead", ahead).where(F.col("ahead") < top)
+        kept = kept.join(bands.select("lang", "band"), ["lang", "band"], "left_semi")
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order))
     if top is not None:
