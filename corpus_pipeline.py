@@ -37,11 +37,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays.
-
-    Near are fingerprints within op7's three bits and texts with a similarity of 0.8 or more on shingles of five words.
-    """
-    return simhash.keep_first(docs, similarity=0.8)
+    """One document of each component of near copies stays: fingerprints of shingles of three words, linked at three bits or fewer."""
+    return simhash.keep_first(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
