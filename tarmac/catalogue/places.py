@@ -215,7 +215,7 @@ def _network(spark, d):
         .join(per_road, "road_id", "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
     )
-    return counts, network.touching_roads(ends.distinct())
+    return counts, ends
 
 
 def _network_sql(order):
@@ -245,6 +245,22 @@ def _(spark, d):
     return network.smooth(*_network(spark, d), 4).withColumn("smoothed", F.round("smoothed", 6))
 
 
+def _components_sql(order):
+    """Mean of the whole component.  A road's deepest ancestor chain and the deepest road
+    bound its reach; where ``order`` is less, the query has no rows."""
+    return (
+        "WITH counts AS (SELECT s_suppkey AS road_id, count(l_suppkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1), "
+        "depth AS (SELECT CAST(max(floor(log2(s_suppkey))) AS INT) AS d FROM supplier WHERE s_suppkey > 0) "
+        f"SELECT road_id, round((SELECT avg(n) FROM counts), 6) AS smoothed FROM counts, depth WHERE 2 * d + 1 <= {order}"
+    )
+
+
+# in so many steps every road of the tree reaches all others
+@add("khop_smooth_50", _components_sql(50))
+def _(spark, d):
+    return network.smooth(*_network(spark, d), 50).withColumn("smoothed", F.round("smoothed", 6))
+
+
 # --- layers -------------------------------------------------------------------
 
 

@@ -1,4 +1,10 @@
-"""Smoothing over a road network."""
+"""Smoothing over a road network.
+
+A network is given by its road ends, rows (road_id, junction); a road may have any
+number of them.  A step leads from a road over a junction to another road there.
+Roads at a junction are never paired with each other: steps go from roads to
+junctions and from junctions to roads.
+"""
 
 from __future__ import annotations
 
@@ -10,54 +16,103 @@ from pyspark.sql import functions as F
 from tarmac.session import ensure_checkpointing
 
 
-def touching_roads(ends: DataFrame) -> DataFrame:
-    """Directed pairs (src, dst) of roads that share a junction.
+def components(ends: DataFrame) -> DataFrame:
+    """Rows (junction, component): the least junction that roads lead to.
 
-    ``ends`` has one row per (road_id, junction).  Roads meeting at one junction
-    are few in any real network; that degree bounds the fan-out.
+    A label goes to the least one next to it, then to that one's label, until none
+    changes, so rounds grow with the logarithm of a component's extent.  All
+    steps are joins with one row per key and minima.
     """
-    other = ends.select(F.col("road_id").alias("dst"), "junction")
-    return (
-        ends.withColumnRenamed("road_id", "src")
-        .join(other, "junction")
-        .where(F.col("src") != F.col("dst"))
-        .select("src", "dst")
-        .distinct()
-    )
+    ensure_checkpointing(ends.sparkSession)
+    labels = ends.select("junction", F.col("junction").alias("component")).distinct().checkpoint()
+    while True:
+        per_road = ends.join(labels, "junction").groupBy("road_id").agg(F.min("component").alias("least"))
+        near = ends.join(per_road, "road_id").groupBy("junction").agg(F.min("least").alias("near")).checkpoint()
+        further = labels.toDF("near", "further")
+        after = (
+            near.join(further, "near").join(labels, "junction")
+            .select("junction", F.least("near", "further", "component").alias("component"), (F.col("component") > F.least("near", "further")).alias("fell"))
+            .checkpoint()
+        )
+        labels = after.select("junction", "component")
+        if after.where("fell").isEmpty():
+            return labels
 
 
-def neighbourhood(roads: DataFrame, edges: DataFrame, order: int) -> DataFrame:
-    """Pairs (road_id, member): every road reachable in at most ``order`` steps,
-    itself included.  ``edges`` holds both directions of every link.
+def road_depths(ends: DataFrame, order: int) -> DataFrame:
+    """Rows (road_id, component, depth): steps from the road to the component's busiest junction.
 
-    Each round extends only the pairs found in the round before.  As links go both
-    ways, what a round finds can repeat only the last two rounds, so older pairs
-    need not be looked at again.  Rounds are checkpointed, because the next one
-    reads its predecessor twice, and the loop ends once nothing new is reached.
+    The search from those junctions is one frontier for all components and ends
+    after ``order`` rounds; roads that it has not met by then have a NULL depth.
     """
-    ensure_checkpointing(roads.sparkSession)
-    if order > 1:
-        edges = edges.checkpoint()
-    rounds = [roads.select("road_id", F.col("road_id").alias("member"))]
-    for step in range(1, order + 1):
-        last = rounds[-1]
-        found = (
-            last.join(edges, last["member"] == edges["src"])
-            .select("road_id", F.col("dst").alias("member"))
-            .distinct()
-        )
+    labels = components(ends)
+    degrees = ends.groupBy("junction").agg(F.count("*").alias("degree"))
+    busiest = F.max(F.struct("degree", "junction")).alias("busiest")
+    roots = labels.join(degrees, "junction").groupBy("component").agg(busiest).select(F.col("busiest.junction").alias("junction"))
+    rounds, met = [roots.checkpoint()], []
+    for depth in range(order):
+        found = ends.join(rounds[-1], "junction", "left_semi").select("road_id").distinct()
+        for seen in met[-1:]:  # links go both ways: a road met again was met in the round before
+            found = found.join(seen, "road_id", "left_anti")
+        found = found.withColumn("depth", F.lit(depth)).checkpoint()
+        if found.isEmpty():
+            break
+        met.append(found)
+        further = ends.join(found, "road_id", "left_semi").select("junction").distinct()
         for seen in rounds[-2:]:
-            found = found.join(seen, ["road_id", "member"], "left_anti")
-        if step < order:
-            found = found.checkpoint()
-            if found.isEmpty():
-                break
-        rounds.append(found)
-    return reduce(DataFrame.unionByName, rounds)
-
-
-def smooth(counts: DataFrame, edges: DataFrame, order: int) -> DataFrame:
-    """Mean count over each road's neighbourhood.  ``counts`` is (road_id, n)."""
-    members = neighbourhood(counts, edges, order)
+            further = further.join(seen, "junction", "left_anti")
+        rounds.append(further.checkpoint())
+    depths = reduce(DataFrame.unionByName, met) if met else ends.select("road_id", F.lit(None).cast("int").alias("depth")).limit(0)
+    of_road = ends.join(labels, "junction").groupBy("road_id").agg(F.min("component").alias("component"))
+    return of_road.join(depths, "road_id", "left")
+
+
+def neighbourhood(roads: DataFrame, ends: DataFrame, order: int) -> DataFrame:
+    """Pairs (road_id, member): every road that each of ``roads`` reaches in at most ``order`` steps, itself included.
+
+    Each round takes the junctions found in the round before to their roads and on
+    to the next junctions.  As links go both ways, what a round finds can repeat
+    only the last two rounds, so older pairs need not be looked at again.
+    """
+    ensure_checkpointing(roads.sparkSession)
+    roads = roads.select("road_id").distinct()
+    met = [roads.join(ends, "road_id").select("road_id", "junction").distinct()]
+    for _ in range(1, order):
+        last = met[-1] = met[-1].checkpoint()
+        if last.isEmpty():
+            break
+        over = last.join(ends.select(F.col("road_id").alias("__over"), "junction"), "junction").select("road_id", "__over").distinct()
+        found = over.join(ends.select(F.col("road_id").alias("__over"), "junction"), "__over").select("road_id", "junction").distinct()
+        for seen in met[-2:]:
+            found = found.join(seen, ["road_id", "junction"], "left_anti")
+        met.append(found)
+    reached = reduce(DataFrame.unionByName, met)
+    at = ends.select(F.col("road_id").alias("member"), "junction")
+    alone = roads.select("road_id", F.col("road_id").alias("member"))
+    if order < 1:
+        return alone
+    return reached.join(at, "junction").select("road_id", "member").union(alone).distinct()
+
+
+def smooth(counts: DataFrame, ends: DataFrame, order: int) -> DataFrame:
+    """Mean count over the roads that each road reaches in ``order`` steps.  ``counts`` is (road_id, n).
+
+    A road that reaches its whole component has the component's mean, which is one
+    aggregate: it is d steps from the busiest junction, no road is more than e
+    from it, and d + e + 1 steps suffice.  So neither a junction where very many
+    roads meet nor a high order lists pairs.  Only the neighbourhoods of the other
+    roads are listed; they are as large as the definition asks.
+    """
+    ensure_checkpointing(counts.sparkSession)
+    ends = ends.select("road_id", "junction").where(F.col("junction").isNotNull()).join(counts.select("road_id"), "road_id", "left_semi").distinct().checkpoint()
+    depths = road_depths(ends, order).checkpoint()
+    # a road without a depth is out of reach: then no road reaches all
+    whole = (
+        depths.join(counts, "road_id").groupBy("component")
+        .agg(F.when(F.count("depth") == F.count("*"), F.max("depth")).alias("deepest"), F.avg("n").alias("smoothed"))
+    )
+    reach = depths.join(whole, "component").where(F.col("depth") + F.col("deepest") + 1 <= order).select("road_id", "smoothed").checkpoint()
+    rest = counts.select("road_id").join(reach, "road_id", "left_anti")
+    members = neighbourhood(rest, ends, order)
     values = counts.select(F.col("road_id").alias("member"), "n")
-    return members.join(values, "member").groupBy("road_id").agg(F.avg("n").alias("smoothed"))
+    return reach.unionByName(members.join(values, "member").groupBy("road_id").agg(F.avg("n").alias("smoothed")))

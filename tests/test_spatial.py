@@ -130,22 +130,75 @@ def test_polylines(spark):
     assert got == [(1, 0.0, 0.0, 1.0, 0.0), (1, 1.0, 0.0, 1.0, 2.0)]
 
 
-def test_neighbourhoods(spark):
-    # a path 1-2-3-4-5, a triangle 10-11-12, a lone road 20
-    pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (11, 12), (10, 12)]
-    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src int, dst int")
-    counts = spark.createDataFrame([(i, 10 * i) for i in (1, 2, 3, 4, 5, 10, 11, 12, 20)], "road_id int, n int")
-    got = {r.road_id: r.smoothed for r in network.smooth(counts, edges, 2).collect()}
-    assert got[1] == 20.0 and got[3] == 30.0 and got[10] == 110.0 and got[20] == 200.0
-    # far more steps than the network has: ends early with whole components
-    far = {r.road_id: r.smoothed for r in network.smooth(counts, edges, 50).collect()}
-    assert far[1] == 30.0 and far[5] == 30.0 and far[12] == 110.0 and far[20] == 200.0
-
-
-def test_touching_roads(spark):
-    ends = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "b"), (4, "z")], "road_id int, junction string")
-    got = {(r.src, r.dst) for r in network.touching_roads(ends).collect()}
-    assert got == {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)}
+def road_ends(links):
+    """Road ends and links of roads from (road, junction, junction)."""
+    ends = [(r, j) for r, *js in links for j in js]
+    at = {}
+    for r, j in ends:
+        at.setdefault(j, set()).add(r)
+    return ends, {r: set().union(*(at[j] for j in js)) for r, *js in links}
+
+
+def smoothed(counts, near, order):
+    out = {}
+    for r in counts:
+        reached = {r}
+        for _ in range(order):
+            reached |= set().union(*(near.get(m, set()) for m in reached))
+        out[r] = round(sum(counts[m] for m in reached) / len(reached), 9)
+    return out
+
+
+NETWORK = [
+    # a path, a triangle, a dead end that meets nothing, a loop, parallel roads, a road with three ends
+    *[(i, f"p{i}", f"p{i + 1}") for i in range(1, 9)],
+    (10, "a", "b"), (11, "b", "c"), (12, "c", "a"), (20, "x", "y"), (21, "l", "l"), (22, "m", "n"), (23, "n", "m"),
+    (30, "t1", "t2", "t3"), (31, "t1", "u"), (32, "t3", "v"), (33, "v", "w"),
+]
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 4, 50])
+def test_smoothing_matches_brute_force(spark, order):
+    ends, near = road_ends(NETWORK)
+    values = {r: 10 * r % 37 for r, *_ in NETWORK} | {99: 5}  # road 99 has no ends at all
+    counts = spark.createDataFrame(list(values.items()), "road_id int, n int")
+    df = spark.createDataFrame([*ends, (1, "p1"), (77, "p1"), (2, None)], "road_id int, junction string")  # a repeated end, an unknown road, no junction
+    got = {r.road_id: round(r.smoothed, 9) for r in network.smooth(counts, df, order).collect()}
+    assert got == smoothed(values, near, order)
+
+
+def test_a_hub_stays_linear(spark):
+    """A third of all roads meet at one junction: whoever reaches everything is not listed."""
+    links = [(i, "hub", f"e{i}") for i in range(200)] + [(200 + i, f"e{i}", f"f{i}") for i in range(200)] + [(400 + i, f"f{i}", f"g{i}") for i in range(200)]
+    ends, near = road_ends(links)
+    values = {r: r % 11 for r, *_ in links}
+    df, counts = spark.createDataFrame(ends, "road_id int, junction string"), spark.createDataFrame(list(values.items()), "road_id int, n int")
+    depths = network.road_depths(df, 5)
+    assert depths.count() == len(links) and depths.agg(F.max("depth")).first()[0] == 2
+    assert depths.where("depth IS NULL").count() == 0
+    want = smoothed(values, near, 5)
+    plans = []
+    keep = network.neighbourhood
+
+    def watched(roads, own, order):
+        plans.append(roads.count())
+        return keep(roads, own, order)
+
+    network.neighbourhood = watched
+    try:
+        got = {r.road_id: round(r.smoothed, 9) for r in network.smooth(counts, df, 5).collect()}
+    finally:
+        network.neighbourhood = keep
+    assert got == want and plans == [0]
+
+
+def test_components_and_depths(spark):
+    ends, _ = road_ends(NETWORK)
+    df = spark.createDataFrame(ends, "road_id int, junction string")
+    found = {r.junction: r.component for r in network.components(df).collect()}
+    assert found["p9"] == "p1" and found["c"] == "a" and found["w"] == found["u"] == "t1" and found["l"] == "l"
+    depths = {r.road_id: r.depth for r in network.road_depths(df, 3).collect()}
+    assert depths[8] is not None and depths[1] is None  # the search ends after three rounds
 
 
 def test_nearest_has_no_extent(spark):
