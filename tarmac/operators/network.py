@@ -8,6 +8,7 @@ junctions and from junctions to roads.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ def components(ends: DataFrame) -> DataFrame:
     labels = ends.select("junction", F.col("junction").alias("component")).distinct().checkpoint()
     while True:
         per_road = ends.join(labels, "junction").groupBy("road_id").agg(F.min("component").alias("least"))
-        near = ends.join(per_road, "road_id").groupBy("junction").agg(F.min("least").alias("near")).checkpoint()
+        near = ends.join(per_road, "road_id").groupBy("junction").agg(F.min("least").alias("near"))
         further = labels.toDF("near", "further")
         after = (
             near.join(further, "near").join(labels, "junction")
@@ -94,17 +95,29 @@ def neighbourhood(roads: DataFrame, ends: DataFrame, order: int) -> DataFrame:
     return reached.join(at, "junction").select("road_id", "member").union(alone).distinct()
 
 
-def smooth(counts: DataFrame, ends: DataFrame, order: int) -> DataFrame:
+def _most(ends: DataFrame, key: str) -> DataFrame:
+    return ends.groupBy(key).agg(F.count("*").alias("k")).agg(F.max("k").alias(key))
+
+
+def smooth(counts: DataFrame, ends: DataFrame, order: int, listed: int = 10_000) -> DataFrame:
     """Mean count over the roads that each road reaches in ``order`` steps.  ``counts`` is (road_id, n).
 
     A road that reaches its whole component has the component's mean, which is one
     aggregate: it is d steps from the busiest junction, no road is more than e
     from it, and d + e + 1 steps suffice.  So neither a junction where very many
     roads meet nor a high order lists pairs.  Only the neighbourhoods of the other
-    roads are listed; they are as large as the definition asks.
+    roads are listed; they are as large as the definition asks.  If no road can
+    reach more than ``listed`` others, by the most roads at a junction and the most
+    ends of a road, all are listed at once.
     """
     ensure_checkpointing(counts.sparkSession)
     ends = ends.select("road_id", "junction").where(F.col("junction").isNotNull()).join(counts.select("road_id"), "road_id", "left_semi").distinct().checkpoint()
+    most = [_most(ends, key).first()[0] or 0 for key in ("junction", "road_id")]
+    fan = most[0] * most[1]
+    values = counts.select(F.col("road_id").alias("member"), "n")
+    mean = lambda roads: neighbourhood(roads, ends, order).join(values, "member").groupBy("road_id").agg(F.avg("n").alias("smoothed"))
+    if fan <= 1 or order * math.log(fan) <= math.log(listed):
+        return mean(counts)
     depths = road_depths(ends, order).checkpoint()
     # a road without a depth is out of reach: then no road reaches all
     whole = (
@@ -112,7 +125,4 @@ def smooth(counts: DataFrame, ends: DataFrame, order: int) -> DataFrame:
         .agg(F.when(F.count("depth") == F.count("*"), F.max("depth")).alias("deepest"), F.avg("n").alias("smoothed"))
     )
     reach = depths.join(whole, "component").where(F.col("depth") + F.col("deepest") + 1 <= order).select("road_id", "smoothed").checkpoint()
-    rest = counts.select("road_id").join(reach, "road_id", "left_anti")
-    members = neighbourhood(rest, ends, order)
-    values = counts.select(F.col("road_id").alias("member"), "n")
-    return reach.unionByName(members.join(values, "member").groupBy("road_id").agg(F.avg("n").alias("smoothed")))
+    return reach.unionByName(mean(counts.select("road_id").join(reach, "road_id", "left_anti")))
