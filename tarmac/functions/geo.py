@@ -229,13 +229,25 @@ def ring_edges(ring: Column) -> Column:
     )
 
 
-def in_ring(x: Column, y: Column, edges: Column) -> Column:
-    """Point in polygon; the boundary belongs to the polygon."""
+def in_area_cell(x: Column, y: Column, mark_x: Column, mark_y: Column, mark_inside: Column, edges: Column) -> Column:
+    """Is a point in an area, given the edges of one grid cell and whether a mark in that cell is inside.
+
+    The way from the point level to the mark's x, then up or down to the mark, stays
+    in the cell, so it crosses that cell's edges only; each crossing changes sides.
+    Both legs use one value for the side on which their corner lies; levels count as
+    just above their value, at vertices and on level edges alike.  The boundary
+    belongs to the area.
+    """
 
-    def crosses(e):
-        return ((e["y1"] > y) != (e["y2"] > y)) & (
-            x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        )
+    def side(px: Column, py: Column, e: Column) -> Column:
+        turn = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
+        return (turn > 0) | ((turn == 0) & (e["x2"] > e["x1"]))
+
+    def level(e):
+        return ((e["y1"] > y) != (e["y2"] > y)) & (side(x, y, e) != side(mark_x, y, e))
+
+    def upright(e):
+        return ((e["x1"] > mark_x) != (e["x2"] > mark_x)) & (side(mark_x, y, e) != side(mark_x, mark_y, e))
 
     def touches(e):
         return (
@@ -244,7 +256,8 @@ def in_ring(x: Column, y: Column, edges: Column) -> Column:
             & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
         )
 
-    return (F.size(F.filter(edges, crosses)) % 2 == 1) | F.exists(edges, touches)
+    crossings = F.size(F.filter(edges, level)) + F.size(F.filter(edges, upright))
+    return ((crossings % 2 == 1) != mark_inside) | F.exists(edges, touches)
 
 
 def ring_area(ring: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarmac.functions.geo import cell_index, in_ring, ring_area, ring_edges, segment_distance2
+from tarmac.functions.geo import cell_index, in_area_cell, ring_area, ring_edges, segment_distance2
 from tarmac.session import ensure_checkpointing
 
 _CELL = ["__cx", "__cy"]
@@ -50,48 +50,72 @@ def _rings(zones: DataFrame) -> Column:
     return rings[_shape(zones)](_shape(zones))
 
 
-def _zone_cells(zones: DataFrame, size: float) -> DataFrame:
-    """One row per area and cell, with the edges that matter there: those a ray from
-    the cell to greater x can cross.  Cells without any lie outside."""
-    zones = zones.withColumn("__edges", F.flatten(F.transform(_rings(zones), ring_edges)))
-    coord = lambda axis: F.transform("__edges", lambda e: e[f"{axis}1"])
-    cells = _cells_between(
-        zones,
-        F.array_min(coord("x")),
-        F.array_max(coord("x")),
-        F.array_min(coord("y")),
-        F.array_max(coord("y")),
-        size,
+#: Where a cell's mark lies, in cell widths: off any lattice that coordinates may be on.
+_MARK_X, _MARK_Y = 0.7548776662466927, 0.5698402909980532
+
+
+def _mark() -> tuple[Column, Column]:
+    return F.col("__cx") + _MARK_X, F.col("__cy") + _MARK_Y
+
+
+def area_cells(zones: DataFrame, size: float) -> DataFrame:
+    """Rows (__zone, __cx, __cy, __edges, __odd) of every cell that an area may hold a position of.
+
+    A cell keeps the edges that pass through it and whether its mark is inside.
+    Cells in the interior have no edges.  So what is stored grows with the edges (one
+    row per cell that they pass) and the cells, not with their product.
+    """
+    shapes = zones.select("__zone", _shape(zones)).dropDuplicates(["__zone"])
+    edges = shapes.select("__zone", F.posexplode(F.flatten(F.transform(_rings(shapes), ring_edges))).alias("__edge", "e")).select(
+        "__zone", "__edge", *[F.col(f"e.{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    )
+    passed = _road_cells(edges, size, 0.0).groupBy("__zone", *_CELL).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("__edges"))
+    # where the level of a row's marks crosses the outline: marks between an odd and the next crossing are inside
+    level = F.col("__my") * size
+    rows = F.sequence(cell_index(F.least("y1", "y2"), 1 / size) - 1, cell_index(F.greatest("y1", "y2"), 1 / size) + 1)
+    crossed = (
+        edges.withColumn("__cy", F.explode(rows)).withColumn("__my", _mark()[1])
+        .where((F.col("y1") > level) != (F.col("y2") > level))
+        .select("__zone", "__cy", ((F.col("x1") + (level - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))) / size - _MARK_X).alias("at"))
+        .groupBy("__zone", "__cy").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    )
+    pairs = F.transform(F.sequence(F.lit(0), F.expr("size(at) div 2 - 1")), lambda i: F.struct((F.floor(F.col("at")[2 * i]) + 1).alias("a"), F.floor(F.col("at")[2 * i + 1]).alias("b")))
+    inside = (
+        crossed.select("__zone", "__cy", F.explode(pairs).alias("r")).where("r.a <= r.b")
+        .select("__zone", F.explode(F.sequence("r.a", "r.b")).alias("__cx"), "__cy", F.lit(True).alias("__odd"))
+    )
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    return passed.join(inside, ["__zone", *_CELL], "full").select(
+        "__zone", *_CELL, F.coalesce("__edges", none).alias("__edges"), F.coalesce("__odd", F.lit(False)).alias("__odd")
     )
-    slack = size * 1e-6
-    low_x, low_y = F.col("__cx") * size - slack, F.col("__cy") * size - slack
-    high_y = (F.col("__cy") + 1) * size + slack
 
-    def matters(e: Column) -> Column:
-        return (F.least(e["y1"], e["y2"]) <= high_y) & (F.greatest(e["y1"], e["y2"]) >= low_y) & (F.greatest(e["x1"], e["x2"]) >= low_x)
 
-    return cells.withColumn("__edges", F.filter("__edges", matters)).where(F.size("__edges") > 0)
+def _zone_cells(zones: DataFrame, size: float) -> DataFrame:
+    """The layer's attributes on every cell of its index."""
+    keyed = zones.withColumn("__zone", F.xxhash64(*zones.columns))
+    return keyed.drop(*_SHAPES).join(area_cells(keyed, size), "__zone").drop("__zone")
 
 
-def _inside(x: str, y: str) -> Column:
-    return in_ring(F.col(f"p.{x}").cast("double"), F.col(f"p.{y}").cast("double"), F.col("z.__edges"))
+def _inside(x: str, y: str, size: float) -> Column:
+    mark = [(F.col(f"z.{c}") + at) * size for c, at in zip(_CELL, (_MARK_X, _MARK_Y))]
+    return in_area_cell(F.col(f"p.{x}").cast("double"), F.col(f"p.{y}").cast("double"), *mark, F.col("z.__odd"), F.col("z.__edges"))
 
 
-def _match(x: str, y: str) -> Column:
+def _match(x: str, y: str, size: float) -> Column:
     same_cell = (F.col("p.__cx") == F.col("z.__cx")) & (F.col("p.__cy") == F.col("z.__cy"))
-    return same_cell & _inside(x, y)
+    return same_cell & _inside(x, y, size)
 
 
 def within_zones(points: DataFrame, zones: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """Points lying in any zone (boundary included)."""
-    cells = _zone_cells(zones, size).select(*_CELL, "__edges").alias("z")
-    return _with_cell(points, x, y, size).alias("p").join(cells, _match(x, y), "left_semi").drop(*_CELL)
+    cells = _zone_cells(zones, size).select(*_CELL, "__edges", "__odd").alias("z")
+    return _with_cell(points, x, y, size).alias("p").join(cells, _match(x, y, size), "left_semi").drop(*_CELL)
 
 
 def join_zones(points: DataFrame, zones: DataFrame, x: str, y: str, size: float, how: str = "left") -> DataFrame:
     """Points with the attributes of every zone they lie in; ``left`` keeps the rest."""
-    cells = _zone_cells(zones, size).drop(*_SHAPES).alias("z")
-    joined = _with_cell(points, x, y, size).alias("p").join(cells, _match(x, y), how)
+    cells = _zone_cells(zones, size).alias("z")
+    joined = _with_cell(points, x, y, size).alias("p").join(cells, _match(x, y, size), how)
     layer = [F.col(f"z.{c}") for c in zones.columns if c not in _SHAPES]
     return joined.select(*[F.col(f"p.{c}") for c in points.columns], *layer)
 

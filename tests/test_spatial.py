@@ -219,3 +219,33 @@ def test_areas_with_holes_and_parts(spark):
         assert got == {(1.0, 1.0), (3.0, 5.0), (21.0, 21.0), (10.0, 10.0)}
         assert spatial.zone_counts(areas, points, "x", "y", size).first().n == 4
     assert spatial.zone_density(areas, "population", 1.0).first().area == 100 - 16 + 4
+
+
+def test_areas_on_a_lattice(spark):
+    """Corners, edges and points that all lie on cell borders and on each other's levels."""
+    rng = random.Random(9)
+    rings = {k: [(float(rng.randint(0, 8)), float(rng.randint(0, 8))) for _ in range(rng.randint(3, 9))] for k in range(40)}
+    df = spark.createDataFrame([(k, 1.0, r) for k, r in rings.items()], "zone_id int, population double, ring array<struct<x:double,y:double>>")
+    spots = [(x / 2, y / 2) for x in range(-1, 18) for y in range(-1, 18)]
+    points = spark.createDataFrame(spots, "x double, y double")
+    want = {(x, y, k) for x, y in spots for k, r in rings.items() if inside(x, y, r)}
+    for size in (0.5, 1.0, 3.0):
+        got = [(r.x, r.y, r.zone_id) for r in spatial.join_zones(points, df, "x", "y", size, "inner").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_index_of_a_long_outline(spark):
+    """What is stored grows with vertices and cells, not with their product; interior cells hold no edges."""
+    n = 10_000
+    ring = [(50 + (40 + (i % 2)) * math.cos(2 * math.pi * i / n), 50 + (40 + (i % 2)) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    df = spark.createDataFrame([(1, ring)], "__zone int, ring array<struct<x:double,y:double>>")
+    for size in (5.0, 1.0):
+        cells = spatial.area_cells(df, size).selectExpr("__odd", "size(__edges) AS k").cache()
+        row = cells.selectExpr("count(*) AS cells", "sum(k) AS edges", "count_if(__odd AND k = 0) AS interior").first()
+        assert row.edges <= 3 * n + 4 * row.cells and row.cells <= (90 / size + 2) ** 2
+        assert row.interior > 0.6 * math.pi * 40 * 40 / size / size
+    rng = random.Random(1)
+    spots = [(rng.uniform(5, 95), rng.uniform(5, 95)) for _ in range(150)]
+    points = spark.createDataFrame(spots, "x double, y double")
+    got = {(r.x, r.y) for r in spatial.within_zones(points, df.withColumnRenamed("__zone", "zone_id"), "x", "y", 5.0).collect()}
+    assert got == {s for s in spots if inside(*s, ring)}
