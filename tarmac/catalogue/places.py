@@ -186,6 +186,37 @@ def _(spark, d):
     return spatial.outside_distance(_on_grid(spark, d), roads(spark, d), "x", "y", _DISTANCE)
 
 
+# each road bends at its end and goes on to a third vertex
+_BENT = (
+    "SELECT road_id, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS by, x2 + 8000.0 AS cx, y2 - 6000.0 AS cy FROM road"
+)
+
+
+def _foot(a, b):
+    d = f"((b.{b}x - b.{a}x) * (b.{b}x - b.{a}x) + (b.{b}y - b.{a}y) * (b.{b}y - b.{a}y))"
+    return f"(((p.x - b.{a}x) * (b.{b}x - b.{a}x) + (p.y - b.{a}y) * (b.{b}y - b.{a}y)) / nullif({d}, 0))"
+
+
+def _beside(a, b):
+    t = _foot(a, b)
+    gap = " + ".join(f"pow(p.{c} - (b.{a}{c} + {t} * (b.{b}{c} - b.{a}{c})), 2)" for c in "xy")
+    return f"({t} BETWEEN 0 AND 1 AND {gap} <= {_DISTANCE * _DISTANCE})"
+
+
+@add(
+    "outside_distance_flat",
+    with_roles(
+        f"SELECT collision_index, x, y FROM point p WHERE NOT EXISTS (SELECT 1 FROM bent b WHERE {_beside('a', 'b')} OR {_beside('b', 'c')} "
+        f"OR ({_foot('a', 'b')} > 1 AND {_foot('b', 'c')} < 0 AND pow(p.x - b.bx, 2) + pow(p.y - b.by, 2) <= {_DISTANCE * _DISTANCE}))",
+        "collision", "road", point=_POINTS, bent=_BENT,
+    ),
+)
+def _(spark, d):
+    at = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    lines = roads(spark, d).select("road_id", F.array(at("x1", "y1"), at("x2", "y2"), at("x2 + 8000.0D", "y2 - 6000.0D")).alias("line"))
+    return spatial.outside_distance(_on_grid(spark, d), spatial.polyline_segments(lines), "x", "y", _DISTANCE, flat=True)
+
+
 @add(
     "nearest_count",
     _roads_sql(

@@ -276,3 +276,9 @@ def segment_distance2(x: Column, y: Column, x1: Column, y1: Column, x2: Column,
     t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
     px, py = x - (x1 + t * dx), y - (y1 + t * dy)
     return px * px + py * py
+
+
+def along_segment(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Where a point's foot lies along a line segment: 0 at its start, 1 at its end; NULL for a segment without length."""
+    dx, dy = x2 - x1, y2 - y1
+    return ((x - x1) * dx + (y - y1) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarmac.functions.geo import cell_index, in_area_cell, ring_area, ring_edges, segment_distance2
+from tarmac.functions.geo import along_segment, cell_index, in_area_cell, ring_area, ring_edges, segment_distance2
 from tarmac.session import ensure_checkpointing
 
 _CELL = ["__cx", "__cy"]
@@ -190,28 +190,46 @@ def _road_cells(roads: DataFrame, size: float, margin: float) -> DataFrame:
     return spread.drop("__ax", "__ay", "__bx", "__by").distinct()
 
 
-def _near(x: str, y: str, distance: float) -> Column:
-    ends = [F.col(f"r.{c}").cast("double") for c in ("x1", "y1", "x2", "y2")]
-    gap = segment_distance2(F.col(f"p.{x}").cast("double"), F.col(f"p.{y}").cast("double"), *ends)
-    same_cell = (F.col("p.__cx") == F.col("r.__cx")) & (F.col("p.__cy") == F.col("r.__cy"))
-    return same_cell & (gap <= distance * distance)
+def _round(x: Column, y: Column, distance: float) -> Column:
+    """Within the distance of a road segment, ends included."""
+    return segment_distance2(x, y, *[F.col(f"r.{c}") for c in ("x1", "y1", "x2", "y2")]) <= distance * distance
+
 
+def _flat(x: Column, y: Column, distance: float) -> Column:
+    """Beside a road segment, or in the gap that a bend opens at its start: behind the
+    end of the segment before, ahead of this one's start, within the distance of the bend."""
+    before, start, end = ([F.col(f"r.{c}") for c in pair] for pair in (("x0", "y0"), ("x1", "y1"), ("x2", "y2")))
+    along = along_segment(x, y, *start, *end)
+    bend = (along < 0) & (along_segment(x, y, *before, *start) > 1) & (F.pow(x - start[0], 2) + F.pow(y - start[1], 2) <= distance * distance)
+    return F.coalesce(along.between(0, 1) & _round(x, y, distance), F.lit(False)) | F.coalesce(bend, F.lit(False))
 
-def _by_distance(points: DataFrame, roads: DataFrame, x: str, y: str, distance: float, how: str) -> DataFrame:
+
+def _by_distance(points: DataFrame, roads: DataFrame, x: str, y: str, distance: float, how: str, flat: bool) -> DataFrame:
     size = 2.0 * distance
-    cells = _road_cells(roads.select("x1", "y1", "x2", "y2").distinct(), size, distance).alias("r")
-    return _with_cell(points, x, y, size).alias("p").join(cells, _near(x, y, distance), how).drop(*_CELL)
+    ends = ["x1", "y1", "x2", "y2"] + (["x0", "y0"] if flat else [])
+    if flat and "x0" not in roads.columns:
+        roads = roads.withColumns({"x0": F.lit(None), "y0": F.lit(None)})
+    segments = roads.select(*[F.col(c).cast("double").alias(c) for c in ends]).distinct()
+    cells = _road_cells(segments, size, distance).alias("r")
+    same_cell = (F.col("p.__cx") == F.col("r.__cx")) & (F.col("p.__cy") == F.col("r.__cy"))
+    near = (_flat if flat else _round)(F.col(f"p.{x}").cast("double"), F.col(f"p.{y}").cast("double"), distance)
+    return _with_cell(points, x, y, size).alias("p").join(cells, same_cell & near, how).drop(*_CELL)
 
 
-def within_distance(points: DataFrame, roads: DataFrame, x: str, y: str, distance: float) -> DataFrame:
-    """Points at most ``distance`` from any road."""
-    return _by_distance(points, roads, x, y, distance, "left_semi")
+def within_distance(points: DataFrame, roads: DataFrame, x: str, y: str, distance: float, flat: bool = False) -> DataFrame:
+    """Points at most ``distance`` from any road.
+
+    Round: a point just past a road's end is near too.  ``flat`` caps the ends
+    there, so that only what lies beside a road is near, and what lies around an
+    inner vertex of it (segments of ``polyline_segments`` know the vertex before
+    them; a plain segment has no inner vertices).
+    """
+    return _by_distance(points, roads, x, y, distance, "left_semi", flat)
 
 
-def outside_distance(points: DataFrame, roads: DataFrame, x: str, y: str, distance: float) -> DataFrame:
-    """Points further than ``distance`` from every road (round ends, so a point just
-    past a road's end still counts as near)."""
-    return _by_distance(points, roads, x, y, distance, "left_anti")
+def outside_distance(points: DataFrame, roads: DataFrame, x: str, y: str, distance: float, flat: bool = False) -> DataFrame:
+    """Points that are not ``within_distance`` of any road."""
+    return _by_distance(points, roads, x, y, distance, "left_anti", flat)
 
 
 def _cell_bounds(factor: int) -> tuple[Column, Column]:
@@ -317,13 +335,9 @@ def nearest_counts(points: DataFrame, roads: DataFrame, x: str, y: str, size: fl
 
 
 def polyline_segments(roads: DataFrame, line: str = "line") -> DataFrame:
-    """Polylines (``ARRAY<STRUCT<x,y>>``) as one row per straight segment."""
+    """Polylines (``ARRAY<STRUCT<x,y>>``) as one row per straight segment (x1, y1, x2, y2), with the vertex before it (x0, y0; NULL for the first)."""
     pts = F.col(line)
-    pairs = F.transform(
-        F.slice(pts, 1, F.size(pts) - 1),
-        lambda p, i: F.struct(
-            p["x"].alias("x1"), p["y"].alias("y1"), F.get(pts, i + 1)["x"].alias("x2"), F.get(pts, i + 1)["y"].alias("y2")
-        ),
-    )
+    at = lambda i, n: [F.get(pts, i)[c].alias(f"{c}{n}") for c in ("x", "y")]
+    pairs = F.transform(F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))), lambda p, i: F.struct(*at(i, 1), *at(i + 1, 2), *at(i - 1, 0)))
     rest: Sequence[str] = [c for c in roads.columns if c != line]
     return roads.select(*rest, F.explode(pairs).alias("s")).select(*rest, "s.*")

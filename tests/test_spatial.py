@@ -127,7 +127,33 @@ def test_nearest_matches_brute_force(spark, roads, spots, size):
 def test_polylines(spark):
     df = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 2.0)])], "road_id int, line array<struct<x:double,y:double>>")
     got = [tuple(r) for r in spatial.polyline_segments(df).collect()]
-    assert got == [(1, 0.0, 0.0, 1.0, 0.0), (1, 1.0, 0.0, 1.0, 2.0)]
+    assert got == [(1, 0.0, 0.0, 1.0, 0.0, None, None), (1, 1.0, 0.0, 1.0, 2.0, 0.0, 0.0)]
+
+
+def flat_near(x, y, line, d):
+    """Inside the flat-capped buffer: rectangles beside the segments and sectors at the bends."""
+    foot = lambda a, b: ((x - a[0]) * (b[0] - a[0]) + (y - a[1]) * (b[1] - a[1])) / ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2)
+    beside = any(0 <= foot(a, b) <= 1 and gap(x, y, *a, *b) <= d for a, b in zip(line, line[1:]))
+    bends = any(foot(a, b) > 1 and foot(b, c) < 0 and math.dist((x, y), b) <= d for a, b, c in zip(line, line[1:], line[2:]))
+    return beside or bends
+
+
+@pytest.mark.parametrize("d", [5.0, 40.0])
+def test_flat_caps(spark, d):
+    lines = {1: [(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (130.0, 60.0)], 2: [(300.0, 300.0), (320.0, 300.0)], 3: [(300.0, 300.0), (300.0, 330.0)]}
+    rng = random.Random(11)
+    spots = [(rng.uniform(-60, 360), rng.uniform(-60, 360)) for _ in range(900)]
+    spots += [(-0.001, 0.0), (0.0, 1.0), (103.0, -3.0), (300.0, 299.999), (297.0, 297.0), (320.001, 300.0), (320.0, 301.0)]
+    df = spark.createDataFrame(list(lines.items()), "road_id int, line array<struct<x:double,y:double>>")
+    points = spark.createDataFrame(spots, "x double, y double")
+    segments = spatial.polyline_segments(df)
+    near = {s for s in spots if any(flat_near(*s, line, d) for line in lines.values())}
+    assert {tuple(r) for r in spatial.within_distance(points, segments, "x", "y", d, flat=True).collect()} == near
+    assert {tuple(r) for r in spatial.outside_distance(points, segments, "x", "y", d, flat=True).collect()} == set(spots) - near
+    # just past an end is far with flat caps and near with round ones; a bend is near, two roads that meet have no bend
+    assert not near & {(-0.001, 0.0), (297.0, 297.0)} and (103.0, -3.0) in near and ((320.001, 300.0) in near) == (d > 20)
+    plain = segments.drop("x0", "y0")
+    assert (103.0, -3.0) not in {tuple(r) for r in spatial.within_distance(points, plain, "x", "y", d, flat=True).collect()}
 
 
 def road_ends(links):
