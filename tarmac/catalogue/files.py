@@ -312,9 +312,52 @@ def _(spark, d):
     return _built(spark, d)["master"].select("collision_index", "collision_severity", "casualty_class", "casualty_severity", "vehicle_type")
 
 
+@add(
+    "etl_dropped",
+    with_roles(
+        "SELECT 'collision' AS table_name, 'outside_years' AS reason, count(*) FILTER (WHERE year NOT BETWEEN 2000 AND 2024) AS n FROM collision "
+        "UNION ALL SELECT 'collision', 'without_position', count(*) FROM collision WHERE year BETWEEN 2000 AND 2024 AND (latitude IS NULL OR longitude IS NULL) "
+        "UNION ALL SELECT 'vehicle', 'orphans', count(*) FROM vehicle WHERE collision_index NOT IN (SELECT collision_index FROM kept) "
+        "UNION ALL SELECT 'casualty', 'orphans', count(*) FROM casualty WHERE collision_index NOT IN (SELECT collision_index FROM kept) "
+        "UNION ALL SELECT k, 'outside_years', 0 FROM (VALUES ('vehicle'), ('casualty')) AS v(k)",
+        "casualty",
+        "vehicle",
+        "collision",
+        kept=_KEPT,
+    ),
+)
+def _(spark, d):
+    dropped = _built(spark, d).dropped
+    rows = [(name, reason, n) for name, reasons in dropped.items() for reason, n in reasons.items()]
+    return spark.createDataFrame(rows, "table_name string, reason string, n bigint")
+
+
 # --- readers ------------------------------------------------------------------
 
 
+@add(
+    "typed_scan_guessed",
+    "SELECT CAST(p_partkey AS INT) AS number, p_partkey * 10000000000 AS big, p_retailprice AS price, p_size > 25 AS flag, "
+    "DATE '1990-01-01' + CAST(p_partkey AS INT) AS day, CAST(DATE '1990-01-01' + CAST(p_partkey AS INT) AS TIMESTAMP) + INTERVAL 90 SECOND AS moment, "
+    "lpad(CAST(p_size AS VARCHAR), 3, '0') AS code, CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS odd, "
+    "'09:15' AS hour, CAST(NULL AS BOOLEAN) AS nothing, p_name AS name FROM part",
+)
+def _(spark, d):
+    parts = table(spark, d, "part")
+    day = F.expr("date_add(DATE'1990-01-01', CAST(p_partkey AS INT))")
+    last = parts.agg(F.max("p_partkey")).first()[0]  # the odd value is in the last row only
+    raw = parts.select(
+        F.col("p_partkey").alias("number"), (F.col("p_partkey") * 10000000000).alias("big"), F.col("p_retailprice").alias("price"),
+        F.upper((F.col("p_size") > 25).cast("string")).alias("flag"), day.alias("day"),
+        F.concat(day.cast("string"), F.lit("T00:01:30")).alias("moment"), F.lpad(F.col("p_size").cast("string"), 3, "0").alias("code"),
+        F.when(F.col("p_partkey") == last, "n/a").otherwise(F.col("p_size").cast("string")).alias("odd"), F.lit("09:15").alias("hour"),
+        F.lit(None).cast("string").alias("nothing"), F.col("p_name").alias("name"),
+    )
+    path = scratch_path(spark, "guessed")
+    tables.write_csv(raw, path)
+    return records.read_csv(spark, path, {}, guess=True)
+
+
 @add(
     "get_records",
     with_roles(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tarmac.functions import dates
@@ -107,20 +107,29 @@ def add_age_group(df: DataFrame, age: str = "age_of_casualty") -> DataFrame:
     return df.withColumn("age_group", age_group(F.col(age))) if age in df.columns else df
 
 
-def keep_years(df: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
-    """Keep a year range by ``year``, else by ``date``; tables with neither pass whole."""
+def keep_years(df: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR, removed: Observation | None = None) -> DataFrame:
+    """Keep a year range by ``year``, else by ``date``; tables with neither pass whole.
+
+    ``removed`` learns ``n``, the rows that go, as in ``drop_missing_coordinates``.
+    """
+    keep = F.lit(True)
     if "year" in df.columns:
-        return df.where(F.col("year").between(first, last))
-    if dict(df.dtypes).get("date") in ("date", "timestamp", "timestamp_ntz"):
-        return df.where(F.year("date").between(first, last))
-    return df
+        keep = F.col("year").between(first, last)
+    elif dict(df.dtypes).get("date") in ("date", "timestamp", "timestamp_ntz"):
+        keep = F.year("date").between(first, last)
+    if removed is not None:
+        df = df.observe(removed, F.count_if(~F.coalesce(keep, F.lit(False))).alias("n"))
+    return df.where(keep)
 
 
 def coordinate_columns(columns: Sequence[str], pattern: str = "easting|northing") -> list[str]:
     return [c for c in columns if re.search(pattern, c, re.IGNORECASE)]
 
 
-def drop_missing_coordinates(df: DataFrame, x: str, y: str) -> DataFrame:
+def drop_missing_coordinates(df: DataFrame, x: str, y: str, removed: Observation | None = None) -> DataFrame:
+    """Rows with both coordinates.  ``removed`` learns ``n``, the rows without, when the result is first written or collected."""
+    if removed is not None:
+        df = df.observe(removed, F.count_if(F.col(x).isNull() | F.col(y).isNull()).alias("n"))
     return df.dropna(subset=[x, y])
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 COLLISION_KEY = "collision_index"
@@ -34,9 +34,18 @@ def master(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame) -> Dat
     return left.join(right, list(VEHICLE_KEY), "left")
 
 
-def keep_children(child: DataFrame, parent: DataFrame, key: str = COLLISION_KEY) -> DataFrame:
-    """Child rows whose key exists in the parent."""
-    return child.join(parent.select(key), key, "left_semi")
+def keep_children(
+    child: DataFrame, parent: DataFrame, key: str = COLLISION_KEY, seen: Observation | None = None, kept: Observation | None = None
+) -> DataFrame:
+    """Child rows whose key exists in the parent.
+
+    ``seen`` and ``kept`` learn ``n``, the rows before and after, when the result is
+    first written or collected; the difference are the orphans (NULL keys included).
+    """
+    if seen is not None:
+        child = child.observe(seen, F.count(F.lit(1)).alias("n"))
+    child = child.join(parent.select(key), key, "left_semi")
+    return child if kept is None else child.observe(kept, F.count(F.lit(1)).alias("n"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str = COLLISION_KEY) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions.geo import with_lonlat
@@ -17,21 +17,37 @@ from tarmac.operators import clean, decode, hotspots, joins, kpi
 from tarmac.sources import records, tables
 
 
-def locate(df: DataFrame) -> DataFrame:
+class Tables(dict[str, DataFrame]):
+    """Stored tables by name; ``dropped`` has the rows that cleaning left out, by table and reason.
+
+    The counts were taken while the tables were written.  Where executors were lost
+    meanwhile, rows read twice count twice.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.dropped: dict[str, dict[str, int]] = {}
+
+
+def locate(df: DataFrame, removed: Observation | None = None) -> DataFrame:
     """Drop rows without a position and add it as text.  Longitude and latitude are
     preferred; national grid coordinates are reprojected when they are all there is."""
     if {"longitude", "latitude"} <= set(df.columns):
-        df = clean.drop_missing_coordinates(df, "longitude", "latitude")
+        df = clean.drop_missing_coordinates(df, "longitude", "latitude", removed)
     elif {"location_easting_osgr", "location_northing_osgr"} <= set(df.columns):
-        df = clean.drop_missing_coordinates(df, "location_easting_osgr", "location_northing_osgr")
+        df = clean.drop_missing_coordinates(df, "location_easting_osgr", "location_northing_osgr", removed)
         df = with_lonlat(df, "location_easting_osgr", "location_northing_osgr")
     else:
         return df
     return tables.with_wkt(df)
 
 
-def clean_table(df: DataFrame, kind: str, code_map: DataFrame) -> DataFrame:
-    """Names, labels, dates, derived columns and the year range of one raw table."""
+def clean_table(df: DataFrame, kind: str, code_map: DataFrame, dropped: dict[str, Observation] | None = None) -> DataFrame:
+    """Names, labels, dates, derived columns and the year range of one raw table.
+
+    ``dropped`` gets an observation for each reason to leave rows out.
+    """
+    dropped = {} if dropped is None else dropped
     df = normalise_headers(df)
     coded = [v for v in decode.codes_of(code_map, kind) if v in df.columns]
     df = clean.parse_dates(decode.decode_labels(df, code_map, kind, coded))
@@ -39,12 +55,17 @@ def clean_table(df: DataFrame, kind: str, code_map: DataFrame) -> DataFrame:
         df = clean.add_time_features(df)
     elif kind == "casualty":
         df = clean.add_age_group(df)
-    df = clean.keep_years(df)
-    return locate(df) if kind == "collision" else df
+    dropped["outside_years"] = Observation()
+    df = clean.keep_years(df, removed=dropped["outside_years"])
+    if kind != "collision":
+        return df
+    if {"longitude", "latitude"} <= set(df.columns) or {"location_easting_osgr", "location_northing_osgr"} <= set(df.columns):
+        dropped["without_position"] = Observation()
+    return locate(df, dropped.get("without_position"))
 
 
 def enforce_keys(collision: DataFrame, **children: DataFrame) -> dict[str, DataFrame]:
-    """Children whose collision was kept.  Dropped counts come from ``joins.orphans``."""
+    """Children whose collision was kept."""
     return {name: joins.keep_children(child, collision) for name, child in children.items()}
 
 
@@ -70,42 +91,46 @@ def run(
     out: str,
     buckets: int | None = None,
     database: str = DATABASE,
-) -> dict[str, DataFrame]:
+) -> Tables:
     """Clean ``files`` (kind to path) into Parquet tables below ``out``.
 
     The cleaned CSV copies are written before keys are enforced, so they still hold
     orphans; the tables do not.  Collisions and the map tables are partitioned by
     year.  All results are tables of ``database``, which is made if it is missing;
-    their files stay below ``out``.  With ``buckets`` the facts are hashed on the
+    their files stay below ``out``.  A further run puts new versions in their place
+    one by one (``tables.replace_table``): readers of the old ones are not cut off.
+    With ``buckets`` the facts are hashed on the
     collision key: enforcing keys and building the master table then starts without
     shuffling them.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{out}/database'")
 
+    result = Tables()
+
     def store(df: DataFrame, name: str, partition_by: Sequence[str] = (), sort_by: Sequence[Column] = (), hashed: bool = False) -> DataFrame:
-        path = f"{out}/{name}"
-        if hashed and buckets is not None:
-            spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
-            tables.write_table(df, f"{database}.{name}", partition_by, (buckets, joins.COLLISION_KEY), path)
-            return spark.table(f"{database}.{name}")
-        stored = tables.materialise(df, path, partition_by, sort_by)
-        tables.register(spark, database, name, path, bool(partition_by))
-        return stored
-
-    result = {"code_map": store(code_map, "code_map")}
+        by_key = (buckets, joins.COLLISION_KEY) if hashed and buckets is not None else None
+        return tables.replace_table(df, database, name, out, partition_by, sort_by, by_key)
+
+    result["code_map"] = store(code_map, "code_map")
     cleaned: dict[str, DataFrame] = {}
     for kind, path in files.items():
-        df = clean_table(records.read_csv(spark, path), kind, code_map)
+        dropped: dict[str, Observation] = {}
+        df = clean_table(records.read_csv(spark, path), kind, code_map, dropped)
         if kind == "collision":  # no key to enforce: cleaned and final are the same
             cleaned[kind] = result[kind] = store(df, kind, ["year"], hashed=True)
         else:
             cleaned[kind] = store(df, f"cleaned_{kind}", hashed=True)
+        result.dropped[kind] = {reason: seen.get["n"] for reason, seen in dropped.items()}
         tables.write_csv(cleaned[kind], f"{out}/csv/{kind}")
-    children = {k: cleaned[k] for k in ("vehicle", "casualty") if k in cleaned}
-    if "collision" in cleaned:
-        children = enforce_keys(result["collision"], **children)
-    for name, child in children.items():
-        result[name] = store(child, name, hashed=True)
+    for kind in ("vehicle", "casualty"):
+        if kind not in cleaned:
+            continue
+        if "collision" not in result:
+            result[kind] = store(cleaned[kind], kind, hashed=True)
+            continue
+        seen, kept = Observation(), Observation()
+        result[kind] = store(joins.keep_children(cleaned[kind], result["collision"], seen=seen, kept=kept), kind, hashed=True)
+        result.dropped[kind]["orphans"] = seen.get["n"] - kept.get["n"]
     if {"collision", "vehicle", "casualty"} <= set(result):
         result["master"] = store(joins.master(result["collision"], result["vehicle"], result["casualty"]), "master")
         tables.write_csv(result["master"], f"{out}/csv/master")

@@ -69,13 +69,53 @@ def declared_schema(header: Sequence[str], types: dict[str, T.DataType] = RAW_TY
     )
 
 
-def read_csv(spark: SparkSession, path: str | list[str], types: dict[str, T.DataType] = RAW_TYPES) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], types: dict[str, T.DataType] = RAW_TYPES, guess: bool = False) -> DataFrame:
     """CSV with a header, typed by declaration.  Only the header is looked at before
     the scan; values that do not fit their type become NULL.  Several files must
-    share one header: a file that differs is an error, not a shifted table."""
+    share one header: a file that differs is an error, not a shifted table.
+
+    Columns nobody declared are text; with ``guess`` all their values are looked at
+    first (one scan) and they get the narrowest type that holds them."""
     header = spark.read.option("header", True).csv(path).columns
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
-    return reader.schema(declared_schema(header, types)).csv(path)
+    df = reader.schema(declared_schema(header, types)).csv(path)
+    if not guess:
+        return df
+    return guess_types(df, [raw for raw, name in zip(header, header_names(header)) if name not in types])
+
+
+_NUMBER = r"[+-]?(0|[1-9][0-9]*|(?=\.[0-9]))"
+#: From narrow to wide: name, what a value of it looks like, and the column of that type.
+#: A number that begins with a needless zero is a code, hence text.  Times of day stay text.
+_GUESSES = [
+    ("boolean", lambda v: v.isin("T", "F", "TRUE", "FALSE", "true", "false"), lambda v: v.isin("T", "TRUE", "true")),
+    ("int", lambda v: v.rlike(f"^{_NUMBER}$") & v.try_cast("int").isNotNull(), lambda v: v.try_cast("int")),
+    ("bigint", lambda v: v.rlike(f"^{_NUMBER}$") & v.try_cast("bigint").isNotNull(), lambda v: v.try_cast("bigint")),
+    ("double", lambda v: v.rlike(rf"^{_NUMBER}(\.[0-9]*)?([eE][+-]?[0-9]+)?$"), lambda v: v.try_cast("double")),
+    ("date", lambda v: v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & v.try_cast("date").isNotNull(), lambda v: v.try_cast("date")),
+    ("timestamp_ntz", lambda v: v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?$") & v.try_cast("timestamp_ntz").isNotNull(), lambda v: v.try_cast("timestamp_ntz")),
+    ("string", lambda v: F.lit(True), lambda v: v),
+]
+
+
+def guess_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Text columns in the narrowest type that all their values fit, else unchanged.
+
+    One aggregate over all rows and columns finds the width of the widest value;
+    numbers, dates and truth values have only text in common.  NULL fits
+    everything, a column of nothing else is boolean.
+    """
+    if not columns:
+        return df
+    held = lambda c: F.col(f"`{c}`")
+    fits = [F.bool_and(held(c).isNull() | looks(F.trim(held(c)))).alias(f"{i}_{k}") for i, c in enumerate(columns) for k, (_, looks, _) in enumerate(_GUESSES)]
+    row = df.agg(*fits).first()
+    chosen = {}
+    for i, c in enumerate(columns):
+        k = next(k for k in range(len(_GUESSES)) if row[f"{i}_{k}"] is not False)  # no rows at all: None
+        if _GUESSES[k][0] != "string":
+            chosen[c] = _GUESSES[k][2](F.trim(held(c)))
+    return df.select(*[chosen[c].alias(c) if c in chosen else held(c) for c in df.columns])
 
 
 def kind_of(text: str) -> str:

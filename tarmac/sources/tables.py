@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,12 +65,56 @@ def with_wkt(df: DataFrame, x: str = "longitude", y: str = "latitude", name: str
     return df.withColumn(name, point_wkt(F.col(x), F.col(y)))
 
 
-def register(spark: SparkSession, database: str, name: str, path: str, partitioned: bool) -> None:
-    """Make stored Parquet known as ``database.name``; the files stay where they are."""
-    spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
-    spark.sql(f"CREATE TABLE {database}.{name} USING parquet LOCATION '{path}'")
-    if partitioned:
-        spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
+#: Property of a table's view that names the version it shows.
+_VERSION = "version"
+
+
+def replace_table(
+    df: DataFrame,
+    database: str,
+    name: str,
+    root: str,
+    partition_by: Sequence[str] = (),
+    sort_by: Sequence[Column] = (),
+    buckets: tuple[int, str] | None = None,
+) -> DataFrame:
+    """Make rows the contents of ``database.name``, and return them as stored.
+
+    Rows go to a version of their own, with files in a new folder below ``root``;
+    ``database.name`` is a view of the version, and one statement of the catalog
+    switches it.  Whoever reads the version before keeps reading it, and if
+    writing fails nothing has changed.  Versions stay until ``forget_versions``.
+    """
+    spark = df.sparkSession
+    versions = f"{database}_versions"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {versions} LOCATION '{root}/versions'")
+    version = f"{name}__{uuid.uuid4().hex}"
+    if partition_by and not buckets:
+        df = df.hint("rebalance", *partition_by)
+    if sort_by and not buckets:
+        df = df.sortWithinPartitions(*partition_by, *sort_by)
+    write_table(df, f"{versions}.{version}", partition_by, buckets, f"{root}/{name}/{version}")
+    if spark.catalog.tableExists(f"{database}.{name}") and spark.catalog.getTable(f"{database}.{name}").tableType != "VIEW":
+        spark.sql(f"DROP TABLE {database}.{name}")  # stored before there were versions; its files stay
+    spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} TBLPROPERTIES ('{_VERSION}' = '{version}') AS SELECT * FROM {versions}.{version}")
+    return spark.table(f"{versions}.{version}")
+
+
+def old_versions(spark: SparkSession, database: str, name: str) -> list[str]:
+    """Versions of a table that it no longer shows."""
+    shown = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {database}.{name}").collect()}[_VERSION]
+    listed = spark.sql(f"SHOW TABLES IN {database}_versions LIKE '{name.lower()}__*'").collect()
+    return sorted(r.tableName for r in listed if r.tableName != shown)
+
+
+def forget_versions(spark: SparkSession, database: str, name: str) -> list[str]:
+    """Take old versions out of the catalog; returns their folders, which nobody may read any more before they are removed."""
+    folders = []
+    for version in old_versions(spark, database, name):
+        detail = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {database}_versions.{version}").collect()}
+        folders.append(detail["Location"])
+        spark.sql(f"DROP TABLE {database}_versions.{version}")
+    return folders
 
 
 def existing_tables(spark: SparkSession, database: str | None = None) -> list[str]:

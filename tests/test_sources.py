@@ -106,6 +106,64 @@ def test_etl_with_buckets_gives_the_same_tables(spark, built, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     finally:
         spark.sql("DROP DATABASE IF EXISTS hashed CASCADE")
+        spark.sql("DROP DATABASE IF EXISTS hashed_versions CASCADE")
+
+
+def test_dropped_rows_are_counted_while_tables_are_written(spark, built):
+    result, _, out = built
+    # A5 too early, A4 without a date; A3 without a longitude
+    assert result.dropped["collision"] == {"outside_years": 2, "without_position": 1}
+    for kind, n in (("vehicle", 3), ("casualty", 1)):
+        raw = spark.read.option("header", True).csv(f"{out}/csv/{kind}")
+        assert result.dropped[kind] == {"outside_years": 0, "orphans": n}
+        assert joins.orphans(raw, result["collision"]).count() == n
+
+
+def test_a_new_version_cuts_nobody_off(spark, tmp_path):
+    root = str(tmp_path)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS swapped LOCATION '{root}/db'")
+    try:
+        first = tables.replace_table(spark.range(10).withColumn("year", F.lit(2001)), "swapped", "t", root, ["year"])
+        reader = spark.table("swapped.t")
+        assert reader.count() == 10
+        broken = spark.range(5).select(F.raise_error(F.lit("no more")).cast("bigint").alias("id"))
+        with pytest.raises(Exception, match="no more"):
+            tables.replace_table(broken, "swapped", "t", root)
+        assert spark.table("swapped.t").count() == 10 and len(tables.old_versions(spark, "swapped", "t")) <= 1
+        tables.forget_versions(spark, "swapped", "t")
+        # other columns, buckets instead of partitions
+        second = tables.replace_table(spark.range(3).withColumn("name", F.lit("x")), "swapped", "t", root, buckets=(2, "id"))
+        assert spark.table("swapped.t").columns == ["id", "name"] and second.count() == 3
+        assert reader.count() == first.count() == 10  # opened before the switch
+        # a table from before there were versions is taken over
+        spark.range(4).write.mode("overwrite").option("path", f"{root}/old").saveAsTable("swapped.plain")
+        tables.replace_table(spark.range(6), "swapped", "plain", root)
+        assert spark.table("swapped.plain").count() == 6
+        gone = tables.forget_versions(spark, "swapped", "t")
+        assert len(gone) == 1 and root in gone[0] and spark.table("swapped.t").count() == 3
+        assert tables.old_versions(spark, "swapped", "t") == []
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS swapped CASCADE")
+        spark.sql("DROP DATABASE IF EXISTS swapped_versions CASCADE")
+
+
+def test_guessed_types(spark, tmp_path):
+    files = []
+    for i, rows in enumerate((["1,1.5,T,2020-01-31,007,2020-01-31 10:00:00.5,1,,x,.5,1", "-2,3,FALSE,2020-02-01,008,2020-01-31T10:00:01,2,,9:30,-1e3,"], ["3000000000,,F,2020-02-29,009,,odd,, y ,7.,2020-02-30", ",,,,010,,,,,,"])):
+        path = tmp_path / f"{i}.csv"
+        path.write_text("\n".join(["a,b,c,d,e,f,g,h,i,j,k", *rows]) + "\n")
+        files.append(str(path))
+    df = records.read_csv(spark, files, {"b": T.StringType()}, guess=True)
+    assert dict(df.dtypes) == {
+        "a": "bigint", "b": "string", "c": "boolean", "d": "date", "e": "string", "f": "timestamp_ntz", "g": "string", "h": "boolean", "i": "string", "j": "double", "k": "string",
+    }
+    rows = {r.e: r for r in df.collect()}
+    assert rows["009"].a == 3_000_000_000 and rows["008"].c is False and rows["009"].g == "odd" and rows["008"].j == -1000.0 and rows["009"].k == "2020-02-30"
+    assert [t for _, t in records.read_csv(spark, files[0], {}, guess=True).dtypes][0] == "int"
+    assert dict(records.read_csv(spark, files, {}).dtypes)["a"] == "string"
+    # not a row at all
+    (tmp_path / "none.csv").write_text("a,b\n")
+    assert records.read_csv(spark, str(tmp_path / "none.csv"), {}, guess=True).count() == 0
 
 
 def test_stored_tables_have_names_and_prune(spark, built):
