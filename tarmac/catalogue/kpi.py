@@ -548,6 +548,25 @@ def _(spark, d):
     return hotspots.cell_page(events, 2, F.lit(True), "103_-7", "date", limit=5, offset=2)
 
 
+@add(
+    "cell_page_after",
+    with_roles(
+        f"SELECT date, year, month_num, latitude, longitude, collision_severity, casualties, vehicles, weather_conditions, "
+        f"light_conditions, road_type, CAST(row_number() OVER (PARTITION BY date, year, month_num, latitude, longitude, collision_severity, casualties, "
+        f"vehicles, weather_conditions, light_conditions, road_type) AS INT) AS copy {_CELL_ROWS} ORDER BY casualties, date, year, month_num, latitude, "
+        "longitude, collision_severity, vehicles, weather_conditions, light_conditions, road_type LIMIT 5 OFFSET 10",
+        "collision",
+        geo_events=_EVENTS_SQL,
+    ),
+)
+def _(spark, d):
+    events, last = hotspots.geo_events(collision(spark, d)), None
+    for _ in range(2):  # two pages of five, then the page that follows
+        shown = hotspots.cell_page_after(events, 2, F.lit(True), "103_-7", "casualties", 5, last).collect()
+        last = shown[-1] if shown else last
+    return hotspots.cell_page_after(events, 2, F.lit(True), "103_-7", "casualties", 5, last)
+
+
 @add(
     "cell_decode",
     with_roles(

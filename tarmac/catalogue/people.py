@@ -82,6 +82,18 @@ def _(spark, d):
     return breakdown.mode_order(_demo(spark, d))
 
 
+@add(
+    "demographic_subtotals",
+    _demo_sql(
+        "SELECT casualty_type, casualty_severity, NULL AS age_group, NULL AS sex_of_casualty, CAST(sum(count) AS BIGINT) AS count, 'mode_severity' AS grouping FROM demo GROUP BY 1, 2 "
+        "UNION ALL SELECT casualty_type, NULL, NULL, NULL, CAST(sum(count) AS BIGINT), 'mode' FROM demo GROUP BY 1 "
+        "UNION ALL SELECT NULL, NULL, age_group, sex_of_casualty, CAST(sum(count) AS BIGINT), 'age_sex' FROM demo GROUP BY 3, 4"
+    ),
+)
+def _(spark, d):
+    return breakdown.demographic_subtotals(_demo(spark, d))
+
+
 @add(
     "age_sex",
     _demo_sql("SELECT age_group, sex_of_casualty, CAST(sum(count) AS BIGINT) AS count FROM demo GROUP BY 1, 2"),

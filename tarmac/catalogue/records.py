@@ -90,17 +90,24 @@ def _(spark, d):
     )
 
 
+# a header for every rewrite, and the variable that it gives; $ stands for a type of part
+_VARIABLES = [
+    ("$ Null if not known", "$"), ("$ DD/MM/YYYY", "$"), ("$ HH:MM", "$"), ("Highway Authority - ONS code $", "highway_$"),
+    ("Lower Super Ouput Area $", "lsoa_$"), ("$ England & Wales Only", "$"), ("$ (CC)", "$"), ("Vehicle Propulsion Code $", "propulsion_code_$"),
+    ("Pedestrian Road Maintenance Worker from 2011 $", "pedestrian_road_maintenance_worker_$"), ("Engine Capacity (CC) $", "engine_capacity_cc_$"),
+    ("Age of Vehicle_manufacture $", "age_of_vehicle_$"),
+]
+
+
 @add(
     "variable_normalise",
-    "SELECT DISTINCT raw, CASE WHEN raw LIKE 'Engine%' THEN replace(replace(lower(raw), ' ', '_'), '-', '_') || '_cc' "
-    "ELSE 'age_of_vehicle_' || split_part(lower(raw), ' ', 4) END AS variable FROM ("
-    "SELECT 'Engine Capacity' AS raw FROM part UNION ALL SELECT 'Age of Vehicle_manufacture ' || p_type FROM part)",
+    "SELECT DISTINCT replace(raw, '$', p_type) AS raw, replace(variable, '$', replace(lower(p_type), ' ', '_')) AS variable FROM part, (VALUES "
+    + ", ".join(f"('{raw}', '{variable}')" for raw, variable in _VARIABLES)
+    + ") AS v(raw, variable)",
 )
 def _(spark, d):
-    parts = table(spark, d, "part")
-    raw = parts.select(F.lit("Engine Capacity").alias("raw")).union(
-        parts.select(F.concat(F.lit("Age of Vehicle_manufacture "), "p_type"))
-    )
+    patterns = F.explode(F.array(*[F.lit(raw) for raw, _ in _VARIABLES])).alias("pattern")
+    raw = table(spark, d, "part").select("p_type", patterns).select(F.expr("replace(pattern, '$', p_type)").alias("raw"))
     return raw.distinct().withColumn("variable", names.variable_name(F.col("raw")))
 
 
@@ -602,16 +609,17 @@ def _(spark, d):
 @add(
     "union_years",
     with_roles(
-        "SELECT year, collision_severity, count(*) AS n, CAST(NULL AS BIGINT) AS casualties FROM collision WHERE year = 1997 GROUP BY 1, 2 "
-        "UNION ALL SELECT year, collision_severity, count(*), CAST(sum(number_of_casualties) AS BIGINT) FROM collision WHERE year = 1998 GROUP BY 1, 2",
+        "SELECT year, collision_severity, count(*) AS n, CAST(NULL AS BIGINT) AS casualties FROM collision WHERE year < 1998 GROUP BY 1, 2 "
+        "UNION ALL SELECT year, collision_severity, count(*), CAST(sum(number_of_casualties) AS BIGINT) FROM collision WHERE year >= 1998 GROUP BY 1, 2",
         "collision",
     ),
 )
 def _(spark, d):
     base = collision(spark, d)
-    old = base.where(F.col("year") == 1997).groupBy("year", "collision_severity").agg(F.count("*").alias("n"))
+    # every year is in one of the two: tables of the earlier years lack a column
+    old = base.where(F.col("year") < 1998).groupBy("year", "collision_severity").agg(F.count("*").alias("n"))
     new = (
-        base.where(F.col("year") == 1998)
+        base.where(F.col("year") >= 1998)
         .groupBy("collision_severity", "year")
         .agg(F.sum("number_of_casualties").alias("casualties"), F.count("*").alias("n"))
     )

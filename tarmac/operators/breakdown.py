@@ -54,6 +54,17 @@ def age_by_sex(demo: DataFrame) -> DataFrame:
     return demo.groupBy("age_group", "sex_of_casualty").agg(F.sum("count").alias("count"))
 
 
+def demographic_subtotals(demo: DataFrame) -> DataFrame:
+    """All three roll-ups at once: by type and severity, by type, by age group and sex.
+
+    One pass and one exchange; the columns that a row adds up are NULL, and
+    ``grouping`` names the roll-up.
+    """
+    kind, severity, age, sex = (F.col(c) for c in ("casualty_type", "casualty_severity", "age_group", "sex_of_casualty"))
+    tag = F.when(F.grouping("casualty_type") == 1, "age_sex").when(F.grouping("casualty_severity") == 1, "mode").otherwise("mode_severity")
+    return demo.groupingSets([[kind, severity], [kind], [age, sex]], kind, severity, age, sex).agg(F.sum("count").alias("count"), tag.alias("grouping"))
+
+
 # Casualty types counted per collision, with their column names.
 MIX = (("Pedestrian", "walking"), ("Cyclist", "cycling"), ("Car occupant", "passenger"))
 
@@ -192,14 +203,10 @@ def by_weekday_and_hour(collision: DataFrame) -> DataFrame:
     parts = collision.select(
         dates.day_name(F.col("date")).alias("weekday"), dates.clock_hour(F.col("time")).alias("hour")
     )
-    both = parts.groupBy("weekday", "hour").agg(F.count("*").alias("n"))
-    weekday = both.groupBy("weekday").agg(F.sum("n").alias("n")).withColumn("hour", F.lit(None).cast("int"))
-    hour = both.groupBy("hour").agg(F.sum("n").alias("n")).withColumn("weekday", F.lit(None).cast("string"))
-    tagged = [
-        frame.withColumn("grouping", F.lit(tag))
-        for frame, tag in ((both, "weekday_hour"), (weekday, "weekday"), (hour, "hour"))
-    ]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    weekday, hour = F.col("weekday"), F.col("hour")
+    sets = [[weekday, hour], [weekday], [hour]]  # counted in one pass and one exchange
+    tag = F.when(F.grouping("hour") == 1, "weekday").when(F.grouping("weekday") == 1, "hour").otherwise("weekday_hour")
+    return parts.groupingSets(sets, weekday, hour).agg(F.count("*").alias("n"), tag.alias("grouping"))
 
 
 def monthly_rounded(collision: DataFrame) -> DataFrame:

@@ -188,8 +188,11 @@ def stacked_totals(with_vehicle: DataFrame) -> DataFrame:
         .withColumn("all", _all())
     )
     measures = (*_MEASURES, "all")
-    total = parts.agg(*[F.sum(m).alias(m) for m in measures]).withColumn("summary_group", F.lit("Total"))
-    return parts.unionByName(total).withColumn("pc_fat", F.bround(F.try_divide("fatal", "all") * 100, 1))
+    # the rows are as many as there are groups; the total adds what they show, so they are aggregated once
+    whole = parts.agg(F.collect_list(F.struct("summary_group", *measures)).alias("rows"), *[F.sum(m).alias(m) for m in measures])
+    total = F.struct(F.lit("Total").alias("summary_group"), *measures)
+    rows = whole.select(F.explode(F.concat("rows", F.array(total))).alias("r")).select("r.*")
+    return rows.withColumn("pc_fat", F.bround(F.try_divide("fatal", "all") * 100, 1))
 
 
 def road_class_share(sums: DataFrame, collision: DataFrame) -> DataFrame:

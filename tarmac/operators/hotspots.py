@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.geo import EARTH_RADIUS_MILES, cell_index, haversine_miles
@@ -208,6 +209,41 @@ def cell_page(
     return rows.orderBy(order_by, *rest).offset(offset).limit(limit).select(*columns)
 
 
+def _not_before(row: Mapping[str, object], order: Sequence[str]) -> Column:
+    """Rows that are not before ``row`` in the order (missing values first); the leading column alone is a range the scan can skip by."""
+    here = F.lit(True)
+    for c in reversed(order):
+        value = row[c]
+        later = F.col(c).isNotNull() if value is None else F.col(c) > F.lit(value)
+        here = F.coalesce(later, F.lit(False)) | (F.col(c).eqNullSafe(F.lit(value)) & here)
+    lead = row[order[0]]
+    return here if lead is None else (F.col(order[0]) >= F.lit(lead)) & here
+
+
+def cell_page_after(
+    events: DataFrame, scale: int, condition: Column, cell_id: str, order_by: str, limit: int, after: Row | None = None
+) -> DataFrame:
+    """The page of a cell's raw rows that follows ``after``, the last row of the page before (None: the first page).
+
+    Pages are those of ``cell_page``, but a page costs the same however deep it
+    lies: it starts from a position in the order instead of counting all rows
+    before it.  ``copy`` numbers rows that are alike in every column, so that a page
+    may end between them.
+    """
+    if order_by not in ("date", "collision_severity", "casualties"):
+        raise ValueError(f"cannot order by {order_by}")
+    order = [order_by, *[c for c in _PAGE_COLUMNS if c != order_by]]
+    rows, shown = _in_cell(events.where(condition), scale, cell_id).select(*_PAGE_COLUMNS), 0
+    if after is not None:
+        rows, shown = rows.where(_not_before(after.asDict(), order)), after["copy"]
+    alike = Window.partitionBy(*order).orderBy(F.lit(1))
+    head = rows.orderBy(*order).limit(limit + shown).withColumn("copy", F.row_number().over(alike))
+    if after is not None:
+        again = [F.col(c).eqNullSafe(F.lit(after[c])) for c in order]
+        head = head.where(~reduce(lambda a, b: a & b, again) | (F.col("copy") > shown))
+    return head.orderBy(*order, "copy")
+
+
 def condition_hotspots(cells_scale: int, events: DataFrame, condition: Column, metric: str, top: int) -> DataFrame:
     """Top cells under year and multi-choice conditions, ties by cell."""
     if metric not in METRICS:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tarmac.functions.predicates import TimeFilter, all_of, any_of, equal_unless_all, severity_in
@@ -150,10 +150,18 @@ def hotspot_cell(
     weather: str = "All",
     light: str = "All",
     road_type: str = "All",
+    after: Row | None = None,
 ) -> dict[str, DataFrame]:
-    """Severity counts of one cell, a page of its rows, and a sample of the page to draw."""
+    """Severity counts of one cell, a page of its rows, and a sample of the page to draw.
+
+    The page is found by ``offset``, or follows the row ``after`` of the page before
+    (a row of ``hotspots.cell_page_after``), which costs the same on every page.
+    """
     condition = _hotspot_condition(when, severities, weather, light, road_type)
-    page = hotspots.cell_page(tables["geo_events_raw"], scale, condition, cell_id, order_by, limit, offset)
+    if after is None:
+        page = hotspots.cell_page(tables["geo_events_raw"], scale, condition, cell_id, order_by, limit, offset)
+    else:
+        page = hotspots.cell_page_after(tables["geo_events_raw"], scale, condition, cell_id, order_by, limit, after)
     chosen = hotspots.stable_sample(page, page.columns, drawn)
     return {
         "severities": hotspots.cell_severities(tables["geo_events_raw"], scale, condition, cell_id),

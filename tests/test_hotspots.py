@@ -86,6 +86,27 @@ def test_pages_cover_each_row_once(spark):
         hotspots.cell_page(df, 20, F.lit(True), "1030_-2", "road_type; drop table x", 10)
 
 
+@pytest.mark.parametrize("order_by", ["date", "casualties"])
+def test_pages_follow_each_other(spark, order_by):
+    """Ties, rows alike in every column, missing values in the order, pages that end between copies."""
+    rows = [(51.5, -0.1, "Fatal" if i % 2 else None, None if i % 5 == 0 else i % 3, 1, None if i % 7 == 0 else f"2020-01-0{1 + i % 4}", 2020, 1, "w", "l", str(i % 6)) for i in range(60)] * 2
+    df = spark.createDataFrame(
+        rows,
+        "latitude double, longitude double, collision_severity string, casualties int, vehicles int, date string, year int, month_num int, "
+        "weather_conditions string, light_conditions string, road_type string",
+    ).repartition(5)
+    whole = [tuple(r) for r in hotspots.cell_page(df, 20, F.lit(True), "1030_-2", order_by, limit=1000).collect()]
+    seen, last = [], None
+    while page := hotspots.cell_page_after(df, 20, F.lit(True), "1030_-2", order_by, 7, last).collect():
+        assert len(page) == 7 or len(seen) + len(page) == 120
+        seen, last = seen + [tuple(r)[:-1] for r in page], page[-1]
+    assert seen == whole and len(seen) == 120
+    plan = hotspots.cell_page_after(df, 20, F.lit(True), "1030_-2", order_by, 7, last)._jdf.queryExecution().toString()
+    assert "Offset" not in plan
+    with pytest.raises(ValueError):
+        hotspots.cell_page_after(df, 20, F.lit(True), "1030_-2", "road_type", 10)
+
+
 def test_ordered_head_equals_sort(spark):
     rows = [(None if i % 50 == 0 else i % 7, i) for i in range(1000)]
     df = spark.createDataFrame(rows, "d int, i int").repartition(6)

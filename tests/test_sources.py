@@ -1,5 +1,6 @@
 import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -321,6 +322,31 @@ def test_fuzzy_join_keeps_both_sides(spark):
     assert got == {("first_road_class", "frist_road_clas", 2), ("speed_limit", "speed_limit", 0), ("gone", None, None), (None, "brand_new", None)}
 
 
+def within_two(a, b):
+    row, above, above2 = list(range(len(b) + 1)), None, None
+    for i, x in enumerate(a, 1):
+        above2, above, row = above, row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], above2[j - 2] + 1)
+    return row[-1] <= 2
+
+
+def test_fuzzy_candidates_are_complete_and_few(spark):
+    rng = random.Random(12)
+    names = {"".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(250)} | {"", "ab", "ba", "aaaaaaaa", "aaaaaa"}
+    a, b = sorted(names)[::2], sorted(names)[1::2] + ["aaaaaaaa"]
+    left, right = spark.createDataFrame([(x,) for x in a], "old string"), spark.createDataFrame([(x,) for x in b], "new string")
+    want = {(x, y) for x in a for y in b if within_two(x, y)}
+    got = {(r.old, r.new) for r in matching.fuzzy_full_join(left, right, "old", "new").where("distance IS NOT NULL").collect()}
+    assert got == want
+    # a stem that all names share makes no candidates: the rarest pairs of characters decide
+    stem = lambda n: [("accident_statistics_" + "".join(rng.choice("bcdfghjklmnpqrvwxz0123456789") for _ in range(10)),) for _ in range(n)]
+    left, right = spark.createDataFrame(stem(150), "old string"), spark.createDataFrame(stem(150), "new string")
+    assert matching.fuzzy_candidates(left, right, "old", "new").count() < 150 * 150 / 10
+
+
 def test_schema_drift(spark):
     old = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     new = spark.createDataFrame([(None, 1.0)], "a int, c double")
