@@ -26,13 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from tarmac.llm import chunks
-from tarmac.llm.chunks import Rolling, bounds, in_order
+from tarmac.llm.chunks import BASES, Rolling, bounds, in_order
 from tarmac.llm.common import ASCII_SPACE, mix, saved
 from tarmac.llm.lm_score import packed, unpacked
 
@@ -44,8 +45,10 @@ _SHORT = 5
 _SPACE = np.isin(np.arange(256), np.frombuffer(ASCII_SPACE, np.uint8))
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = 0xD1342543DE82EF95
+#: Bytes of a word beyond which it is hashed as a whole.
+_LONG_WORD = 1024
 
-_ASK1 = "p int, chunk int, size int, hashes binary, docs binary"
+_ASK1 = "p int, chunk int, size int, hashes binary, checks binary, docs binary"
 _REPLY1 = "chunk int, p int, later binary"
 _ASK2 = "p int, chunk int, size int, hashes binary, gone binary"
 _REPLY2 = "chunk int, p int, met binary, gone binary"
@@ -70,6 +73,8 @@ class _Lines:
         edge = np.diff(blank.astype(np.int8), prepend=1)
         self.begin, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge[1:] == 1) + 1
         self.word = Rolling(_BYTE_VALUES[data]).at(self.begin, self.end)
+        for i in np.flatnonzero(self.end - self.begin > _LONG_WORD):  # too long for a sum of powers modulo 2 ** 64
+            self.word[i] = xxhash.xxh3_64_intdigest(data[self.begin[i] : self.end[i]].tobytes())
         #: lines, also blank ones: a document's first line is where the one before it ended
         self.breaks = np.flatnonzero(data == 10)
         sizes = np.array([t.count(b"\n") + 1 for t in self.texts], dtype=np.int64)
@@ -81,15 +86,19 @@ class _Lines:
         self.data = data
         self.rolling = Rolling(self.word, _STEP)
         self.hash = self.rolling.at(self.cut[:-1], self.cut[1:])
+        # lines are told apart by what each word gives at its place, scrambled, and by half of the rolling hash
+        place = np.arange(1, len(self.word) + 1) - np.repeat(self.cut[:-1], self.count)
+        sums = np.append(np.uint64(0), np.cumsum(mix(self.word + place.astype(np.uint64) * np.uint64(BASES[0]))))
+        self.exact = mix(sums[self.cut[1:]] - sums[self.cut[:-1]])
+        self.check = self.hash & np.uint64(0xFFFFFFFF)
         self.doc_ids = self.rows.column("doc_id").combine_chunks()
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lines that take part: the first of each hash, sorted by hash; and those that repeat one."""
+        """Lines that take part: the first of each content, sorted by ``exact``; and those that repeat one."""
         at = self.taking_part
-        order = at[np.lexsort((at, self.hash[at]))]
-        h = self.hash[order]
+        order = at[np.lexsort((at, self.check[at], self.exact[at]))]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = h[1:] != h[:-1]
+        new[1:] = (self.exact[order[1:]] != self.exact[order[:-1]]) | (self.check[order[1:]] != self.check[order[:-1]])
         return order[new], order[~new]
 
     def ids_of(self, lines: np.ndarray) -> np.ndarray:
@@ -116,19 +125,23 @@ class _Lines:
 def _first_question(rows: pa.Table, n: int, least_words: int) -> pa.Table:
     c = _Lines(rows, least_words)
     lines, _ = c.distinct()
-    h, docs = c.hash[lines], c.ids_of(lines).astype("<i8")
-    cut = bounds(h, n)
-    return _table(_ASK1, [(p, c.number, cut[p + 1] - cut[p], packed(h[cut[p] : cut[p + 1]], 8), docs[cut[p] : cut[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(cut))])
+    h, check, docs = c.exact[lines], c.check[lines], c.ids_of(lines).astype("<i8")
+    cut, out = bounds(h, n), []
+    for p in np.flatnonzero(np.diff(cut)):
+        s = slice(cut[p], cut[p + 1])
+        out.append((p, c.number, s.stop - s.start, packed(h[s], 8), packed(check[s], 4), docs[s].tobytes()))
+    return _table(_ASK1, out)
 
 
 def _first_reply(asked: pa.Table) -> pa.Table:
     rows = asked.to_pylist()
     size = [r["size"] for r in rows]
     h = np.concatenate([unpacked(r["hashes"], k, 8) for r, k in zip(rows, size)])
+    check = np.concatenate([unpacked(r["checks"], k, 4) for r, k in zip(rows, size)])
     docs = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
-    order = np.lexsort((np.repeat([r["chunk"] for r in rows], size), docs, h))
+    order = np.lexsort((np.repeat([r["chunk"] for r in rows], size), docs, check, h))
     later = np.zeros(len(h), dtype=bool)
-    later[order[1:]] = h[order[1:]] == h[order[:-1]]
+    later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
     ends = np.cumsum(size)
     return _table(_REPLY1, [(r["chunk"], r["p"], np.packbits(later[e - k : e]).tobytes()) for r, k, e in zip(rows, size, ends) if later[e - k : e].any()])
 
@@ -136,7 +149,7 @@ def _first_reply(asked: pa.Table) -> pa.Table:
 def _settled(c: _Lines, replies: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Lines that are the first of their kind in the corpus, and those that repeat one."""
     lines, again = c.distinct()
-    cut, later = bounds(c.hash[lines], n), np.zeros(len(lines), dtype=bool)
+    cut, later = bounds(c.exact[lines], n), np.zeros(len(lines), dtype=bool)
     for r in replies.to_pylist():
         s = slice(cut[r["p"]], cut[r["p"] + 1])
         later[s] = np.unpackbits(np.frombuffer(r["later"], np.uint8), count=s.stop - s.start).astype(bool)

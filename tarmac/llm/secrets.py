@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from hashlib import sha256
 
@@ -41,7 +40,11 @@ _WORDS = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-_CREDENTIAL = re.compile(r"passw|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|auth", re.IGNORECASE | re.ASCII)
+# a whole word, and between it and the token nothing but blanks, quotes, brackets, an assignment or "is"
+_CREDENTIAL = re.compile(
+    r"""(?<![A-Za-z])(?:passw(?:or)?d|pwd|secret|token|(?:api|access|private)[ _-]?key|credentials?|bearer|auth)(?:[ _-]?(?:key|token|secret))?(?![A-Za-z])(?:\s{1,4}(?:is|was)(?![A-Za-z]))?[\s"'`:=<>()\[\]{},]{1,8}""",
+    re.IGNORECASE | re.ASCII,
+)
 _CHANGES = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
 _SEPARATED = re.compile(r"[+/_=-]")
 _UPPER_HEX = re.compile(r"[0-9A-F]{16,}")
@@ -50,8 +53,8 @@ _UPPER_HEX = re.compile(r"[0-9A-F]{16,}")
 OWNERS = 1
 #: Bits per character from which a mixed token looks live: letters of both cases, of one case, next to a credential word.
 ENTROPY, ENTROPY_ONE_CASE, ENTROPY_SHORT = 3.5, 3.0, 2.5
-#: Characters of a token that needs no credential word, and how far ahead of a shorter one that word may begin.
-LONG, AHEAD = 20, 40
+#: Characters of a token that needs no credential word.
+LONG = 20
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("hash", T.StringType())])
 
@@ -75,8 +78,8 @@ def looks_live(token: str, near_word: bool = False) -> bool:
         return False
     n = len(token)
     bits = -sum(k / n * math.log2(k / n) for k in Counter(token).values())
-    if near_word:
-        return bits >= ENTROPY_SHORT
+    if near_word:  # "token covid-19" is prose: letters and digits change places twice at least
+        return bits >= ENTROPY_SHORT and len(_CHANGES.findall(token)) >= 2
     if lower and upper and n >= LONG and bits >= ENTROPY:
         return True
     if n < LONG and not _UPPER_HEX.fullmatch(token):
@@ -94,10 +97,8 @@ def scan_text(text: str) -> tuple[list[tuple], list[tuple]]:
         if m[0].isalpha() or m[0].isdigit():
             continue
         if words is None:
-            words = [w.start() for w in _CREDENTIAL.finditer(text)]
-        at = bisect_left(words, m.start())
-        near_word = at > 0 and words[at - 1] >= m.start() - AHEAD
-        if looks_live(m[0], near_word) and not any(s < m.end() and m.start() < e for s, e in taken):
+            words = {w.end() for w in _CREDENTIAL.finditer(text)}
+        if looks_live(m[0], m.start() in words) and not any(s < m.end() and m.start() < e for s, e in taken):
             more.append((m.start(), "owned", m.end(), m[0]))
     return base, more
 

@@ -13,8 +13,8 @@ Components become ``floor(1024 * x)``; sums are exact (in doubles where these ho
 all integers that occur, else in whole numbers, cut to the range of a long).
 Vectors that are null or have a null or non-finite component, and rows without an
 id, take no part.  A vector that is too short counts as zero beyond its end.  Rows
-that repeat id and vector count once; rows that share an id with a query are its
-own.
+that repeat id and vector are candidates each and queries each; rows that share an
+id with a query are its own.
 """
 
 from __future__ import annotations
@@ -42,9 +42,6 @@ def _pack(rows: pa.Table, kind: int) -> pa.Table:
     ids = rows.column("id").to_numpy()
     order = np.lexsort((*matrix.T[::-1], ids))
     ids, matrix = ids[order], matrix[order]
-    new = np.ones(len(ids), dtype=bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (matrix[1:] != matrix[:-1]).any(axis=1)
-    ids, matrix = ids[new], matrix[new]
     number = rows.column("part")[0].as_py()
     return pa.table(
         {"block": pa.array([number if kind == 0 else 0], pa.int32()), "kind": pa.array([kind], pa.int32()), "part": pa.array([number], pa.int32()), "dims": pa.array([dims], pa.int32()),

@@ -77,3 +77,13 @@ def test_repeated_rows_and_empty(make_docs):
     assert line_dedup.remove_near_lines(docs.limit(0)).collect() == []
     bare = docs.select("doc_id", "text")
     assert line_dedup.remove_near_lines(bare).count() == 2
+
+
+def test_lines_that_differ_in_every_word(make_docs):
+    """A Thue-Morse line and its complement agree in every sum of powers modulo 2 ** 64; so do such words."""
+    signs = [bin(i).count("1") % 2 for i in range(4096)]
+    line, other = (" ".join(("ab", "cd")[s ^ flip] for s in signs) for flip in (0, 1))
+    long, complement = ("".join("ab"[s ^ flip] for s in signs) for flip in (0, 1))
+    docs = [(1, line), (2, other), (3, line), (4, f"{long} b c d e f"), (5, f"{complement} b c x e g"), (6, f"{long} b c d e f")]
+    got = {r.doc_id: (r.text, list(r._removed)) for r in line_dedup.remove_near_lines(make_docs(docs)).collect()}
+    assert got[2] == (other, []) and got[5][1] == [] and got[3] == ("", [0]) and got[6] == ("", [0])

@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tests.llm.conftest import SMALL
 
 
 def brute(rows, every, k=10):
-    ok = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    ok = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in ok]
     out = []
     for qi, q in whole:
@@ -46,6 +47,15 @@ def test_ties_copies_and_odd_rows(spark, block, monkeypatch):
     assert sorted(map(tuple, topk.exact_topk(few, F.col("vec_id") % 20 == 0).collect())) == brute([r for r in rows if r[0] in (20, 21, 22)], 20)
 
 
+def test_repeated_rows_equal_sql(spark, tmp_path):
+    given = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    twice = given.union(given.where("vec_id % 50 in (1, 2)"))
+    twice.write.parquet(str(tmp_path / "embeddings.parquet"))
+    query, con = queries.catalogue.items["op2_columnar_topk"], duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert compare(query.build(spark, str(tmp_path)), con, query.sql) is None
+
+
 def test_bounds_drop_candidates_but_no_result():
     rng = np.random.default_rng(1)
     decay = 2.0 ** -np.arange(64)
