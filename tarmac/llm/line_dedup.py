@@ -96,10 +96,15 @@ class _Lines:
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Lines that take part: the first of each content, sorted by ``exact``; and those that repeat one."""
         at = self.taking_part
-        order = at[np.lexsort((at, self.check[at], self.exact[at]))]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (self.exact[order[1:]] != self.exact[order[:-1]]) | (self.check[order[1:]] != self.check[order[:-1]])
-        return order[new], order[~new]
+        exact, check = self.exact[at], self.check[at]
+        rank = np.argsort(exact, kind="stable")  # lines come in order already
+        same = exact[rank[1:]] == exact[rank[:-1]]
+        other = check[rank[1:]] != check[rank[:-1]]
+        if (same & other).any():
+            rank = np.lexsort((at, check, exact))
+            same, other = exact[rank[1:]] == exact[rank[:-1]], check[rank[1:]] != check[rank[:-1]]
+        new = np.append(True, ~same | other)[: len(rank)]
+        return at[rank[new]], at[rank[~new]]
 
     def ids_of(self, lines: np.ndarray) -> np.ndarray:
         return self.doc_ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)[self.doc[lines]]
@@ -139,8 +144,12 @@ def _first_reply(asked: pa.Table) -> pa.Table:
     h = np.concatenate([unpacked(r["hashes"], k, 8) for r, k in zip(rows, size)])
     check = np.concatenate([unpacked(r["checks"], k, 4) for r, k in zip(rows, size)])
     docs = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
-    order = np.lexsort((np.repeat([r["chunk"] for r in rows], size), docs, check, h))
     later = np.zeros(len(h), dtype=bool)
+    rank = np.argsort(h)
+    same = np.append(False, h[rank[1:]] == h[rank[:-1]])
+    same[:-1] |= same[1:]
+    met = rank[same]  # few lines are met twice; only they are put in corpus order
+    order = met[np.lexsort((np.repeat([r["chunk"] for r in rows], size)[met], docs[met], check[met], h[met]))]
     later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
     ends = np.cumsum(size)
     return _table(_REPLY1, [(r["chunk"], r["p"], np.packbits(later[e - k : e]).tobytes()) for r, k, e in zip(rows, size, ends) if later[e - k : e].any()])
