@@ -392,11 +392,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    from pyspark.sql.window import Window
-
-    counts = breakdown.frequency(collision(spark, d), "road_type")
-    whole = F.sum("n").over(Window.partitionBy())
-    return counts.withColumn("pc", F.round(F.col("n") / whole * 100, 6))
+    return _rounded(breakdown.share_total(collision(spark, d), "road_type"), "pc")
 
 
 @add(

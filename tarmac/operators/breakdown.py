@@ -239,6 +239,12 @@ def share_within(df: DataFrame, group: str, category: str, value: Column) -> Dat
     return cells.withColumn("pc", F.try_divide("value", F.sum("value").over(Window.partitionBy(group))) * 100)
 
 
+def share_total(df: DataFrame, category: str) -> DataFrame:
+    """Rows per category and their percentage of all rows; the window runs over the counts."""
+    counts = frequency(df, category)
+    return counts.withColumn("pc", F.col("n") / F.sum("n").over(Window.partitionBy()) * 100)
+
+
 def ratio_by_flag(df: DataFrame, flag: Column, numerator: Column, denominator: Column) -> DataFrame:
     return df.groupBy(flag.alias("flag")).agg(F.try_divide(F.sum(numerator), F.sum(denominator)).alias("ratio"))
 

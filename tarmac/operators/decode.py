@@ -2,8 +2,9 @@
 
 A code map is metadata.  Its labels become one row, a map per coded column, that a
 scalar subquery attaches: all columns of a table are decoded in one narrow step,
-the facts are not moved, and it does not matter how the code map was made.  A code
-map of more than ``IN_ONE_ROW`` rows is joined instead, column by column.
+the facts are not moved, and it does not matter how the code map was made.  The
+query stops if that row would hold more than ``IN_ONE_ROW`` codes; whoever has such
+a code map asks for joins (``joined=True``), one per column.
 """
 
 from __future__ import annotations
@@ -49,7 +50,9 @@ def _labels(
         .groupBy("variable", "key").agg(winner("label", "ord").alias("label"))
     )
     entries = [F.collect_list(F.when(variable == c, F.struct("key", "label"))) for c in columns]
-    maps = codes.agg(F.struct(*[F.map_from_entries(e).alias(f"m{i}") for i, e in enumerate(entries)]).alias("maps")).scalar()
+    row = F.struct(*[F.map_from_entries(e).alias(f"m{i}") for i, e in enumerate(entries)])
+    too_many = F.count("*") > IN_ONE_ROW
+    maps = codes.agg(F.when(too_many, F.raise_error(F.lit(f"more than {IN_ONE_ROW} codes: decode with joined=True"))).otherwise(row).alias("maps")).scalar()
     return {c: F.try_element_at(maps[f"m{i}"], key(F.col(c), kinds[c])) for i, c in enumerate(columns)}
 
 
@@ -68,31 +71,31 @@ def _joined_labels(
     return df, {c: F.col(f"__label{i}") for i, c in enumerate(columns)}
 
 
-def _with_labels(df: DataFrame, code_map: DataFrame, columns: Sequence[str], key, winner, shape: Callable) -> DataFrame:
+def _with_labels(df: DataFrame, code_map: DataFrame, columns: Sequence[str], key, winner, shape: Callable, joined: bool) -> DataFrame:
     order, kinds = df.columns, dict(df.dtypes)
     if not columns:
         return df
-    if code_map.limit(IN_ONE_ROW + 1).count() <= IN_ONE_ROW:
-        labels = _labels(df, code_map, columns, key, winner)
-    else:
+    if joined:
         df, labels = _joined_labels(df, code_map, columns, key, winner)
+    else:
+        labels = _labels(df, code_map, columns, key, winner)
     decoded = {c: shape(F.coalesce(labels[c], F.col(c).cast("string")), kinds[c]) for c in columns}
     return df.select(*[decoded[c].alias(c) if c in decoded else F.col(c) for c in order])
 
 
-def decode_labels(df: DataFrame, code_map: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
+def decode_labels(df: DataFrame, code_map: DataFrame, table: str, columns: Sequence[str] | None = None, joined: bool = False) -> DataFrame:
     """Label mode: only the table's own codes count, the last of duplicate codes
     wins, unmatched values stay as text.  Numeric columns compare as numbers."""
     own = code_map.where(F.col("table") == table)
-    return _with_labels(df, own, list(df.columns if columns is None else columns), _label_key, F.max_by, lambda text, kind: text)
+    return _with_labels(df, own, list(df.columns if columns is None else columns), _label_key, F.max_by, lambda text, kind: text, joined)
 
 
-def decode_typed(df: DataFrame, code_map: DataFrame, columns: Sequence[str]) -> DataFrame:
+def decode_typed(df: DataFrame, code_map: DataFrame, columns: Sequence[str], joined: bool = False) -> DataFrame:
     """Typed mode: codes are found by variable name alone, the first of duplicate
     codes wins, and the result returns to the column's own type, so a label in a
     numeric column becomes NULL."""
     shape = lambda text, kind: text if kind == "string" else text.try_cast(kind)
-    return _with_labels(df, code_map, list(columns), _typed_key, F.min_by, shape)
+    return _with_labels(df, code_map, list(columns), _typed_key, F.min_by, shape, joined)
 
 
 def codes_of(code_map: DataFrame, table: str) -> list[str]:

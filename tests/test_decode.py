@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tarmac.model import CODE_MAP
@@ -86,6 +87,9 @@ def test_a_large_code_map_is_joined(spark, monkeypatch):
     codes = spark.createDataFrame(ROWS, CODE_MAP)
     want = decode.decode_labels(frame(spark), codes, "collision", ["road", "age"]).collect()
     typed = decode.decode_typed(frame(spark), codes, ["road", "age"]).collect()
+    assert sorted(map(str, decode.decode_labels(frame(spark), codes, "collision", ["road", "age"], joined=True).collect())) == sorted(map(str, want))
+    assert sorted(map(str, decode.decode_typed(frame(spark), codes, ["road", "age"], joined=True).collect())) == sorted(map(str, typed))
+    # no count beforehand: the query itself stops
     monkeypatch.setattr(decode, "IN_ONE_ROW", 3)
-    assert sorted(map(str, decode.decode_labels(frame(spark), codes, "collision", ["road", "age"]).collect())) == sorted(map(str, want))
-    assert sorted(map(str, decode.decode_typed(frame(spark), codes, ["road", "age"]).collect())) == sorted(map(str, typed))
+    with pytest.raises(Exception, match="joined=True"):
+        decode.decode_typed(frame(spark), codes, ["road", "age"]).collect()
