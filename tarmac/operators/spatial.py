@@ -14,7 +14,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarmac.functions.geo import along_segment, cell_index, in_area_cell, ring_area, ring_edges, segment_distance2
 from tarmac.session import ensure_checkpointing
@@ -232,62 +231,49 @@ def outside_distance(points: DataFrame, roads: DataFrame, x: str, y: str, distan
     return _by_distance(points, roads, x, y, distance, "left_anti", flat)
 
 
-def _cell_bounds(factor: int) -> tuple[Column, Column]:
-    """Least and greatest distance between base cell (bx, by) and the cell (__cx, __cy)
-    that is ``factor`` times as wide, in base-cell widths."""
+def _levels(df: DataFrame, columns: Sequence[str], last: int) -> DataFrame:
+    """A row per level: the cells of level l are 2 ** l base cells wide."""
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__level"))).cast("bigint")
+    every = df.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    return every.withColumns({p: up(c) for c, p in zip(columns, ("__px", "__py"))})
 
-    def axis(base: str, cell: str) -> tuple[Column, Column]:
-        b, lo, hi = F.col(base), F.col(cell) * factor, (F.col(cell) + 1) * factor
-        return (
-            F.greatest(lo - (b + 1), b - hi, F.lit(0)).cast("double"),
-            F.greatest(F.abs(hi - b), F.abs(b + 1 - lo)).cast("double"),
-        )
 
-    (x_lo, x_hi), (y_lo, y_hi) = axis("bx", "__cx"), axis("by", "__cy")
-    return F.sqrt(x_lo * x_lo + y_lo * y_lo), F.sqrt(x_hi * x_hi + y_hi * y_hi)
+def _around(df: DataFrame) -> DataFrame:
+    """A row for each of the cell (__px, __py) and its eight neighbours."""
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    return df.withColumn("__s", steps).withColumns({"__px": F.col("__px") + F.col("__s.i"), "__py": F.col("__py") + F.col("__s.j")}).drop("__s")
 
 
 def _candidates(base: DataFrame, road_cells: DataFrame, size: float, extent: float) -> DataFrame:
     """For base cells (bx, by): every road that can be nearest to a position in them.
 
-    Occupied road cells are searched from coarse to fine.  At each level a cell is
-    dropped when even its closest position lies behind the farthest position of a
-    better one, so only a handful survive per base cell, wherever the roads crowd.
+    Road cells are kept at all levels of a quadtree, with one road each.  A base
+    cell first meets the roads that stand for the cells around it at every level;
+    the least distance of its centre to one of them is a bound (partial minima, one
+    row per base cell).  Positions lie within half a diagonal of the centre, so only
+    roads up to a diagonal behind the bound can win, and these pass through the
+    cells around it at the first level that is wide enough.
     """
-    levels = max(1, math.ceil(math.log(2 * extent / size, 4)))
-    widest = 4**levels
-    per_base = Window.partitionBy("bx", "by")
-    occupied = road_cells.select(*_CELL).distinct().checkpoint()
-
-    # at the widest level all roads lie in the cells next to any base cell
-    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    found = base.withColumn("__s", shift).select(
-        "bx",
-        "by",
-        (cell_index(F.col("bx"), 1 / widest) + F.col("__s.i")).alias("__px"),
-        (cell_index(F.col("by"), 1 / widest) + F.col("__s.j")).alias("__py"),
+    last = max(1, math.ceil(math.log2(2 * extent / size)))
+    ends = ["x1", "y1", "x2", "y2"]
+    at = lambda e: segment_distance2((F.col("bx") + 0.5) * size, (F.col("by") + 0.5) * size, *[F.col(f"{e}{c}") for c in ends])
+    key = ["__level", "__px", "__py"]
+    tree = _levels(road_cells, _CELL, last)
+    standing = tree.groupBy(*key).agg(F.min(F.struct("road_id", *ends)).alias("r"))
+    based = _levels(base, ("bx", "by"), last)
+    bound = (
+        based.join(_around(standing.select(*key, "r.*")), key)
+        .groupBy("bx", "by").agg((F.sqrt(F.min(at(""))) + size * 2**0.5 * 1.000001).alias("__reach"))
     )
-    for level in range(levels - 1, -1, -1):
-        factor = 4**level
-        cells = occupied.select(*[cell_index(F.col(c), 1 / factor).alias(c) for c in _CELL]).distinct()
-        parents = [cell_index(F.col(c), 1 / 4).alias(p) for c, p in zip(_CELL, ("__px", "__py"))]
-        nearest, farthest = _cell_bounds(factor)
-        found = (
-            found.join(cells.select(*_CELL, *parents), ["__px", "__py"])
-            .withColumn("__best", F.min(farthest).over(per_base))
-            # the margin covers the slack with which roads were spread over cells
-            .where(nearest <= F.col("__best") + 0.01)
-            .select("bx", "by", F.col("__cx").alias("__px"), F.col("__cy").alias("__py"))
-        )
-    # distances to the centre decide the rest: positions are within half a diagonal
-    # of it, so a road more than a diagonal behind the best can never win
-    centre = [(F.col(c) + 0.5) * size for c in ("bx", "by")]
-    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    wide = F.greatest(F.ceil(F.log2(F.col("__reach") / size)), F.lit(0)).cast("int")
+    # the cells of a level that are as wide as the reach, or wider
+    wide = F.least(F.when(F.pow(F.lit(2.0), wide) * size < F.col("__reach"), wide + 1).otherwise(wide), F.lit(last))
+    level = bound.withColumn("__level", wide)
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__level"))).cast("bigint")
+    seen = _around(level.withColumns({"__px": up("bx"), "__py": up("by")}))
     return (
-        found.join(road_cells.withColumnsRenamed({"__cx": "__px", "__cy": "__py"}), ["__px", "__py"])
-        .withColumn("gap", F.sqrt(segment_distance2(*centre, *ends)))
-        .withColumn("best", F.min("gap").over(per_base))
-        .where(F.col("gap") <= F.col("best") + size * 2**0.5)
+        seen.join(tree.select(*key, "road_id", *ends).distinct(), key)
+        .where(F.sqrt(at("")) <= F.col("__reach"))
         .select("bx", "by", "road_id", *ends)
         .distinct()
     )

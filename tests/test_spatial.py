@@ -227,6 +227,21 @@ def test_components_and_depths(spark):
     assert depths[8] is not None and depths[1] is None  # the search ends after three rounds
 
 
+def test_nearest_where_roads_crowd(spark):
+    """All roads in one cell, points near and far; copies of a road; no window in the plan."""
+    rng = random.Random(14)
+    rows = [(i, *(1000 + rng.uniform(0, 9) for _ in range(4))) for i in range(120)]
+    rows += [(500 + i, *rows[i][1:]) for i in range(10)]
+    spots = [(rng.uniform(-3000, 3000), rng.uniform(-3000, 3000)) for _ in range(60)] + [(1000 + rng.uniform(0, 9), 1000 + rng.uniform(0, 9)) for _ in range(60)]
+    roads = spark.createDataFrame(rows, "road_id int, x1 double, y1 double, x2 double, y2 double")
+    found = spatial.nearest_road(spark.createDataFrame(spots, "x double, y double"), roads, "x", "y", 10.0)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.x, r.y): (r.road_id, round(r.distance, 6)) for r in found.collect()}
+    for s in spots:
+        distance, road = min((gap(*s, *r[1:]), r[0]) for r in rows)
+        assert got[s] == (road, round(distance, 6))
+
+
 def test_nearest_has_no_extent(spark):
     points = spark.createDataFrame([(5_000_000.0, 5_000_000.0), (1000.0, 1000.0)], "x double, y double")
     far = spark.createDataFrame([(1, -20_000.0, -20_000.0, -19_000.0, -20_000.0)], "road_id int, x1 double, y1 double, x2 double, y2 double")
