@@ -102,45 +102,3 @@ def test_edge_rows(make_docs):
     assert sorted((str(r.doc_id) for r in kept.collect())) == ["2", "3", "4", "7", "None"]
     empty = docs.limit(0)
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_first(empty).collect() == []
-
-
-def jaccard(a, b):
-    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b)))
-    return len(a & b) / len(a | b)
-
-
-def test_similar_texts_beyond_three_bits(make_docs):
-    rng = random.Random(23)
-    make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
-
-    def changed(words, n):
-        out = list(words)
-        for i in rng.sample(range(len(out)), n):
-            out[i] = f"x{rng.randrange(5000)}"
-        return out
-
-    texts = []
-    for n in [120, 200, 400, 900]:
-        for share in [60, 50, 40, 20, 12]:  # words a change: similarities on either side of 0.8
-            base = make(n)
-            texts += [base, changed(base, max(1, n // share)), changed(base, max(1, n // share))]
-    chain = [make(300)]  # neighbours are similar, ends are not
-    for _ in range(8):
-        chain.append(changed(chain[-1], 5))
-    texts = [" ".join(t) for t in texts + chain] + ["a b c", "A  b c", "", "a b c d e f"]
-    order = rng.sample(range(len(texts)), len(texts))
-    docs = [(k, texts[i]) for k, i in enumerate(order)]
-    prints, root = [brute_print(t) for _, t in docs], list(range(len(docs)))
-    far, links = 0, []
-    for i in range(len(docs)):
-        for j in range(i):
-            bits, like = (prints[i] ^ prints[j]).bit_count(), jaccard(docs[i][1], docs[j][1]) >= 0.8
-            far += like and bits > 3
-            links += [(j, i)] if like or bits <= 3 else []
-    for _ in docs:
-        for j, i in links:
-            root[i] = root[j] = min(root[i], root[j])
-    assert far
-    kept = sorted(r.doc_id for r in simhash.keep_first(make_docs(docs), similarity=0.8).collect())
-    assert kept == sorted(set(root))
-    assert len(kept) < simhash.keep_first(make_docs(docs)).count()
