@@ -31,6 +31,7 @@ from pyspark.sql.functions import arrow_udf
 
 from tarmac.llm.common import saved, text_bytes
 from tarmac.llm.components import connected_components
+from tarmac.session import scratch_path
 
 #: Rows of one block value that are compared in one piece.
 PIECE = 2048
@@ -153,11 +154,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each component of near copies: that of the smallest id, null ids last.
 
     Rows that repeat an id and a fingerprint are copies too; one of them stays.
+    Rows are written once with their fingerprint and a number; only numbers are
+    grouped, and whole rows stream past the kept ones, without a sort.
     """
-    lowest = -(1 << 63)  # stands for a null id where ids are compared for equality only
+    path = scratch_path(docs.sparkSession, "fingerprints")
     # whole rows are carried as one column, so that no name of theirs can clash
-    keyed = docs.select(F.struct("*").alias("row"), simhash_text(text_bytes(text_col)).alias("_fp"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("_id"))
-    prints = saved(keyed.select("_id", F.when(F.col("_id") != lowest, F.col("_id")).alias("doc_id"), F.col("_fp").alias("fp")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), F.col("_id"), F.col("fp").alias("_fp"))).alias("first")
-    stay = prints.join(_classes(prints, distance, blocks), "fp").groupBy("root").agg(first).select("first._id", "first._fp")
-    return keyed.join(stay, ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"]).select("row.*")
+    docs.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+        simhash_text(text_bytes(text_col)).alias("fp"), F.monotonically_increasing_id().alias("number"),
+    ).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "fp", "number")).alias("first")
+    stay = rows.select("doc_id", "fp", "number").join(_classes(rows.select("doc_id", "fp"), distance, blocks), "fp").groupBy("root").agg(first).select("first.number")
+    return rows.join(stay.hint("shuffle_hash"), "number", "left_semi").select("row.*")
