@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +31,55 @@ from pyspark.sql.functions import arrow_udf
 from tarmac.llm.common import saved, slices
 
 CAPACITY = 1024
-#: Words that a task remembers, and bytes of text that it asks the tokenizer about at once.
-_REMEMBERED, _GROUP = 300_000, 4 << 20
+#: Stretches that a process remembers, and bytes of text that it asks the tokenizer about at once.
+_REMEMBERED, _GROUP = 500_000, 4 << 20
 #: Stretches that go to the tokenizer as one text.
 _ROW = 256
 _TWO_SPACES = re.compile(r"\s\s")
+#: What a text must not hold if it is to be cut by classes of bytes: control characters, letters beyond Latin-1; two spaces in a row.
+_UNPLAIN = re.compile(r"[^ -~\n\t\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]")
+_PAIRS = [a + b for a in " \n\t" for b in " \n\t"]
+_LETTER, _DIGIT, _OTHER, _QUOTE, _BLANK, _BREAK = range(6)
+
+
+def _classes() -> np.ndarray:
+    out = np.full(256, _OTHER, dtype=np.uint8)
+    for signs, kind in ((string.ascii_letters.encode() + bytes(range(128, 256)), _LETTER), (string.digits.encode(), _DIGIT), (b"'", _QUOTE), (b" ", _BLANK), (b"\n\t\x01", _BREAK)):
+        out[list(signs)] = kind
+    return out
+
+
+def _borders() -> np.ndarray:
+    """Whether a token surely ends between two classes; around an apostrophe it may not, a blank goes with what follows."""
+    left, right = np.indices((6, 6))
+    runs = (left != right) & (left != _QUOTE) & (right != _QUOTE) & (left != _BLANK)
+    return (runs | (right >= _BLANK) | (left == _BREAK)).ravel()
+
+
+_CLASS, _BORDER = _classes(), _borders()
+
+
+def stretches(texts: list[bytes]) -> list[list[bytes]]:
+    """Plain texts, each cut wherever a run of letters, of digits or of other signs ends."""
+    data = np.frombuffer(b"\x01".join(texts), np.uint8)
+    if not len(data):
+        return [[] for _ in texts]
+    kind = _CLASS[data]
+    cut = np.flatnonzero(_BORDER[kind[:-1] * np.uint8(6) + kind[1:]]) + 1
+    parts = np.insert(data, cut, 0).tobytes().split(b"\x00")
+    ends = [*np.flatnonzero(data[np.append(0, cut)] == 1).tolist(), len(parts)]
+    return [parts[a:b] for a, b in zip([0, *[e + 1 for e in ends]], ends)]
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit numbers, by the tokenizers library.
 
-    Where no two space characters meet, a byte-level tokenizer treats every blank
-    and what follows up to the next blank apart.  Those stretches are encoded once
-    and remembered; new ones go to the library in long rows, which the lengths of
-    the tokens take apart again.  Other texts are encoded as they are.
+    A text's stretches that the tokenizer treats apart are encoded once and
+    remembered; new ones go to the library in long rows, which the lengths of the
+    tokens take apart again.  Where the tokenizer cuts at letters, digits and other
+    signs, plain texts are cut so too.  In texts where no two space characters
+    meet, every blank and what follows up to the next one is a stretch.  Other
+    texts are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -52,38 +89,66 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        special = {i: len(t.content.encode()) for i, t in self.library.get_added_tokens_decoder().items()}
+        added = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
+        special = {i: len(content.encode()) for i, content in added.items()}
         vocab = self.library.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.bytes_of[i] = special.get(i, len(token))  # byte-level: a character stands for a byte
-        self.known: dict[str, bytes] = {}
+        cutter = self.library.pre_tokenizer
+        self.cuts_by_class = bool(getattr(cutter, "use_regex", False)) and not cutter.add_prefix_space and self.library.normalizer is None
+        self.apart = [*_PAIRS, *added.values()]
+        self.known: dict[str | bytes, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, stretches: list[str]) -> None:
-        """Stretches that begin with a blank and end otherwise, joined into rows."""
-        rows = [stretches[i : i + _ROW] for i in range(0, len(stretches), _ROW)]
-        for row, ids in zip(rows, self._ask(["".join(r) for r in rows])):
-            ends = np.cumsum([len(s.encode()) for s in row])
+    def _learn(self, new: list[str] | list[bytes], after: bytes = b"") -> None:
+        """Stretches joined into rows; what comes ``after`` each is one token or nothing."""
+        rows = [new[i : i + _ROW] for i in range(0, len(new), _ROW)]
+        data = [[s if isinstance(s, bytes) else s.encode() for s in row] for row in rows]
+        for row, own, ids in zip(rows, data, self._ask([(after.join(d) + after).decode() for d in data])):
+            ends = np.cumsum([len(s) + len(after) for s in own])
             cut = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 4).tolist()
-            data = ids.tobytes()
-            self.known.update(zip(row, [data[a:b] for a, b in zip([0, *cut], cut)]))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
+            found = ids.tobytes()
+            self.known.update(zip(row, [found[a : b - 4 * len(after)] for a, b in zip([0, *cut], cut)]))
+
+    def _plain(self, text: str) -> bool:
+        return self.cuts_by_class and not _UNPLAIN.search(text) and not any(x in text for x in self.apart)
+
+    def _by_class(self, texts: list[bytes]) -> list[bytes]:
+        parts = stretches(texts)
+        new = set().union(*parts) - self.known.keys()
+        self._learn([s for s in new if len(s) > 1 and s[0] == 32])
+        self._learn([s for s in new if s[0] not in b" \n\t"], b"\n")
+        alone = [s for s in new if s in (b" ", b"\n", b"\t")]
+        self.known.update(zip(alone, [x.tobytes() for x in self._ask([s.decode() for s in alone])]))
+        return [b"".join(map(self.known.__getitem__, x)) for x in parts]
+
+    def _by_blank(self, texts: list[str]) -> list[bytes]:
         known = self.known
         parts = [None if "\x00" in t or _TWO_SPACES.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
         new = set().union(*[x for x in parts if x is not None]) - known.keys()
-        joined = [s for s in new if len(s) > 1 and s[0] == " "]
         alone = [s for s in new if len(s) < 2 or s[0] != " "]
-        self._learn(joined)
+        self._learn([s for s in new if len(s) > 1 and s[0] == " "])
         known.update(zip(alone, [x.tobytes() for x in self._ask(alone)]))
         whole = iter(self._ask([t for t, x in zip(texts, parts) if x is None]))
         return [next(whole).tobytes() if x is None else b"".join(map(known.__getitem__, x)) for x in parts]
 
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > _REMEMBERED:
+            self.known.clear()
+        plain = [*map(self._plain, texts)]
+        by_class = iter(self._by_class([t.encode() for t, p in zip(texts, plain) if p]))
+        by_blank = iter(self._by_blank([t for t, p in zip(texts, plain) if not p]))
+        return [next(by_class if p else by_blank) for p in plain]
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a Python process."""
+    return Encoder(path)
+
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 2) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every piece of at most ``capacity`` tokens."""
@@ -92,7 +157,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = None, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            encoder = encoder or Encoder(path)
+            encoder = encoder or _encoder(path)
             for part in slices(batch, 1, _GROUP):
                 rows = []
                 for name, ids in zip(part.column(0).to_pylist(), encoder(part.column(1).to_pylist())):
