@@ -95,3 +95,13 @@ def test_one_hot_length_is_numbered_in_parts(spark):
     for r in got:
         by[r.length].append(r["rank"])
     assert len(got) == 3000 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_stretches_keep_the_ids_of_odd_texts():
+    signs = ["a", "re", "'", "'s", "1", "23", ".", "!", " ", "\n", "\t", "é", "×", "\x00", "\x01", "中", "<|endoftext|>", "<|", "M'", "\x1c"]
+    rng = np.random.default_rng(3)
+    texts = ["".join(signs[i] for i in rng.integers(0, len(signs), n)) for n in rng.integers(0, 12, 5000)]
+    encoder = packing.Encoder(PATH)
+    assert any(map(encoder._plain, texts)) and not all(map(encoder._plain, texts))
+    wanted = encoder.library.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == [e.ids for e in wanted]
