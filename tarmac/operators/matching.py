@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.operators.quality import null_counts
+from tarmac.session import ensure_checkpointing
 
 
 def schema_drift(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -104,8 +105,13 @@ def _keys(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
-    """Pairs of names to be measured: a shared key, lengths within two of each other."""
-    names = [df.select(F.col(on).cast("string").alias("name")).where(F.col("name").isNotNull()).distinct() for df, on in ((left, left_on), (right, right_on))]
+    """Pairs of names to be measured: a shared key, lengths within two of each other.
+
+    The distinct names are stored first: the optimiser moves filters on what is made
+    of a name below ``distinct``, where it would be made again for every row.
+    """
+    ensure_checkpointing(left.sparkSession)
+    names = [df.select(F.col(on).cast("string").alias("name")).where(F.col("name").isNotNull()).distinct().checkpoint() for df, on in ((left, left_on), (right, right_on))]
     a, b = _keys(*names)
     near = F.abs(F.length("a") - F.length("b")) <= _EDITS
     return a.toDF("a", "key").join(b.toDF("b", "key"), "key").where(near).select(F.col("a").alias(left_on), F.col("b").alias(right_on)).distinct()

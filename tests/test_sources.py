@@ -333,6 +333,15 @@ def within_two(a, b):
     return row[-1] <= 2
 
 
+def test_fuzzy_keys_are_made_once_per_name(spark, tmp_path):
+    """However many rows have a name: nothing made of names is evaluated on the rows."""
+    spark.range(5000).select(F.concat(F.lit("name "), (F.col("id") % 5).cast("string")).alias("old")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    found = matching.fuzzy_candidates(rows, rows.select(F.concat("old", F.lit("s")).alias("new")), "old", "new")
+    assert "parquet" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    assert found.count() == 25
+
+
 def test_fuzzy_candidates_are_complete_and_few(spark):
     rng = random.Random(12)
     names = {"".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(250)} | {"", "ab", "ba", "aaaaaaaa", "aaaaaa"}
