@@ -227,6 +227,18 @@ def test_components_and_depths(spark):
     assert depths[8] is not None and depths[1] is None  # the search ends after three rounds
 
 
+def test_the_busiest_junction_may_lie_at_the_edge(spark, monkeypatch):
+    """A path with a star at its end: in five steps all roads reach all others, which a search from the star does not show."""
+    links = [(i, f"p{i}", f"p{i + 1}") for i in range(5)] + [(10 + i, "p5", f"s{i}") for i in range(3)]
+    ends, near = road_ends(links)
+    values = {r: r % 7 for r, *_ in links}
+    asked, keep = [], network.neighbourhood
+    monkeypatch.setattr(network, "neighbourhood", lambda roads, own, n: asked.append(roads.count()) or keep(roads, own, n))
+    df, counts = spark.createDataFrame(ends, "road_id int, junction string"), spark.createDataFrame(list(values.items()), "road_id int, n int")
+    got = {r.road_id: round(r.smoothed, 9) for r in network.smooth(counts, df, 5, 1).collect()}
+    assert got == smoothed(values, near, 5) and asked == [0]
+
+
 def test_nearest_where_roads_crowd(spark):
     """All roads in one cell, points near and far; copies of a road; no window in the plan."""
     rng = random.Random(14)
