@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -279,13 +280,51 @@ def _candidates(base: DataFrame, road_cells: DataFrame, size: float, extent: flo
     )
 
 
+#: Cells with more roads to choose from and more positions than these are quartered, so many times at most.
+_MANY_ROADS, _MANY_SPOTS, _QUARTERINGS = 64, 16, 12
+
+
+def _at_level(df: DataFrame, size: float, level: int) -> DataFrame:
+    """The cell (bx, by) of each position when base cells were quartered ``level`` times."""
+    return df.withColumns({"bx": cell_index(F.col("x"), 2.0**level / size), "by": cell_index(F.col("y"), 2.0**level / size), "__level": F.lit(level)})
+
+
+def _quartered(candidates: DataFrame, spots: DataFrame, size: float) -> DataFrame:
+    """Rows (__level, bx, by, road_id, ...): cells that hold every position once, with the roads that can be nearest to one in them.
+
+    A quarter of a cell takes from the cell's roads those up to its diagonal behind
+    the one nearest to its centre.  So the roads that a position is measured to stay
+    few however densely roads lie, and only crowded cells are looked at again.
+    """
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    leaves = []
+    for level in range(_QUARTERINGS + 1):
+        roads = candidates.groupBy("bx", "by").agg(F.count("*").alias("__n"))
+        held = _at_level(spots, size, level).groupBy("bx", "by").agg(F.count("*").alias("__spots"))
+        crowded = (F.col("__n") > _MANY_ROADS) & (F.col("__spots") > _MANY_SPOTS) & F.lit(level < _QUARTERINGS)
+        cells = roads.join(held, ["bx", "by"]).withColumn("crowded", crowded).checkpoint()
+        leaves.append(candidates.join(cells.where(~F.col("crowded")), ["bx", "by"], "left_semi").withColumn("__level", F.lit(level)))
+        if cells.where("crowded").isEmpty():
+            break
+        width = size / 2.0 ** (level + 1)
+        half = lambda c: F.floor(F.col(c) / 2).cast("bigint")
+        quarters = _at_level(spots, size, level + 1).select(F.col("bx").alias("qx"), F.col("by").alias("qy")).distinct()
+        quarters = quarters.withColumns({"bx": half("qx"), "by": half("qy")}).join(cells.where("crowded").select("bx", "by"), ["bx", "by"])
+        gap = F.sqrt(segment_distance2((F.col("qx") + 0.5) * width, (F.col("qy") + 0.5) * width, *ends))
+        rows = quarters.join(candidates, ["bx", "by"]).drop("bx", "by").withColumn("__gap", gap)
+        least = rows.groupBy("qx", "qy").agg((F.min("__gap") + width * 2**0.5 * 1.000001).alias("__reach"))
+        candidates = rows.join(least, ["qx", "qy"]).where(F.col("__gap") <= F.col("__reach")).drop("__gap", "__reach").withColumnsRenamed({"qx": "bx", "qy": "by"}).checkpoint()
+    return reduce(DataFrame.unionByName, leaves)
+
+
 def nearest_road(points: DataFrame, roads: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """Distinct positions with their nearest road (``road_id``, ``distance``, ``n``
     points there); ties go to the lowest id.
 
     The search runs over occupied base cells, of which there are at most
-    (extent / size) squared however many points fall in them; the points themselves
-    are joined once, at the end.  The extent is that of the data.
+    (extent / size) squared however many points fall in them, and over quarters of
+    crowded ones; the points themselves are joined at the end, with the few roads of
+    their cells, and no pairs are shuffled or sorted.  The extent is that of the data.
     """
     # roads in the very same place are one candidate: the lowest id wins anyway
     ensure_checkpointing(points.sparkSession)
@@ -294,18 +333,17 @@ def nearest_road(points: DataFrame, roads: DataFrame, x: str, y: str, size: floa
     )
     spots = points.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
         F.count("*").alias("n")
-    )
-    spots = spots.withColumns({"bx": cell_index(F.col("x"), 1 / size), "by": cell_index(F.col("y"), 1 / size)})
-    candidates = _candidates(spots.select("bx", "by").distinct(), _road_cells(roads, size, 0.0).checkpoint(), size, _extent(spots, roads, size))
-    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    gap = F.sqrt(segment_distance2(F.col("x"), F.col("y"), *ends))
-    winner = F.min(F.struct(gap.alias("distance"), F.col("road_id")))
-    return (
-        spots.join(candidates, ["bx", "by"])
-        .groupBy("x", "y", "n")
-        .agg(winner.alias("w"))
-        .select("x", "y", "n", "w.road_id", "w.distance")
-    )
+    ).checkpoint()
+    base = _at_level(spots, size, 0).select("bx", "by").distinct()
+    candidates = _candidates(base, _road_cells(roads, size, 0.0).checkpoint(), size, _extent(spots, roads, size)).checkpoint()
+    cells = _quartered(candidates, spots, size).checkpoint()
+    levels = sorted(r[0] for r in cells.select("__level").distinct().collect()) or [0]
+    placed = reduce(DataFrame.unionByName, [_at_level(spots, size, level) for level in levels])
+    key = ["__level", "bx", "by"]
+    gap = F.sqrt(segment_distance2(F.col("x"), F.col("y"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")]))
+    # minima of plain numbers need no sort: first the least distance, then the least id at that distance
+    least = placed.join(cells, key).groupBy(*key, "x", "y", "n").agg(F.min(gap).alias("distance"))
+    return least.join(cells, key).where(gap == F.col("distance")).groupBy("x", "y", "n", "distance").agg(F.min("road_id").alias("road_id")).select("x", "y", "n", "road_id", "distance")
 
 
 def _extent(spots: DataFrame, roads: DataFrame, size: float) -> float:

@@ -254,6 +254,22 @@ def test_nearest_where_roads_crowd(spark):
         assert got[s] == (road, round(distance, 6))
 
 
+def test_nearest_quarters_crowded_cells(spark):
+    """Many roads and positions in one base cell: few roads are measured per position, and nothing is sorted for it."""
+    rng = random.Random(15)
+    rows = [(i, *(a := (rng.uniform(0, 1000), rng.uniform(0, 1000))), a[0] + rng.uniform(-20, 20), a[1] + rng.uniform(-20, 20)) for i in range(500)]
+    rows += [(900, 500.0, 0.0, 500.0, 8.0), (901, 500.0, 12.0, 500.0, 20.0)]  # as far from a quarter's corner
+    spots = [(rng.uniform(-50, 1050), rng.uniform(-50, 1050)) for _ in range(150)] + [(500.0, 10.0)]
+    points, roads = spark.createDataFrame(spots, "x double, y double"), spark.createDataFrame(rows, "road_id int, x1 double, y1 double, x2 double, y2 double")
+    found = spatial.nearest_road(points, roads, "x", "y", 1000.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "CartesianProduct" not in plan
+    got = {(r.x, r.y): (r.road_id, round(r.distance, 6)) for r in found.collect()}
+    for s in spots:
+        distance, road = min((gap(*s, *r[1:]), r[0]) for r in rows)
+        assert got[s] == (road, round(distance, 6))
+
+
 def test_nearest_has_no_extent(spark):
     points = spark.createDataFrame([(5_000_000.0, 5_000_000.0), (1000.0, 1000.0)], "x double, y double")
     far = spark.createDataFrame([(1, -20_000.0, -20_000.0, -19_000.0, -20_000.0)], "road_id int, x1 double, y1 double, x2 double, y2 double")
