@@ -11,7 +11,7 @@ from tarmac.catalogue.roles import _VEHICLE_TYPES, casualty, collision, table, v
 from tarmac.model import CODE_MAP
 from tarmac.operators import clean, decode, hotspots, kpi, matching
 from tarmac.plans import etl
-from tarmac.session import scratch_path
+from tarmac.session import scratch_path, side_by_side
 from tarmac.sources import geojson, records, tables
 
 catalogue = Catalogue()
@@ -245,7 +245,6 @@ _ALL_CODES = _CODES + [
 def _built(spark, d):
     """All tables of the cleaning run over the given tables as raw, coded CSV files."""
     raw = scratch_path(spark, "raw")
-    tables.write_csv(raw_collisions(spark, d), f"{raw}/collision")
     coded = lambda kind, c: F.array_position(F.array(*map(F.lit, _LABELS[kind, c])), F.col(c)) if (kind, c) in _LABELS else F.col(c)
     headers = {
         "collision_index": "Collision Index", "vehicle_reference": "Vehicle Reference", "vehicle_type": "Vehicle Type",
@@ -255,8 +254,10 @@ def _built(spark, d):
         "vehicle": (vehicle(spark, d), ["collision_index", "vehicle_reference", "vehicle_type", "engine_capacity_cc"]),
         "casualty": (casualty(spark, d), ["collision_index", "vehicle_reference", "casualty_class", "casualty_severity"]),
     }
-    for kind, (df, columns) in sources.items():
-        tables.write_csv(df.select(*[coded(kind, c).alias(headers[c]) for c in columns]), f"{raw}/{kind}")
+    with side_by_side(spark, 3) as start:
+        start(tables.write_csv, raw_collisions(spark, d), f"{raw}/collision")
+        for kind, (df, columns) in sources.items():
+            start(tables.write_csv, df.select(*[coded(kind, c).alias(headers[c]) for c in columns]), f"{raw}/{kind}")
     files = {kind: f"{raw}/{kind}" for kind in ("collision", "vehicle", "casualty")}
     return etl.run(spark, files, spark.createDataFrame(_ALL_CODES, CODE_MAP), scratch_path(spark, "etl"))
 

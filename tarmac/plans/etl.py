@@ -1,7 +1,8 @@
 """The cleaning run: raw files to consistent tables and aggregates.
 
 Each table is written before the next step reads it, so nothing is computed
-twice and a lost executor costs only the stage it was in.
+twice and a lost executor costs only the stage it was in.  Steps that do not need
+each other run side by side.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tarmac.functions.geo import with_lonlat
 from tarmac.functions.names import normalise_headers
 from tarmac.operators import clean, decode, hotspots, joins, kpi
+from tarmac.session import side_by_side
 from tarmac.sources import records, tables
 
 
@@ -111,31 +113,51 @@ def run(
         by_key = (buckets, joins.COLLISION_KEY) if hashed and buckets is not None else None
         return tables.replace_table(df, database, name, out, partition_by, sort_by, by_key)
 
-    result["code_map"] = store(code_map, "code_map")
-    cleaned: dict[str, DataFrame] = {}
-    for kind, path in files.items():
+    def cleaned_table(kind: str, path: str | list[str]) -> tuple[DataFrame, dict[str, int]]:
         dropped: dict[str, Observation] = {}
         df = clean_table(records.read_csv(spark, path), kind, code_map, dropped)
         if kind == "collision":  # no key to enforce: cleaned and final are the same
-            cleaned[kind] = result[kind] = store(df, kind, ["year"], hashed=True)
+            stored = store(df, kind, ["year"], hashed=True)
         else:
-            cleaned[kind] = store(df, f"cleaned_{kind}", hashed=True)
-        result.dropped[kind] = {reason: seen.get["n"] for reason, seen in dropped.items()}
-        tables.write_csv(cleaned[kind], f"{out}/csv/{kind}")
-    for kind in ("vehicle", "casualty"):
-        if kind not in cleaned:
-            continue
-        if "collision" not in result:
-            result[kind] = store(cleaned[kind], kind, hashed=True)
-            continue
+            stored = store(df, f"cleaned_{kind}", hashed=True)
+        start(tables.write_csv, stored, f"{out}/csv/{kind}")
+        return stored, {reason: seen.get["n"] for reason, seen in dropped.items()}
+
+    def kept_table(kind: str) -> tuple[DataFrame, int | None]:
+        child, _ = cleaned[kind].result()
+        if "collision" not in cleaned:
+            return store(child, kind, hashed=True), None
         seen, kept = Observation(), Observation()
-        result[kind] = store(joins.keep_children(cleaned[kind], result["collision"], seen=seen, kept=kept), kind, hashed=True)
-        result.dropped[kind]["orphans"] = seen.get["n"] - kept.get["n"]
-    if {"collision", "vehicle", "casualty"} <= set(result):
-        result["master"] = store(joins.master(result["collision"], result["vehicle"], result["casualty"]), "master")
-        tables.write_csv(result["master"], f"{out}/csv/master")
-    if "collision" in result:
-        for name, build in AGGREGATES.items():
-            by_place = name in _BY_YEAR_AND_PLACE
-            result[name] = store(build(result["collision"]), name, ["year"] if by_place else (), [F.floor("latitude"), F.floor("longitude")] if by_place else ())
+        collision, _ = cleaned["collision"].result()
+        stored = store(joins.keep_children(child, collision, seen=seen, kept=kept), kind, hashed=True)
+        return stored, seen.get["n"] - kept.get["n"]
+
+    def master() -> DataFrame:
+        stored = store(joins.master(cleaned["collision"].result()[0], *[final[kind].result()[0] for kind in ("vehicle", "casualty")]), "master")
+        start(tables.write_csv, stored, f"{out}/csv/master")
+        return stored
+
+    def aggregate(name: str) -> DataFrame:
+        by_place = name in _BY_YEAR_AND_PLACE
+        df = AGGREGATES[name](cleaned["collision"].result()[0])
+        return store(df, name, ["year"] if by_place else (), [F.floor("latitude"), F.floor("longitude")] if by_place else ())
+
+    result["code_map"] = store(code_map, "code_map")
+    with side_by_side(spark, len(files) + len(AGGREGATES)) as start:
+        cleaned = {kind: start(cleaned_table, kind, path) for kind, path in files.items()}
+        final = {kind: start(kept_table, kind) for kind in ("vehicle", "casualty") if kind in cleaned}
+        whole = start(master) if {"collision", *final} == {"collision", "vehicle", "casualty"} and "collision" in cleaned else None
+        built = {name: start(aggregate, name) for name in AGGREGATES} if "collision" in cleaned else {}
+    for kind, future in cleaned.items():
+        stored, result.dropped[kind] = future.result()
+        if kind == "collision":
+            result[kind] = stored
+    for kind, future in final.items():
+        result[kind], orphans = future.result()
+        if orphans is not None:
+            result.dropped[kind]["orphans"] = orphans
+    if whole is not None:
+        result["master"] = whole.result()
+    for name, future in built.items():
+        result[name] = future.result()
     return result

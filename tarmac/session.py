@@ -6,7 +6,11 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 
@@ -63,3 +67,27 @@ def ensure_checkpointing(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
+
+
+@contextmanager
+def side_by_side(spark: SparkSession, steps: int) -> Iterator[Callable[..., Future]]:
+    """``start(step, *arguments)`` runs up to ``steps`` steps at once in threads of the driver.
+
+    Jobs of one step then use the cores that the last tasks of another leave idle.
+    A step may wait for one that was started before it.  Leaving the block waits
+    for all; if one fails, those not yet begun are left out and its error is raised.
+    """
+    started: list[Future] = []
+    with ThreadPoolExecutor(steps) as pool:
+
+        def start(step: Callable, *arguments) -> Future:
+            started.append(pool.submit(inheritable_thread_target(spark)(step), *arguments))
+            return started[-1]
+
+        try:
+            yield start
+            for future in started:  # steps may start further ones meanwhile
+                future.result()
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise

@@ -1,6 +1,7 @@
 import csv
 import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tarmac.functions.predicates import TimeFilter
 from tarmac.model import CODE_MAP
 from tarmac.operators import decode, joins, matching, models, quality
 from tarmac.plans import dashboard, etl
+from tarmac.session import side_by_side
 from tarmac.sources import geojson, records, tables
 
 CODES = [
@@ -120,6 +122,42 @@ def test_dropped_rows_are_counted_while_tables_are_written(spark, built):
         assert joins.orphans(raw, result["collision"]).count() == n
 
 
+def test_steps_that_do_not_need_each_other_run_side_by_side(spark, built, tmp_path, monkeypatch):
+    _, folder, _ = built
+    files = {k: f"{folder}/dft-road-casualty-statistics-{k}-2020.csv" for k in ("collision", "vehicle", "casualty")}
+    together, clean_table = threading.Barrier(3, timeout=60), etl.clean_table
+
+    def waiting(*arguments):
+        together.wait()  # goes on when all three kinds are here, and breaks if they come one by one
+        return clean_table(*arguments)
+
+    monkeypatch.setattr(etl, "clean_table", waiting)
+    try:
+        result = etl.run(spark, files, spark.createDataFrame(CODES, CODE_MAP), str(tmp_path), database="beside")
+        assert result["master"].count() == 3
+        assert list(result)[:5] == ["code_map", "collision", "vehicle", "casualty", "master"] and list(result)[5:] == list(etl.AGGREGATES)
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS beside CASCADE")
+        spark.sql("DROP DATABASE IF EXISTS beside_versions CASCADE")
+
+
+def test_an_error_of_one_step_is_raised_and_ends_the_rest(spark):
+    done = []
+
+    def second(first):
+        first.result()
+        done.append(2)
+
+    with pytest.raises(ValueError, match="first"):
+        with side_by_side(spark, 2) as start:
+
+            def fails():
+                raise ValueError("first")
+
+            start(second, start(fails))
+    assert done == []
+
+
 def test_a_new_version_cuts_nobody_off(spark, tmp_path):
     root = str(tmp_path)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS swapped LOCATION '{root}/db'")
