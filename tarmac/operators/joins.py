@@ -28,10 +28,17 @@ def casualty_with_collision(casualty: DataFrame, collision: DataFrame) -> DataFr
 
 
 def master(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame) -> DataFrame:
-    """The denormalised table.  Casualties without a matching vehicle are kept."""
-    both = casualty_with_collision(casualty, collision)
-    left, right = _suffix_clashes(both, vehicle, VEHICLE_KEY, ("", "_veh"))
-    return left.join(right, list(VEHICLE_KEY), "left")
+    """The denormalised table.  Casualties without a matching vehicle are kept.
+
+    Columns are named and ordered as if the collision came first; it is joined last,
+    so that its many columns are not shuffled again, once per casualty.
+    """
+    people, places = _suffix_clashes(casualty, collision, [COLLISION_KEY], ("_cas", "_col"))
+    named = {*people.columns, *places.columns}
+    vehicles = vehicle.withColumnsRenamed({c: f"{c}_veh" for c in vehicle.columns if c in named and c not in VEHICLE_KEY})
+    seated = people.join(vehicles, list(VEHICLE_KEY), "left")
+    others = [c for df in (people, places, vehicles) for c in df.columns if c not in VEHICLE_KEY]
+    return seated.join(places, COLLISION_KEY, "left").select(*VEHICLE_KEY, *others)
 
 
 def keep_children(

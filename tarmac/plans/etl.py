@@ -93,11 +93,13 @@ def run(
     out: str,
     buckets: int | None = None,
     database: str = DATABASE,
+    csv_compression: str = "gzip",
 ) -> Tables:
     """Clean ``files`` (kind to path) into Parquet tables below ``out``.
 
     The cleaned CSV copies are written before keys are enforced, so they still hold
-    orphans; the tables do not.  Collisions and the map tables are partitioned by
+    orphans; the tables do not.  They are the largest part of what is written, so
+    they are compressed (``csv_compression``; ``none`` for plain text).  Collisions and the map tables are partitioned by
     year.  All results are tables of ``database``, which is made if it is missing;
     their files stay below ``out``.  A further run puts new versions in their place
     one by one (``tables.replace_table``): readers of the old ones are not cut off.
@@ -120,7 +122,7 @@ def run(
             stored = store(df, kind, ["year"], hashed=True)
         else:
             stored = store(df, f"cleaned_{kind}", hashed=True)
-        start(tables.write_csv, stored, f"{out}/csv/{kind}")
+        start(tables.write_csv, stored, f"{out}/csv/{kind}", csv_compression)
         return stored, {reason: seen.get["n"] for reason, seen in dropped.items()}
 
     def kept_table(kind: str) -> tuple[DataFrame, int | None]:
@@ -134,7 +136,7 @@ def run(
 
     def master() -> DataFrame:
         stored = store(joins.master(cleaned["collision"].result()[0], *[final[kind].result()[0] for kind in ("vehicle", "casualty")]), "master")
-        start(tables.write_csv, stored, f"{out}/csv/master")
+        start(tables.write_csv, stored, f"{out}/csv/master", csv_compression)
         return stored
 
     def aggregate(name: str) -> DataFrame:

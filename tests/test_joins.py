@@ -23,6 +23,20 @@ def test_master_keeps_unmatched_and_suffixes(spark):
     assert got == {("a", 1): (2020, 2020, "Car"), ("a", 0): (2020, 2020, None), ("zz", 1): (1999, None, None)}
 
 
+def test_master_joins_the_wide_collisions_last(spark):
+    """Names, order and multiplicity as if they came first, also where names clash and keys repeat or are null."""
+    collision = spark.createDataFrame([("a", 1, 7, 5), ("a", 2, 8, 6), ("b", 3, 9, 7), (None, 4, 9, 8)], "collision_index string, x int, y int, z_veh int")
+    vehicle = spark.createDataFrame([(1, "a", 5, 10, 3), (1, "a", 6, 11, 4), (None, "b", 7, 12, 5), (2, "zz", 7, 13, 6)], "vehicle_reference int, collision_index string, x int, y int, x_cas int")
+    casualty = spark.createDataFrame([(20, "a", 1, 3), (21, "a", 1, 4), (22, "b", None, 5), (23, "zz", 2, 6), (24, None, 1, 7)], "x int, collision_index string, vehicle_reference int, z int")
+    out = joins.master(collision, vehicle, casualty)
+    both = joins.casualty_with_collision(casualty, collision)
+    first = both.join(vehicle.withColumnsRenamed({"y": "y_veh", "x_cas": "x_cas_veh"}), ["collision_index", "vehicle_reference"], "left")
+    assert out.columns == first.columns and len(set(out.columns)) == len(out.columns)
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, first.collect()))
+    top = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line)
+    assert "collision_index" in top and "vehicle_reference" not in top
+
+
 def test_orphans_after_coordinate_drop(spark):
     parent = spark.createDataFrame([("a",), ("b",)], "collision_index string")
     child = spark.createDataFrame([("a", 1), ("a", 2), ("c", 1), (None, 1)], "collision_index string, n int")

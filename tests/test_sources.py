@@ -1,4 +1,5 @@
 import csv
+import glob
 import json
 import random
 import threading
@@ -122,6 +123,23 @@ def test_dropped_rows_are_counted_while_tables_are_written(spark, built):
         assert joins.orphans(raw, result["collision"]).count() == n
 
 
+def test_csv_copies_are_compressed_unless_asked_otherwise(spark, built, tmp_path):
+    _, folder, out = built
+    for kind in ("collision", "vehicle", "casualty", "master"):
+        copies = glob.glob(f"{out}/csv/{kind}/part-*")
+        assert copies and all(c.endswith(".csv.gz") for c in copies)
+    files = {"collision": f"{folder}/dft-road-casualty-statistics-collision-2020.csv"}
+    try:
+        etl.run(spark, files, spark.createDataFrame(CODES, CODE_MAP), str(tmp_path), database="plain", csv_compression="none")
+        copies = glob.glob(f"{tmp_path}/csv/collision/part-*")
+        assert copies and all(c.endswith(".csv") for c in copies)
+        read = lambda path: sorted(map(str, spark.read.option("header", True).csv(path).collect()))
+        assert read(f"{tmp_path}/csv/collision") == read(f"{out}/csv/collision")
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS plain CASCADE")
+        spark.sql("DROP DATABASE IF EXISTS plain_versions CASCADE")
+
+
 def test_steps_that_do_not_need_each_other_run_side_by_side(spark, built, tmp_path, monkeypatch):
     _, folder, _ = built
     files = {k: f"{folder}/dft-road-casualty-statistics-{k}-2020.csv" for k in ("collision", "vehicle", "casualty")}
