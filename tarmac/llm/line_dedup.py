@@ -44,6 +44,9 @@ CHUNK_BYTES = 3 << 20
 _SHORT = 5
 _SPACE = np.isin(np.arange(256), np.frombuffer(ASCII_SPACE, np.uint8))
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTE_VALUES[_SPACE] = 0
+#: Bytes hashed at once: what that takes stays in a core's cache.
+_BLOCK = 1 << 16
 _STEP = 0xD1342543DE82EF95
 #: Bytes of a word beyond which it is hashed as a whole.
 _LONG_WORD = 1024
@@ -61,18 +64,57 @@ def _table(ddl: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], _KINDS[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
+def _hashed_words(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A hash per word: the values of its bytes times powers of a base, summed (blanks have the value 0)."""
+    out = np.empty(len(begin), dtype=np.uint64)
+    cut = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(data), _BLOCK)), len(begin)))
+    edge = np.append(begin, len(data))[cut]
+    powers, back = _powers(int(np.diff(edge).max(initial=0)))
+    for i, j, a, b in zip(cut[:-1], cut[1:], edge[:-1], edge[1:]):
+        values = _BYTE_VALUES[data[a:b]]
+        values *= powers[: b - a]
+        at = begin[i:j] - a
+        out[i:j] = np.add.reduceat(values, at) * back[at]
+    return mix(out)
+
+
+def _reuse_memory() -> None:
+    """An array of this size, freed untouched, makes malloc keep up to twice as much for the next arrays, which fresh pages would slow down."""
+    np.empty(31 << 20, np.uint8)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from 0."""
+    powers, back = np.full(n, BASES[0], dtype=np.uint64), np.full(n, pow(BASES[0], -1, 1 << 64), dtype=np.uint64)
+    powers[:1] = back[:1] = 1
+    return np.cumprod(powers, out=powers), np.cumprod(back, out=back)
+
+
+def _among(h: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    """Where hashes of so many bits are one of the sorted ``values``, which are few."""
+    if not len(values):
+        return np.zeros(0, dtype=np.int64)
+    leading = np.uint64(bits - 20)
+    some = np.zeros(1 << 20, dtype=bool)
+    some[values >> leading] = True
+    at = np.flatnonzero(some[h >> leading])
+    place = np.minimum(np.searchsorted(values, h[at]), len(values) - 1)
+    return at[values[place] == h[at]]
+
+
 class _Lines:
     """A chunk's lines in corpus order, as ranges of its words; words are hashed by their bytes."""
 
     def __init__(self, rows: pa.Table, least_words: int):
+        _reuse_memory()
         self.number = rows.column("chunk")[0].as_py()
         self.rows = in_order(rows)
         self.texts = self.rows.column("text").to_pylist()
         data = np.frombuffer(b"\n".join(self.texts) + b"\n", np.uint8)
-        blank = _SPACE[data]
-        edge = np.diff(blank.astype(np.int8), prepend=1)
-        self.begin, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge[1:] == 1) + 1
-        self.word = Rolling(_BYTE_VALUES[data]).at(self.begin, self.end)
+        blank = np.append(True, _SPACE[data])
+        edge = np.flatnonzero(blank[1:] != blank[:-1])  # words begin and end by turns; a blank ends the last
+        self.begin, self.end = edge[::2].copy(), edge[1::2].copy()
+        self.word = _hashed_words(data, self.begin)
         for i in np.flatnonzero(self.end - self.begin > _LONG_WORD):  # too long for a sum of powers modulo 2 ** 64
             self.word[i] = xxhash.xxh3_64_intdigest(data[self.begin[i] : self.end[i]].tobytes())
         #: lines, also blank ones: a document's first line is where the one before it ended
@@ -171,27 +213,35 @@ def _second_question(rows: pa.Table, replies: pa.Table, n: int, least_words: int
     c = _Lines(rows, least_words)
     lines, gone = _settled(c, replies, n)
     h, line, _ = c.variants(lines)
-    order = np.lexsort((line, h))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[1:] != h[:-1]
+    distinct = np.sort(h)
+    again = distinct[1:] == distinct[:-1]
+    at = _among(h, np.unique(distinct[1:][again]), 64)
+    at = at[np.argsort(h[at])]
     # a line that has a variant twice (equal words in a row) does not meet itself
-    other = np.append(~new[1:] & (line[1:] != line[:-1]), False)
-    twice = np.add.reduceat(other.astype(np.int64), np.flatnonzero(new)) > 0 if len(h) else other
-    h = h[new]
-    out, cut = [], bounds(h, n)
-    for p in np.flatnonzero(np.diff(cut)):
-        s = slice(cut[p], cut[p + 1])
-        low, rank = _by_low(h[s])
-        sent = np.diff(low[rank], prepend=np.uint64(0)) << np.uint64(1) | twice[s][rank].astype(np.uint64)
-        out.append((p, c.number, s.stop - s.start, packed(sent, _SHORT + 1), b""))
+    other = (h[at[1:]] == h[at[:-1]]) & (line[at[1:]] != line[at[:-1]])
+    distinct = distinct[np.append(True, ~again)[: len(h)]]
+    twice = np.zeros(len(distinct), dtype=np.uint64)
+    twice[np.searchsorted(distinct, h[at[1:][other]])] = 1
+    h = distinct
+    cut = bounds(h, n)
+    asked = np.flatnonzero(np.diff(cut))
+    short = _short(h, cut, n)
+    sent = np.diff(short, prepend=np.uint64(0))
+    sent[cut[asked]] = short[cut[asked]]
+    planes = np.ascontiguousarray((sent << np.uint64(1) | twice).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, : _SHORT + 1].T)
+    zstd, out = pa.Codec("zstd"), []
+    for p in asked:
+        own = planes[:, cut[p] : cut[p + 1]]
+        out.append((p, c.number, own.shape[1], zstd.compress(own.tobytes(), asbytes=True), b""))
     out.append((c.number % n, c.number, 0, b"", np.sort(gone).astype("<u4").tobytes()))
     return _table(_ASK2, out)
 
 
-def _by_low(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = h & np.uint64((1 << 8 * _SHORT) - 1)
-    return low, np.argsort(low, kind="stable")
+def _short(h: np.ndarray, cut: np.ndarray, n: int) -> np.ndarray:
+    """Sorted hashes by their leading bytes within the partition, hence still in order there."""
+    begin = np.array([((p << 32) // n) << 32 for p in range(n)], dtype=np.uint64)
+    bits = 32 + (-(-(1 << 32) // n) - 1).bit_length()
+    return (h - np.repeat(begin, np.diff(cut))) >> np.uint64(max(0, bits - 8 * _SHORT))
 
 
 def _second_reply(asked: pa.Table) -> pa.Table:
@@ -199,10 +249,13 @@ def _second_reply(asked: pa.Table) -> pa.Table:
     out = [(r["chunk"], -1, b"", r["gone"]) for r in rows if not r["size"]]
     rows = [r for r in rows if r["size"]]
     if rows:
+        _reuse_memory()
         sent = [unpacked(r["hashes"], r["size"], _SHORT + 1) for r in rows]
         h = np.concatenate([np.cumsum(x >> np.uint64(1), dtype=np.uint64) for x in sent])
-        _, index = np.unique(h, return_inverse=True)
-        met = (np.bincount(index, weights=1 + (np.concatenate(sent) & np.uint64(1)).astype(float)) > 1)[index]
+        met = (np.concatenate(sent) & np.uint64(1)).astype(bool)
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        met[order[1:][same]] = met[order[:-1][same]] = True
         at = 0
         for r in rows:
             s = slice(at, at := at + r["size"])
@@ -221,14 +274,14 @@ def _joining(rows: pa.Table, replies: pa.Table, n: int, least_words: int) -> pa.
     first, _ = c.distinct()
     lines = np.sort(first[~np.isin(first, gone)])
     h, line, place = c.variants(lines)
-    distinct, index = np.unique(h, return_inverse=True)
+    distinct = np.sort(h)
+    distinct = distinct[np.append(True, distinct[1:] != distinct[:-1])[: len(h)]]
     cut, met = bounds(distinct, n), np.zeros(len(distinct), dtype=bool)
     for r in answers:
         if r["met"]:
             s = slice(cut[r["p"]], cut[r["p"] + 1])
-            _, rank = _by_low(distinct[s])
-            met[np.arange(s.start, s.stop)[rank]] = np.unpackbits(np.frombuffer(r["met"], np.uint8), count=s.stop - s.start).astype(bool)
-    keep = met[index]
+            met[s] = np.unpackbits(np.frombuffer(r["met"], np.uint8), count=s.stop - s.start).astype(bool)
+    keep = _among(h, distinct[met], 64)
     h, line, place = h[keep].view(np.int64), line[keep], place[keep]
     docs, words = c.doc_ids.take(pa.array(c.doc[line])), {k: c.text(k) for k in np.unique(line).tolist()}
     settled = np.sort(gone)
