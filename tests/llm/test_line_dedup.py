@@ -2,7 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +90,40 @@ def test_lines_that_differ_in_every_word(make_docs):
     docs = [(1, line), (2, other), (3, line), (4, f"{long} b c d e f"), (5, f"{complement} b c x e g"), (6, f"{long} b c d e f")]
     got = {r.doc_id: (r.text, list(r._removed)) for r in line_dedup.remove_near_lines(make_docs(docs)).collect()}
     assert got[2] == (other, []) and got[5][1] == [] and got[3] == ("", [0]) and got[6] == ("", [0])
+
+
+def test_words_are_hashed_in_blocks():
+    """The hashes are those of each word alone, and what they take grows with the words, not with all bytes at once."""
+    rng = random.Random(5)
+    words = [bytes(rng.choices(range(97, 123), k=rng.choice([1, 7, 300, 1000]))) for _ in range(6000)]
+    words[50], words[51] = words[9], b"y" * (3 * line_dedup._BLOCK)
+    blanks = [b" ", b"  ", b"\n", b" " * (2 * line_dedup._BLOCK)]
+    text = b"".join(w + (blanks[i % 3] if i % 3000 else blanks[3]) for i, w in enumerate(words))
+    rows = pa.table({"doc_id": pa.array([1], pa.int64()), "text": pa.array([text], pa.binary()), "chunk": pa.array([0], pa.int32())})
+    tracemalloc.start()
+    found = line_dedup._Lines(rows, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < max(32 << 20, 24 * len(text))  # an array of 31 MB is freed untouched
+    assert [text[a:b] for a, b in zip(found.begin, found.end)] == words
+
+    def alone(word):
+        value = sum(int(line_dedup._BYTE_VALUES[c]) * pow(line_dedup.BASES[0], k, 1 << 64) for k, c in enumerate(word)) % (1 << 64)
+        return int(line_dedup.mix(np.array([value], dtype=np.uint64))[0])
+
+    short = [i for i in range(0, 6000, 7) if len(words[i]) <= line_dedup._LONG_WORD]
+    assert [int(found.word[i]) for i in short] == [alone(words[i]) for i in short]
+    assert found.word[50] == found.word[9]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 277])
+def test_short_hashes_keep_the_order(parts):
+    h = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64))
+    h[-1], h[0] = (1 << 64) - 1, 0
+    cut = line_dedup.bounds(h, parts)
+    short = line_dedup._short(h, cut, parts)
+    assert int(short.max()) < 1 << 8 * line_dedup._SHORT
+    assert all((np.diff(short[a:b].astype(np.int64)) >= 0).all() for a, b in zip(cut[:-1], cut[1:]))
+    values = np.unique(h[::50])
+    assert set(h[line_dedup._among(h, values, 64)].tolist()) == set(values.tolist())
+    assert len(line_dedup._among(h, values[:0], 64)) == 0
